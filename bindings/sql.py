@@ -205,7 +205,7 @@ ZONED = f"""
 near_district as (
   select id, district, district_tier, fry, dist as district_km from (
     select v.id, d.district, d.district_tier, d.fry, {hav('v.lat', 'v.lng', 'd.lat', 'd.lng')} as dist,
-           row_number() over (partition by v.id order by {hav('v.lat', 'v.lng', 'd.lat', 'd.lng')}, d.ord) as rn
+           row_number() over (partition by v.id order by round(pow({hav('v.lat', 'v.lng', 'd.lat', 'd.lng')}, 2), 9), d.ord) as rn
     from v, districts d) where rn = 1),
 in_quarter as (
   select v.id, arg_min(z.quarter, z.ord) as quarter, arg_min(z.quarter_tier, z.ord) as quarter_tier

@@ -30,20 +30,29 @@ def haversine_m(lat1, lng1, lat2, lng2) -> Column:
     return haversine_km(lat1, lng1, lat2, lng2) * F.lit(1000.0)
 
 
-def within_km(lat: Column, lng: Column, zone_lat: float, zone_lng: float, radius: float, inclusive: bool) -> Column:
-    """Circle test against a fixed zone; the cheap box test runs first."""
-    d_lat = radius / KM_PER_DEGREE * 1.01
-    far = min(abs(zone_lat) + d_lat, 89.0)
-    d_lng = d_lat / math.cos(math.radians(far))
-    dist = haversine_km(lat, lng, zone_lat, zone_lng)
-    near = dist <= radius if inclusive else dist < radius
-    return (
-        lat.between(zone_lat - d_lat, zone_lat + d_lat)
-        & lng.between(zone_lng - d_lng, zone_lng + d_lng)
-        & near
+def unit_vector(lat: Column, lng: Column) -> Column:
+    """struct<x, y, z> on the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lng)
+    return F.struct(
+        (F.cos(la) * F.cos(lo)).alias("x"), (F.cos(la) * F.sin(lo)).alias("y"), F.sin(la).alias("z")
     )
 
 
+def fixed_unit_vector(lat: float, lng: float) -> tuple[float, float, float]:
+    la, lo = math.radians(lat), math.radians(lng)
+    return math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la)
+
+
+def chord2(u: Column, v: Column) -> Column:
+    """Squared straight-line distance of two unit vectors; grows with the distance on the ground."""
+    dx, dy, dz = u["x"] - v["x"], u["y"] - v["y"], u["z"] - v["z"]
+    return dx * dx + dy * dy + dz * dz
+
+
+def chord2_of_km(km: float) -> float:
+    return (2.0 * math.sin(km / (2.0 * EARTH_KM))) ** 2
+
+
 def in_box(lat: Column, lng: Column, box) -> Column:
     """Inclusive bounding box; values that are not numbers are outside."""
     lat, lng = lat.try_cast("double"), lng.try_cast("double")
@@ -140,6 +149,9 @@ class RadiusCells:
     def _key(row: Column, col: Column) -> Column:
         return row * F.lit(1 << 32) + col
 
+    def _keys(self, row: Column, cols: Column) -> Column:
+        return F.transform(cols, lambda c: self._key(row, c))
+
     def home(self, lat: Column, lng: Column) -> Column:
         row = self._row(lat)
         return self._key(row, F.floor(lng / self._width(row)).cast("bigint"))
@@ -154,5 +166,5 @@ class RadiusCells:
             cols = F.sequence(
                 F.floor((lng - reach) / w).cast("bigint"), F.floor((lng + reach) / w).cast("bigint")
             )
-            parts.append(F.transform(cols, lambda c, r=r: self._key(r, c)))
+            parts.append(self._keys(r, cols))
         return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*parts))

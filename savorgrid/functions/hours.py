@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import flag
+from .rules import flag, let
 
-SHIFT = r"(?U)(\d{1,2}):?(\d{2})?\s*(AM|PM|am|pm)?\s*-\s*(\d{1,2}):?(\d{2})?\s*(AM|PM|am|pm)?"
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
+SHIFT = r"(\d{1,2}):?(\d{2})?[\s\p{Z}]*(AM|PM|am|pm)?[\s\p{Z}]*-[\s\p{Z}]*(\d{1,2}):?(\d{2})?[\s\p{Z}]*(AM|PM|am|pm)?"
 
 
 def _int(x: Column) -> Column:
@@ -172,19 +167,25 @@ def schedule(hours: Column) -> Column:
 
 def rhythm_bonus(rating: Column, summary: Column) -> Column:
     """struct<score, kind>: short or split weeks ('lark') and late nights ('owl')."""
-    week = summary["total_hours_per_week"]
-    lark = (
-        F.when(summary["has_split_service"], 1.0)
-        .when((week > 0) & (week < 30), 0.8)
-        .when(summary["is_lunch_only"], 0.7)
-        .when(summary["days_open"].between(1, 4), 0.6)
-        .otherwise(0.0)
-    )
-    owl = F.when(summary["closes_late"], 0.8).otherwise(0.0)
-    counts = flag((rating >= 4.0) & summary["parsed"])
-    score = F.when(counts, F.greatest(lark, owl)).otherwise(0.0)
-    kind = F.when(counts & (lark > 0) & (lark >= owl), "lark").when(counts & (owl > 0), "owl")
-    return F.struct(score.alias("score"), kind.cast("string").alias("kind"))
+
+    def both(s: Column) -> Column:
+        week = s["total_hours_per_week"]
+        lark = (
+            F.when(s["has_split_service"], 1.0)
+            .when((week > 0) & (week < 30), 0.8)
+            .when(s["is_lunch_only"], 0.7)
+            .when(s["days_open"].between(1, 4), 0.6)
+            .otherwise(0.0)
+        )
+        return F.struct(lark.alias("lark"), F.when(s["closes_late"], 0.8).otherwise(0.0).alias("owl"))
+
+    def better(b: Column) -> Column:
+        kind = F.when((b["lark"] > 0) & (b["lark"] >= b["owl"]), "lark").when(b["owl"] > 0, "owl")
+        return F.struct(F.greatest(b["lark"], b["owl"]).alias("score"), kind.cast("string").alias("kind"))
+
+    # schedules of venues below the rating bar are never parsed
+    none = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("kind"))
+    return F.when(flag(rating >= 4.0), let(let(summary, both), better)).otherwise(none)
 
 
 def open_on(hours: Column, day: str) -> Column:

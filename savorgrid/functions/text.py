@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import any_contains, first_match, flag
+from .rules import any_contains, first_match, flag, let
 
 # What a plain strip() treats as blank.
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -167,61 +167,91 @@ def _compositions() -> list[tuple[str, str]]:
 
 def _composed(name: Column) -> Column:
     """Join combining marks to their letter, only for names that carry any."""
-    steps = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in _compositions()])
-    fixed = F.aggregate(steps, name, lambda acc, s: F.replace(acc, s["old"], s["new"]))
+    table = F.lit(" ".join(f"{old}>{new}" for old, new in _compositions()))
+    fixed = F.aggregate(
+        F.split(table, " "),
+        name,
+        lambda acc, s: F.replace(acc, F.split_part(s, F.lit(">"), F.lit(1)), F.split_part(s, F.lit(">"), F.lit(2))),
+    )
     return F.when(name.rlike(r"\p{Mn}"), fixed).otherwise(name)
 
 
 def _letters(text: str) -> Column:
-    return F.array(*[F.lit(c) for c in dict.fromkeys(text)])
+    """Constant array of the letters, made from one string."""
+    return F.split(F.lit(" ".join(dict.fromkeys(text))), " ")
 
 
 def letter_marker(name: Column) -> Column:
     """struct<has, found, category>: letters foreign to the local spelling and what they suggest."""
-    text = _composed(name)
-    chars = F.array_distinct(F.split(text, ""))
-    lows = F.array_distinct(F.split(F.lower(text), ""))
     every = _letters("".join(s for _, s in UNIQUE_LETTERS + HINT_LETTERS))
-    found = F.filter(chars, lambda c: F.array_contains(every, F.lower(c)) | F.array_contains(every, c))
 
-    def best(groups):
+    def best(lows: Column, groups) -> Column:
         counts = F.array(*[F.size(F.array_intersect(lows, _letters(s))) for _, s in groups])
-        labels = F.array(*[F.lit(lab) for lab, _ in groups])
-        return F.transform(
-            F.array(counts),
+        labels = F.split(F.lit(" ".join(lab for lab, _ in groups)), " ")
+        return let(
+            counts,
             lambda n: F.when(
                 F.array_max(n) > 0, F.element_at(labels, F.array_position(n, F.array_max(n)).cast("int"))
             ),
-        )[0]
+        )
+
+    def marker(text: Column) -> Column:
+        found = F.filter(
+            F.array_distinct(F.split(text, "")),
+            lambda c: F.array_contains(every, F.lower(c)) | F.array_contains(every, c),
+        )
+        return let(
+            F.struct(found.alias("found"), F.split(F.lower(text), "").alias("lows")),
+            lambda m: F.struct(
+                (F.size(m["found"]) > 0).alias("has"),
+                m["found"].alias("found"),
+                F.when(
+                    F.size(m["found"]) > 0,
+                    F.coalesce(best(m["lows"], UNIQUE_LETTERS), best(m["lows"], HINT_LETTERS)),
+                ).alias("category"),
+            ),
+        )
 
-    has = flag(F.size(found) > 0)
-    return F.struct(
-        has.alias("has"),
-        F.coalesce(found, F.array().cast("array<string>")).alias("found"),
-        F.when(has, F.coalesce(best(UNIQUE_LETTERS), best(HINT_LETTERS))).alias("category"),
-    )
+    # plain ASCII names, by far the most, never reach the letter tests
+    none = F.from_json(F.lit('{"has":false,"found":[]}'), "struct<has:boolean,found:array<string>,category:string>")
+    return F.when(name.rlike(r"[^\x00-\x7F]"), let(_composed(name), marker)).otherwise(none)
 
 
 def flag_marker(name: Column) -> Column:
     """struct<has, sign, category> for the first known flag sign in the name."""
-    signs = [(flag_sign(c), label) for c, label in FLAG_COUNTRIES.items()]
-    sign = first_match(name, [(s, [s]) for s, _ in signs]).cast("string")
-    category = first_match(name, [(label, [s]) for s, label in signs]).cast("string")
-    return F.struct(sign.isNotNull().alias("has"), sign.alias("sign"), category.alias("category"))
+    table = F.lit(" ".join(f"{flag_sign(c)}>{label}" for c, label in FLAG_COUNTRIES.items()))
+    # a flag is two regional letters; names without one skip the list
+    first = F.when(
+        name.rlike("[\\x{1F1E6}-\\x{1F1FF}]"),
+        F.try_element_at(
+            F.filter(F.split(table, " "), lambda s: name.contains(F.split_part(s, F.lit(">"), F.lit(1)))), F.lit(1)
+        ),
+    )
+    return let(
+        first,
+        lambda s: F.struct(
+            s.isNotNull().alias("has"),
+            F.split_part(s, F.lit(">"), F.lit(1)).alias("sign"),
+            F.split_part(s, F.lit(">"), F.lit(2)).alias("category"),
+        ),
+    )
 
 
 def identity_markers(name: Column) -> Column:
-    letters, sign = letter_marker(name), flag_marker(name)
-    signal = F.when(letters["has"], 0.5).otherwise(0.0) + F.when(sign["has"], 0.5).otherwise(0.0)
-    return F.struct(
-        letters["has"].alias("has_diacritics"),
-        letters["found"].alias("diacritics_found"),
-        letters["category"].alias("diacritics_category"),
-        sign["has"].alias("has_flag"),
-        sign["sign"].alias("flag_sign"),
-        sign["category"].alias("flag_category"),
-        signal.alias("signal_score"),
-    )
+    def both(m: Column) -> Column:
+        letters, sign = m["letters"], m["sign"]
+        signal = F.when(letters["has"], 0.5).otherwise(0.0) + F.when(sign["has"], 0.5).otherwise(0.0)
+        return F.struct(
+            letters["has"].alias("has_diacritics"),
+            letters["found"].alias("diacritics_found"),
+            letters["category"].alias("diacritics_category"),
+            sign["has"].alias("has_flag"),
+            sign["sign"].alias("flag_sign"),
+            sign["category"].alias("flag_category"),
+            signal.alias("signal_score"),
+        )
+
+    return let(F.struct(letter_marker(name).alias("letters"), flag_marker(name).alias("sign")), both)
 
 
 def family_pattern(name: Column) -> Column:

@@ -6,55 +6,97 @@ For zone tables too large to inline there are cell-blocked joins with the same r
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import CityPack
-from ..functions.geo import EARTH_KM, RadiusCells, haversine_km, within_km
-from ..functions.hours import let
+from ..functions.geo import (
+    EARTH_KM,
+    RadiusCells,
+    chord2,
+    chord2_of_km,
+    fixed_unit_vector,
+    haversine_km,
+    unit_vector,
+)
+from ..functions.rules import let
+from ..session import ensure_checkpoint_dir
+
+
+def _zone_array(rows: list[tuple[float, float, dict[str, tuple]]]) -> Column:
+    """Constant array of zones: position on the sphere plus named, typed values."""
+    kinds = {k: kind for k, (_, kind) in rows[0][2].items()}
+    items = []
+    for lat, lng, extra in rows:
+        x, y, z = fixed_unit_vector(lat, lng)
+        items.append({"x": x, "y": y, "z": z, **{k: v for k, (v, _) in extra.items()}})
+    schema = ",".join(f"{k}:{kind}" for k, kind in {"x": "double", "y": "double", "z": "double", **kinds}.items())
+    return F.from_json(F.lit(json.dumps(items)), f"array<struct<{schema}>>")
 
 
 def nearest_district(pack: CityPack, lat: Column, lng: Column) -> Column:
-    """struct<dist, ord, district, tier, fry>: the first of the closest; the default without a place."""
-    names = {d.name: d for d in pack.districts}
-
-    def entry(dist: Column, order: int, name: str) -> Column:
-        d = names.get(name)
-        return F.struct(
-            dist.cast("double").alias("dist"),
-            F.lit(order).alias("ord"),
-            F.lit(name).alias("district"),
-            F.lit(d.tier if d else None).cast("string").alias("tier"),
-            F.lit(pack.fry_shop_scores.get(name)).cast("double").alias("fry"),
-        )
+    """struct<district, lat, lng, tier, fry>: the first of the closest; the default without a place."""
+
+    def facts(name: str, at: tuple[float | None, float | None], tier: str | None) -> dict[str, tuple]:
+        return {
+            "district": (name, "string"), "lat": (at[0], "double"), "lng": (at[1], "double"),
+            "tier": (tier, "string"), "fry": (pack.fry_shop_scores.get(name), "double"),
+        }
+
+    zones = _zone_array([(d.lat, d.lng, facts(d.name, (d.lat, d.lng), d.tier)) for d in pack.districts])
+    near = let(
+        unit_vector(lat, lng),
+        lambda u: let(
+            # to a billionth of a square kilometre, so that equal distances are equal numbers
+            F.transform(zones, lambda z: F.rint(chord2(u, z) * F.lit(EARTH_KM**2 * 1e9))),
+            lambda ds: F.element_at(zones, F.array_position(ds, F.array_min(ds)).cast("int")),
+        ),
+    )
+    tiers = {d.name: d.tier for d in pack.districts}
+    default = facts(pack.default_district, (None, None), tiers.get(pack.default_district))
+    fallback = F.struct(*[F.lit(v).cast(kind).alias(k) for k, (v, kind) in default.items()])
+    found = let(near, lambda z: F.struct(*[z[k].alias(k) for k in default]))
+    return F.when(lat.isNotNull() & lng.isNotNull(), found).otherwise(fallback)
+
+
+def _first_circle(zones: Column, lat: Column, lng: Column, inclusive: bool) -> Column:
+    """First zone whose circle (``c2``: squared chord of its radius) holds the point."""
 
-    options = [
-        entry(haversine_km(lat, lng, d.lat, d.lng), i, d.name) for i, d in enumerate(pack.districts)
-    ]
-    best = F.least(*options) if len(options) > 1 else options[0]
-    placed = lat.isNotNull() & lng.isNotNull()
-    return F.when(placed, best).otherwise(entry(F.lit(None), -1, pack.default_district))
+    def inside(u: Column, z: Column) -> Column:
+        return chord2(u, z) <= z["c2"] if inclusive else chord2(u, z) < z["c2"]
+
+    return let(
+        unit_vector(lat, lng), lambda u: F.try_element_at(F.filter(zones, lambda z: inside(u, z)), F.lit(1))
+    )
 
 
 def containing_quarter(pack: CityPack, lat: Column, lng: Column) -> Column:
     """struct<quarter, tier> of the first quarter closer than its radius; null outside all."""
-    out = None
-    for q in pack.quarters:
-        cond = within_km(lat, lng, q.lat, q.lng, q.radius, inclusive=False)
-        value = F.struct(F.lit(q.name).alias("quarter"), F.lit(q.tier).alias("tier"))
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    if out is None:
+    if not pack.quarters:
         return F.lit(None).cast("struct<quarter:string,tier:string>")
-    return out
+    zones = _zone_array(
+        [
+            (
+                q.lat, q.lng,
+                {"quarter": (q.name, "string"), "tier": (q.tier, "string"), "c2": (chord2_of_km(q.radius), "double")},
+            )
+            for q in pack.quarters
+        ]
+    )
+    hit = _first_circle(zones, lat, lng, inclusive=False)
+    return let(hit, lambda z: F.when(z.isNotNull(), F.struct(z["quarter"].alias("quarter"), z["tier"].alias("tier"))))
 
 
 def on_street(pack: CityPack, lat: Column, lng: Column) -> Column:
     """Name of the first listed street within its own radius."""
-    out = None
-    for s in pack.streets:
-        cond = within_km(lat, lng, s.lat, s.lng, s.radius, inclusive=True)
-        out = F.when(cond, F.lit(s.name)) if out is None else out.when(cond, F.lit(s.name))
-    return (F.lit(None) if out is None else out).cast("string")
+    if not pack.streets:
+        return F.lit(None).cast("string")
+    zones = _zone_array(
+        [(s.lat, s.lng, {"street": (s.name, "string"), "c2": (chord2_of_km(s.radius), "double")}) for s in pack.streets]
+    )
+    return _first_circle(zones, lat, lng, inclusive=True)["street"]
 
 
 def street_words(pack: CityPack, name: Column) -> Column:
@@ -64,10 +106,15 @@ def street_words(pack: CityPack, name: Column) -> Column:
     return F.array_except(F.split(bare, " "), stop)
 
 
-def street_fits_category(pack: CityPack, street: Column, category_streets: Column) -> Column:
+def known_street_words(pack: CityPack, category_streets: Column) -> Column:
+    """All meaningful words of the streets known for a category; meant for the lookup table."""
+    return F.array_distinct(F.flatten(F.transform(category_streets, lambda s: street_words(pack, s["name"]))))
+
+
+def street_fits_category(pack: CityPack, street: Column, known_words: Column) -> Column:
     """Does the street share a word with any street known for the category?"""
-    known = F.flatten(F.transform(category_streets, lambda s: street_words(pack, s["name"])))
-    return F.coalesce(F.arrays_overlap(street_words(pack, street), known), F.lit(False))
+    fits = F.arrays_overlap(street_words(pack, street), known_words)
+    return F.when(street.isNotNull() & known_words.isNotNull(), fits).otherwise(F.lit(False))
 
 
 def area_tier(district: Column, quarter: Column) -> Column:
@@ -165,6 +212,7 @@ def nearest_zone(df: DataFrame, zones: DataFrame, start_km: float = 1.0) -> Data
     Looks within a radius, keeps what is certain (anything nearer would lie in the same
     cells) and doubles the radius for the rest, until no venue with coordinates is left.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     placed = df.select("id", "lat", "lng").filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
     found, open_rows, radius = None, placed, start_km
     farthest = EARTH_KM * 3.2  # more than half the way round the globe
@@ -182,6 +230,7 @@ def nearest_zone(df: DataFrame, zones: DataFrame, start_km: float = 1.0) -> Data
             .filter(dist <= radius)
             .groupBy("id")
             .agg(F.min(F.struct(dist.alias("dist"), F.col("_ord").alias("ord"), F.col("_name").alias("name"))).alias("zone"))
+            .checkpoint()
         )
         found = step if found is None else found.unionByName(step)
         open_rows = open_rows.join(step.select("id"), "id", "left_anti")

@@ -255,9 +255,11 @@ def _with_facts(
 ) -> DataFrame:
     spark = df.sparkSession
     out = zn.with_zones(_clean(df, pack), pack)
+    # the words of the known streets are worked out on the lookup table, once per category
+    categories = pack.category_frame(spark).withColumn("street_words", zn.known_street_words(pack, F.col("streets")))
     out = (
         out.join(pack.affinity_frame(spark), ["category", "district"], "left")
-        .join(pack.category_frame(spark), "category", "left")
+        .join(categories, "category", "left")
         .withColumn("affinity", zn.affinity_score())
     )
     out = nm.with_guides(out, pack)
@@ -303,8 +305,7 @@ def score_venues(
             "cuisine_scarcity": F.coalesce("rare", F.lit(0.0)),
             "family_pattern": family_pattern(name),
             "markers": identity_markers(name),
-            "street_match": F.col("street").isNotNull()
-            & zn.street_fits_category(pack, F.col("street"), F.col("streets")),
+            "street_match": zn.street_fits_category(pack, F.col("street"), F.col("street_words")),
         }
     )
     share = F.lit(0.0)
@@ -357,7 +358,7 @@ def score_venues(
         }
     )
     helper = {
-        "has_affinity", "community", "local", "rare", "specificity", "languages", "note", "streets", "rhythm",
+        "has_affinity", "community", "local", "rare", "specificity", "languages", "note", "streets", "street_words", "rhythm",
         "fry_score", "street_match", "community_blocked",
     }
     return f.drop(*helper)

@@ -9,6 +9,8 @@ website string, google_maps_url string, opening_hours array<string>, closing_tim
 days_open array<int>
 """
 
+PLACE_JSON = PLACE.replace("map<int,string>", "map<string,string>")
+
 _MOMENT = "struct<day:int,hour:int,minute:int>"
 
 PLACE_PAYLOAD = f"""

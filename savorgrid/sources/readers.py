@@ -15,7 +15,9 @@ from ..functions.text import key_name
 
 def read_places(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Place records as JSON lines, or as one JSON array per file with ``multi_line``."""
-    return spark.read.schema(S.PLACE).json(path, multiLine=multi_line)
+    raw = spark.read.schema(S.PLACE_JSON).json(path, multiLine=multi_line)
+    # JSON keys are text; the days of the closing times are numbers
+    return raw.withColumn("closing_times", F.transform_keys("closing_times", lambda k, _: k.cast("int")))
 
 
 def read_place_payloads(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
