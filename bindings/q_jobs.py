@@ -179,9 +179,8 @@ _BAND = "case when p is null then null when p < 15 then 'Cheap' when p < 30 then
 @query("j20_apply_prices", S.with_(S.V, _PRICES) + f"""select id, p as average_price_eur, {_BAND} as price_category,
    coalesce(price_level, case when p is null then null when p < 15 then '1' when p < 30 then '2' when p < 60 then '3' else '4' end) as price_level, thefork_url
   from (select v.id, v.price_level, l.average_price as p, l.thefork_url from v left join (
-    select lower(v.name) as k, arg_max(struct_pack(average_price := average_price, thefork_url := thefork_url), entry) as s,
-      s.average_price as average_price, s.thefork_url as thefork_url
-    from prices join v on v.id = entry group by 1) l on lower(v.name) = l.k)""")
+    select * from (select lower(v.name) as k, average_price, thefork_url, row_number() over (partition by lower(v.name) order by entry desc) as rn
+    from prices join v on v.id = entry) where rn = 1) l on lower(v.name) = l.k)""")
 def j20(t: Tables):
     # entries are matched to the venue with their number, so that SQL can repeat it
     matches = t.price_list().select("entry", F.col("entry").alias("match_id"))
@@ -445,7 +444,7 @@ _SUMS = " + ".join(f"case when {_HITS[w]} then {S.q(s)} else 0 end" for w, s in
 @query("a18_review_flags", f"""with r as (select doc_id as review_id, n_chars % 97 as venue_id, 1 + doc_id % 5 as rating, text,
     case when {_NH} > 0 then ({_SUMS}) / ({_NH}) else 0.0::double end as sentiment,
     {_HITS['eratsh']} as s0, {_HITS['ndess']} as s1, ({' or '.join(_HITS[w] for w in _CLOSED_WORDS)}) as cl from documents),
-  g as (select venue_id, count(*) as review_count, round_even(avg(rating), 2) as avg_rating, round_even(avg(sentiment), 4) as avg_sentiment,
+  g as (select venue_id, count(*) as review_count, round_even(avg(rating), 2) as avg_rating, round(avg(sentiment), 6) + 0.0 as avg_sentiment,
     concat_ws(',', case when bool_or(s0) then 'eratsh' end, case when bool_or(s1) then 'ndess' end) as severe_words, bool_or(cl) as maybe_closed,
     count(*) filter (where rating <= 2) as low_ratings from r group by 1),
   s as (select venue_id, string_agg(review_id::varchar, ',' order by review_id) as samples from (
@@ -457,7 +456,7 @@ _SUMS = " + ".join(f"case when {_HITS[w]} then {S.q(s)} else 0 end" for w, s in
 def a18(t: Tables):
     f = rv.review_flags(t.doc_reviews(), _SEVERE, _CLOSED_WORDS, _SENT)
     ids = F.array_join(F.transform("sample_negative", lambda s: s["review_id"].cast("string")), ",")
-    return f.select("venue_id", "review_count", "avg_rating", "avg_sentiment", F.array_join("severe_words", ",").alias("severe_words"),
+    return f.select("venue_id", "review_count", "avg_rating", r6("avg_sentiment").alias("avg_sentiment"), F.array_join("severe_words", ",").alias("severe_words"),
                     "maybe_closed", "low_ratings", F.array_join("issues", "|").alias("issues"), ids.alias("samples"))
 
 

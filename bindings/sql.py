@@ -34,6 +34,16 @@ def r6(x: str) -> str:
     return f"round({x}, 6) + 0.0"
 
 
+def half_even(x: str, places: int) -> str:
+    """Half-even on the decimal value, after rounding noise away."""
+    unit = 10.0 ** (9 - places)
+    r = f"round(({x}) * 1e9)"
+    q_ = f"floor({r} / {q(unit)})"
+    rem = f"({r} - {q_} * {q(unit)})"
+    up = f"({rem} > {q(unit / 2)} or ({rem} = {q(unit / 2)} and {q_}::bigint % 2 <> 0))"
+    return f"(({q_} + (case when {up} then 1 else 0 end)) / {q(10.0 ** places)})"
+
+
 def hav(a: str, b: str, c: str, d: str) -> str:
     h = (
         f"(pow(sin(radians({c}-({a}))/2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d}-({b}))/2), 2))"

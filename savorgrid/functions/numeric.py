@@ -53,3 +53,8 @@ def rating_to_logit(rating: Column) -> Column:
 
 def logit_to_rating(z: Column) -> Column:
     return F.lit(4.0) / (F.lit(1.0) + F.exp(-z)) + F.lit(1.0)
+
+
+def half_even(x: Column, places: int) -> Column:
+    """Round half to even; noise in the last bits of a mean must not decide a tie."""
+    return F.bround(F.round(x, 9), places)

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numeric import half_even
+
 MAX_TOP = 500
 RANK_BUCKETS = 256
 
@@ -38,7 +40,7 @@ def subset_top(df: DataFrame, column: str, values: list[str], limit: int = 50) -
 
 
 def undervaluation(residual: Column) -> Column:
-    return F.bround(residual * 100, 1)
+    return half_even(residual * 100, 1)
 
 
 def gems(df: DataFrame, limit: int = 100, cap: int = MAX_TOP) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import street_label
+from ..functions.numeric import half_even
 from .filters import missing_ratings
 
 
@@ -28,9 +29,9 @@ def district_stats(df: DataFrame) -> DataFrame:
         df.filter(F.col("district").isNotNull())
         .groupBy("district")
         .agg(
-            F.bround(F.avg("rating"), 2).alias("avg_rating"),
+            half_even(F.avg("rating"), 2).alias("avg_rating"),
             F.sum("review_count").alias("total_reviews"),
-            F.bround(F.avg("score"), 2).alias("avg_score"),
+            half_even(F.avg("score"), 2).alias("avg_score"),
             F.count("name").alias("restaurant_count"),
         )
     )
@@ -132,17 +133,15 @@ def validation_report(labelled: DataFrame) -> DataFrame:
         .groupBy("d.dimension", "d.value", "verdict")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.count("score").alias("sn"))
     )
-    totals = per_verdict.groupBy("dimension", "value").agg(
-        F.sum("n").alias("total"), F.sum("s").alias("s"), F.sum("sn").alias("sn")
-    )
-    mean = F.bround(F.col("s") / F.nullif(F.col("sn"), F.lit(0)), 1).alias("mean_score")
-    share = F.bround(F.col("n") / F.col("total") * 100, 1).alias("share")
-    detail = per_verdict.join(totals.select("dimension", "value", "total"), ["dimension", "value"]).select(
-        "dimension", "value", "verdict", "n", share, mean
+    mean = half_even(F.sum("s") / F.nullif(F.sum("sn"), F.lit(0)), 1).alias("mean_score")
+    totals = per_verdict.groupBy("dimension", "value").agg(F.sum("n").alias("total"), mean)
+    share = half_even(F.col("n") / F.col("total") * 100, 1).alias("share")
+    detail = per_verdict.join(totals, ["dimension", "value"]).select(
+        "dimension", "value", "verdict", "n", share, "mean_score"
     )
     whole = totals.select(
         "dimension", "value", F.lit(None).cast("string").alias("verdict"), F.col("total").alias("n"),
-        F.lit(100.0).alias("share"), mean,
+        F.lit(100.0).alias("share"), "mean_score",
     )
     return detail.unionByName(whole)
 
@@ -150,5 +149,5 @@ def validation_report(labelled: DataFrame) -> DataFrame:
 def false_negative_rate(labelled: DataFrame, control: str, missed: str) -> DataFrame:
     """Share of control rows that should have been picked."""
     rows = labelled.filter(F.col("grp") == control)
-    rate = F.bround(F.count_if(F.col("verdict") == missed) / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 1)
+    rate = half_even(F.count_if(F.col("verdict") == missed) / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 1)
     return rows.agg(F.count(F.lit(1)).alias("control_rows"), rate.alias("false_negative_pct"))

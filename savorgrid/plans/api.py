@@ -10,6 +10,7 @@ from ..operators import ranking as rk
 from ..operators import reports as rp
 from ..operators.filters import VenueFilter
 from ..operators.ingest import present_columns
+from ..session import materialise
 from .score import COMPONENTS
 
 LIST_COLUMNS = [
@@ -80,7 +81,11 @@ def vocabularies(scored: DataFrame) -> DataFrame:
 
 
 def ranking_report(scored: DataFrame, pack: CityPack) -> DataFrame:
-    """Five top lists in one table: section, position, id, name, category, district, value."""
+    """Five top lists in one table: section, id, name, category, district, value.
+
+    All lists read the same few columns, which are written once instead of being scored five times.
+    """
+    scored = materialise(scored.select("id", "name", "category", "district", "rating", "score"))
 
     def section(label: str, rows: DataFrame, value: str) -> DataFrame:
         return rows.select(

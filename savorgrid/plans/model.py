@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import HexGrid
-from ..functions.numeric import logit_to_rating, rating_to_logit
+from ..functions.numeric import half_even, logit_to_rating, rating_to_logit
 from ..operators.cells import hex_table, label_clusters
 from ..operators.ranking import value_ranks
+from ..session import materialise
 
 NUMERIC = [
     "log_review_count", "price_numeric", "is_chain", "hex_restaurant_count",
@@ -68,8 +70,12 @@ def _trees(settings: TreeSettings, label: str) -> GBTRegressor:
 def train(df: DataFrame, settings: TreeSettings = TreeSettings(), logit: bool = False) -> PipelineModel:
     """Fit on all rows; with ``logit`` the target is mapped to an unbounded scale first."""
     y = rating_to_logit(F.col("rating")) if logit else F.col("rating")
-    rows = _numeric(df).withColumn("label", y)
-    return Pipeline(stages=[*design_stages(), _trees(settings, "label")]).fit(rows)
+    # indexing, encoding and trees all read these columns, so they are derived once
+    rows = _numeric(df).select("category", "venue_type", *[f"x_{c}" for c in NUMERIC], y.alias("label")).persist()
+    try:
+        return Pipeline(stages=[*design_stages(), _trees(settings, "label")]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, logit: bool = False) -> DataFrame:
@@ -108,7 +114,7 @@ def cross_validate(
     df: DataFrame, settings: TreeSettings = TreeSettings(), folds: int = 5, logit: bool = False
 ) -> DataFrame:
     """fold, r2 and their mean and spread (twice the standard deviation)."""
-    rows = contiguous_folds(df, folds)
+    rows = materialise(contiguous_folds(df.select("id", "category", "venue_type", *NUMERIC, "rating"), folds))
     scorer = RegressionEvaluator(labelCol="rating", predictionCol="predicted_rating", metricName="r2")
     scores = []
     for k in range(folds):
@@ -142,13 +148,12 @@ def expected_rating(df: DataFrame, min_rows: int = 3) -> DataFrame:
     joined = df
     options = []
     for depth in (3, 2, 1):
-        ks = keys[:depth]
-        level = finest.groupBy(*ks).agg(F.sum("s").alias(f"_s{depth}"), F.sum("n").alias(f"_n{depth}"))
-        same = [joined[k].eqNullSafe(level[k]) for k in ks]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        joined = joined.join(level, cond, "left").drop(*[level[k] for k in ks])
+        names = {k: f"_{k}{depth}" for k in keys[:depth]}
+        level = finest.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(
+            F.sum("s").alias(f"_s{depth}"), F.sum("n").alias(f"_n{depth}")
+        )
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+        joined = joined.join(level, same, "left").drop(*names.values())
         enough = F.col(f"_n{depth}") >= (min_rows if depth > 1 else 1)
         options.append(F.when(enough, F.col(f"_s{depth}") / F.col(f"_n{depth}")))
     out = joined.withColumn("predicted_rating", F.coalesce(*options))
@@ -169,6 +174,7 @@ def cluster_cells(hexes: DataFrame, k: int = 4, seeds: int = 10, seed: int = 42)
     Inputs are scaled to unit population spread; the best of several k-means runs is kept and
     the component is turned so that it does not fall with the mean rating.
     """
+    hexes = materialise(hexes)
     n = hexes.count()
     rows = hexes.withColumns({f"c_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in CLUSTER_INPUTS})
     rows = VectorAssembler(inputCols=[f"c_{c}" for c in CLUSTER_INPUTS], outputCol="_raw").transform(rows)
@@ -218,11 +224,11 @@ def hex_features_json(hexes: DataFrame, grid: HexGrid) -> DataFrame:
         F.lit("Feature").alias("type"),
         F.struct(
             F.col("cell").alias("h3_index"),
-            F.bround("mean_rating", 2).alias("mean_rating"),
-            F.bround("mean_residual", 3).alias("mean_residual"),
+            half_even(F.col("mean_rating"), 2).alias("mean_rating"),
+            half_even(F.col("mean_residual"), 3).alias("mean_residual"),
             F.col("restaurant_count").cast("int").alias("restaurant_count"),
             F.col("cluster_label").alias("cluster_label"),
-            F.bround("hub_score", 2).alias("hub_score"),
+            half_even(F.col("hub_score"), 2).alias("hub_score"),
         ).alias("properties"),
         F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")).alias("geometry"),
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "savorgrid", **conf: str) -> SparkSession:
@@ -27,12 +28,31 @@ def build_session(master: str | None = None, app: str = "savorgrid", **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a local one only where unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a new local one only where unset, as in tests."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="savorgrid-ckpt-"))
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    current = sc._jsc.sc().getCheckpointDir()
+    return current.get() if current.isDefined() else tempfile.mkdtemp(prefix="savorgrid-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def new_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the rows once as a table in the shared folder and go on from there.
+
+    For results that several later jobs read; it cuts the lineage and survives lost executors.
+    """
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
