@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .rules import flag, let
 
-SHIFT = r"(\d{1,2}):?(\d{2})?[\s\p{Z}]*(AM|PM|am|pm)?[\s\p{Z}]*-[\s\p{Z}]*(\d{1,2}):?(\d{2})?[\s\p{Z}]*(AM|PM|am|pm)?"
+_GAP = r"[\s\p{Z}]*"  # blanks of any width, as the texts use narrow ones
+SHIFT = (
+    rf"(\d{{1,2}}):?(\d{{2}})?{_GAP}(AM|PM|am|pm)?{_GAP}[-\u2013\u2014]{_GAP}"
+    rf"(\d{{1,2}}):?(\d{{2}})?{_GAP}(AM|PM|am|pm)?"
+)
 
 
 def _int(x: Column) -> Column:
@@ -106,14 +110,12 @@ def _shift(o: Column, om: Column, c: Column, cm: Column) -> Column:
 
 def day_shifts(text: Column) -> Column:
     """array<struct<o, c>> of one day's text."""
-    clean = F.translate(text, "\u202f\u2009\u2013\u2014", "  --")
-
     def parts(t: Column) -> Column:
         groups = [F.regexp_extract_all(t, F.lit(SHIFT), F.lit(g)) for g in (1, 3, 4, 6)]
         return F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("o", "om", "c", "cm"))])
 
     return F.transform(
-        let(clean, parts),
+        let(text, parts),
         lambda p: _shift(_int(p["o"]), F.upper(p["om"]), _int(p["c"]), F.upper(p["cm"])),
     )
 

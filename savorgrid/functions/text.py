@@ -134,7 +134,8 @@ def _accent_table() -> tuple[str, str]:
 
 def strip_accents(text: Column) -> Column:
     src, dst = _accent_table()
-    return F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}", "")
+    bare = F.regexp_replace(F.translate(text, src, dst), r"\p{Mn}", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
 
 
 def plain_name(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import CityPack
-from ..functions.rules import MAX_INLINE_RULES, any_contains, first_match, flag, hit, label_of
+from ..functions.rules import MAX_INLINE_RULES, any_contains, first_match, flag, hit, label_of, let
 from ..functions.text import is_fry_shop, key_name, plain_name
 
 
@@ -145,12 +145,17 @@ def guide_bonus(stars_: Column, bib: Column, guide: Column) -> Column:
 
 def institution_score(pack: CityPack, name: Column) -> Column:
     """Score of the first institution whose key is part of the name, with or without accents."""
-    low, plain = key_name(name), plain_name(name)
-    out = None
-    for key, score in pack.institutions.items():
-        cond = low.contains(key) | plain.contains(key)
-        out = F.when(cond, F.lit(score)) if out is None else out.when(cond, F.lit(score))
-    return (F.lit(None) if out is None else out).cast("double")
+    if not pack.institutions:
+        return F.lit(None).cast("double")
+
+    def score(n: Column) -> Column:
+        out = None
+        for key, value in pack.institutions.items():
+            cond = n["low"].contains(key) | n["plain"].contains(key)
+            out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
+        return out
+
+    return let(F.struct(key_name(name).alias("low"), plain_name(name).alias("plain")), score).cast("double")
 
 
 def local_icon_score(pack: CityPack, name: Column, district_fry_score: Column) -> Column:
