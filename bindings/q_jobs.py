@@ -470,7 +470,7 @@ def a19(t: Tables):
 @query("w01_ranks", SCORED + """select id, rating_rank, score_rank, rating_rank - score_rank as rank_improvement from (
   select id, rank() over (order by rating desc) as rating_rank, rank() over (order by round(score, 9) desc) as score_rank from scored)""")
 def w01(t: Tables):
-    ranked = rk.with_ranks(scored(t).withColumn("score", F.round("score", 9)))
+    ranked = rk.with_ranks(scored(t).select("id", "rating", F.round("score", 9).alias("score")))
     return ranked.select("id", "rating_rank", "score_rank", "rank_improvement")
 
 

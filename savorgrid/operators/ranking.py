@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
+from ..session import materialise
 
 MAX_TOP = 500
 RANK_BUCKETS = 256
@@ -84,7 +85,11 @@ def value_ranks(df: DataFrame, column: str, out: str, ranges: int = RANK_BUCKETS
 
 
 def with_ranks(df: DataFrame) -> DataFrame:
-    """Adds rating_rank, score_rank and how many places the score moves a venue up."""
+    """Adds rating_rank, score_rank and how many places the score moves a venue up.
+
+    The rows are read five times, so they are written once first; select what is needed before.
+    """
+    df = materialise(df)
     ratings, scores = value_ranks(df, "rating", "rating_rank"), value_ranks(df, "score", "score_rank")
     return (
         df.join(ratings.withColumnRenamed("_v", "rating"), "rating", "left")
