@@ -26,6 +26,7 @@ from ..functions.money import price_band
 from ..functions.rules import flag
 from ..functions.similarity import Bags, ratio
 from ..functions.text import normalise_company, normalise_words
+from ..session import materialise
 
 BLOCK_ROWS = 2_000
 SHARD_ROWS = 20_000
@@ -33,6 +34,8 @@ SHARD_ROWS = 20_000
 
 def _tiles(short: DataFrame, long: DataFrame, short_key: str, long_key: str):
     """Replicate block against shard; both sides grouped by (_b, _s)."""
+    # counted and then read, so both are written once
+    short, long = materialise(short), materialise(long)
     blocks = max(1, math.ceil(short.count() / BLOCK_ROWS))
     shards = max(1, math.ceil(long.count() / SHARD_ROWS), min(8, long.sparkSession.sparkContext.defaultParallelism))
     left = short.withColumns(
