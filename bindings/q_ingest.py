@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from savorgrid.functions import address as ad
-from savorgrid.functions import hours as hr
 from savorgrid.functions import money as mo
 from savorgrid.operators import ingest as ing
 from savorgrid.operators import merges as mg
-from savorgrid.operators import reconcile as rc
-from savorgrid.plans.score import score_venues
 from savorgrid.sources import readers as rd
 from savorgrid.sources import writers as wr
 
@@ -54,7 +51,7 @@ def s03(t: Tables):
     reg = t.register()
     fields = ["reg_id", "name", "street", "house_nr", "postcode", "municipality", "code", "valid_until"]
     quoted = [F.concat(F.lit('"'), F.col(c), F.lit('"')) for c in fields]
-    # a third of the lines is cut short after five fields
+    # some lines are cut short after five fields and must be skipped
     line = F.when(F.expr("ord % 11 = 5"), F.concat_ws(";", *quoted[:5])).otherwise(F.concat_ws(";", *quoted))
     reg.select(line.alias("value")).write.text(path)
     raw = t.spark.read.text(path)
@@ -67,7 +64,7 @@ def s04(t: Tables):
     path = scratch(t.spark)
     v = t.venues()
     rows = v.select(
-        F.col("id").cast("string").alias("id"), "name", "address", "lat", "lng", F.col("category") if "category" in v.columns else F.lit("Other").alias("cuisine"),
+        F.col("id").cast("string").alias("id"), "name", "address", "lat", "lng", F.lit("Other").alias("cuisine"),
         F.expr("case when id % 5 = 0 then '' else cast(rating as string) end").alias("rating"),
         F.expr("case when id % 7 = 0 then 'many' else cast(review_count as string) end").alias("review_count"),
     )
@@ -83,17 +80,14 @@ def s05(t: Tables):
     return back.select("id", "name", F.col("opening_hours").isNotNull().alias("has_hours"))
 
 
-@query("s06_write_json_and_worklist", EXT + """select ext_id, name, google_maps_link from (select ext_id, name,
-  'https://www.google.com/maps/search/' || replace(name || ' ' || coalesce(street, ''), ' ', '+') as google_maps_link from ext)""")
+@query("s06_write_json_and_worklist", EXT + """select name, 1 as priority,
+  'https://www.google.com/maps/search/' || replace(name || ' ' || coalesce(street, ''), ' ', '+') as google_maps_link from ext""")
 def s06(t: Tables):
     path = scratch(t.spark)
-    e = t.external().select("ext_id", "name", F.coalesce("street", F.lit("")).alias("address"), "lat", "lng",
+    e = t.external().select("name", F.coalesce("street", F.lit("")).alias("address"), "lat", "lng",
                             F.lit("Other").alias("cuisine"), F.lit(1).alias("priority"))
-    work = wr.candidate_worklist(e)
-    wr.write_json(work.select(*wr.WORKLIST_COLUMNS).withColumn("key", F.col("name")).drop("key").join(
-        e.select("ext_id", "name", "lat", "lng"), ["name", "lat", "lng"]), path)
-    back = t.spark.read.schema("ext_id bigint, name string, google_maps_link string").json(path)
-    return back
+    wr.write_json(wr.candidate_worklist(e), path)
+    return t.spark.read.schema("name string, priority int, google_maps_link string").json(path)
 
 
 @query("s07_mention_lookup", S.with_(S.V) + "select trim(lower(name)) as key, arg_max(id % 12, id) as mentions from v group by 1")

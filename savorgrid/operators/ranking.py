@@ -56,15 +56,14 @@ def value_ranks(df: DataFrame, column: str, out: str, ranges: int = RANK_BUCKETS
     number of rows in higher ranges plus the number above within the range, so no task
     ever sees more than one range of distinct values.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+    value = F.col(column).cast("double")
+    counts = materialise(
+        df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
     inner = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(counts.approxQuantile("_v", inner, 0.5 / ranges)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(
-        counts.withColumn("_v", F.col("_v").cast("double"))
-    )
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(counts)
     sizes = ranged.groupBy("_range").agg(F.sum("_n").alias("_size"))
     # at most ``ranges`` + 1 rows
     above = sizes.withColumn(

@@ -28,6 +28,8 @@ def test_value_ranks_with_a_hot_value(spark):
     got = {r._v: r.r for r in rk.value_ranks(df, "score", "r", ranges=8).collect()}
     want = pd.Series(vals).rank(method="min", ascending=False)
     assert all(got[v] == want[i] for i, v in enumerate(vals))
+    empty = rk.value_ranks(df.filter("id < 0"), "score", "r")
+    assert empty.count() == 0
 
 
 def test_contiguous_folds(spark):
