@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..context import CityPack
 from ..functions.geo import RadiusCells, haversine_m
 from ..functions.text import key_name, normalise_endings, normalise_quotes, words
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialise
 from .filters import worthwhile_candidates
 
 DENSE_CELL = 5000
@@ -70,9 +70,11 @@ def _word_pair_keys(name: Column) -> Column:
 def _collapse(df: DataFrame, rule: NameRule, order: str, prefix: str) -> DataFrame:
     """Distinct (comparable name, lat, lng) with the first position in list order."""
     placed = df.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    return placed.groupBy(
+    distinct = placed.groupBy(
         rule(F.col("name")).alias(f"{prefix}n"), F.col("lat").alias(f"{prefix}lat"), F.col("lng").alias(f"{prefix}lng")
     ).agg(F.min(order).alias(f"{prefix}ord"))
+    # the blocked joins read this several times, so it is written once
+    return materialise(distinct)
 
 
 def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool) -> DataFrame:
