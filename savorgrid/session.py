@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,27 @@ def build_session(master: str | None = None, app: str = "savorgrid", **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context; functions run there import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_savorgrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else it is imported from a zip that Spark has sent already
+        path = os.path.join(tempfile.mkdtemp(prefix="savorgrid-"), "savorgrid.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("savorgrid", os.path.relpath(full, root)))
+        sc.addPyFile(path)
+    sc._savorgrid_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
