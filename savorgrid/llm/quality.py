@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +19,15 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "es": ("el", "los", "que", "en", "se", "las", "por", "con", "no", "una", "su", "para"),
 }
 
-#: Cells of the character histogram, as the characters that translate() takes away; what is left over is the last cell.
+#: Cells of the character histogram; what is left over is the last cell. "space" and "symbol" also serve the base counts.
 CLASSES: tuple[tuple[str, str], ...] = (
     ("lower", "abcdefghijklmnopqrstuvwxyz"),
-    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("digit", "0123456789"),
     ("space", " \t\n\x0b\x0c\r"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("stop", ".,;:!?'\"()-"),
-    ("sign", "#*$%&|<>@/\\_=+~^{}[]`"),
+    ("symbol", SYMBOLS),
+    ("digit", "0123456789"),
+    ("sign", "@/\\_=+~^{}[]`"),
 )
 
 
@@ -36,24 +35,6 @@ def word_cells(words: dict[str, tuple[str, ...]] = COMMON_WORDS) -> list[str]:
     return list(dict.fromkeys(w for ws in words.values() for w in ws))
 
 
-def _add(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
-def base_counts(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.col("__words")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": F.when(F.instr(text, "\n") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long"),
-        "n_repeat_words": F.expr(_repeat_words()),
-    }
-
-
 def _repeat_words() -> str:
     """Words inside windows of WINDOW words that occur twice or more.
 
@@ -74,44 +55,72 @@ def _repeat_words() -> str:
     return f"case when size(__windows) = size(array_distinct(__windows)) then 0L else {sorted_once} end"
 
 
-def _windows() -> Column:
-    return F.expr(
-        f"case when size(__words) >= {WINDOW} then transform(sequence(0, size(__words) - {WINDOW}), "
-        f"i -> xxhash64(array_join(slice(__words, i + 1, {WINDOW}), ' '))) else array() end"
+#: A window's hash is taken from the hashes of its words.
+WINDOWS = (
+    f"case when size(__hashes) >= {WINDOW} then transform(sequence(0, size(__hashes) - {WINDOW}), "
+    f"i -> xxhash64({', '.join(f'get(__hashes, i + {k})' for k in range(WINDOW))})) else array() end"
+)
+
+
+def with_counts(rows: DataFrame, cells: list[str]) -> DataFrame:
+    """Replaces __text by the base counts, __total (characters), __chars and __common (array<long>).
+
+    Characters are taken away class by class, so that each step works on what the last has left. A common
+    word, in lower case, upper case or capitalised, becomes one letter, and letters are counted.
+    """
+    keep = [c for c in rows.columns if c != "__text"]
+    text = F.coalesce("__text", F.lit(""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    dup_lines = F.when(F.instr(text, "\n") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0)
+    rows = rows.select(
+        *keep, text.alias("__left0"), F.length(text).cast("long").alias("__total"), dup_lines.cast("long").alias("n_dup_lines"),
+        F.filter(F.split(text, SPACES, -1), lambda w: w != "").alias("__words"),
+    )
+    keep += ["__total", "n_dup_lines", "__words"]
+    for i, (_, chars) in enumerate(CLASSES):
+        rows = rows.select(*keep, *[f"__n{j}" for j in range(i)], F.length(f"__left{i}").cast("long").alias(f"__n{i}"), F.translate(f"__left{i}", chars, "").alias(f"__left{i + 1}"))
+    last = len(CLASSES)
+    counts = [F.col(f"__n{i}") - (F.col(f"__n{i + 1}") if i + 1 < last else F.length(f"__left{last}")) for i in range(last)]
+    letters = {v: chr(0x100 + i) for i, w in enumerate(cells) for v in (w, w.upper(), w.capitalize())}
+    code = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
+    coded = F.array_join(F.transform(F.filter("__words", lambda w: w.isin(*letters)), lambda w: F.element_at(code, w)), "")
+    keep = [c for c in keep if c != "__words"]
+    rows = rows.select(
+        *keep, F.size("__words").cast("long").alias("n_words"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"), coded.alias("__coded"),
+        F.array(*counts, F.length(f"__left{last}").cast("long")).alias("__chars"),
+    )
+    rows = rows.select(*[c for c in rows.columns if c != "__hashes"], F.expr(WINDOWS).alias("__windows"))
+    hits = [((F.octet_length("__coded") - F.octet_length(F.replace("__coded", F.lit(chr(0x100 + i)), F.lit("")))) / 2).cast("long") for i in range(len(cells))]
+    space, symbol = ([n for n, _ in CLASSES].index(n) for n in ("space", "symbol"))
+    return rows.select(
+        *[c for c in keep if c not in ("__total", "n_dup_lines")], "__total", "n_words",
+        (F.col("__total") - F.get("__chars", F.lit(space))).alias("word_chars"), F.get("__chars", F.lit(symbol)).alias("n_symbols"),
+        "n_dup_lines", F.expr(_repeat_words()).alias("n_repeat_words"), "__chars",
+        F.array(*hits, F.col("n_words") - F.length("__coded")).alias("__common"),
     )
 
 
-def histograms(text: Column, words: list[str]) -> dict[str, Column]:
-    """Character classes as ``chars`` and common words as ``common``, both array<long> with a cell for the rest."""
-    text = F.coalesce(text, F.lit(""))
-    total = F.length(text)
-    classes = [(total - F.length(F.translate(text, chars, ""))).cast("long") for _, chars in CLASSES]
-    cells = []
-    joined = F.concat(F.lit("|"), F.array_join("__common", "||"), F.lit("|"))
-    bound = F.col("__joined")
-    for w in words:
-        marked = f"|{w}|"
-        n = (F.octet_length(bound) - F.octet_length(F.replace(bound, F.lit(marked), F.lit("")))) / len(marked.encode())
-        cells.append(n.cast("long"))
-    return {"joined": joined, "classes": F.array(*classes), "total": total.cast("long"), "cells": F.array(*cells)}
+def shares(counts: Column) -> Column:
+    """A histogram's cells as shares of its sum; null for an empty one."""
+    return F.transform(
+        F.array(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)),
+        lambda total: F.when(total > 0, F.transform(counts, lambda x: x / total)),
+    )[0]
 
 
 def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two histograms of equal length: 0 to 1. An empty one gives 1."""
-    sum_p, sum_q = F.aggregate(p, F.lit(0.0), lambda a, x: a + x), F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
+    """Jensen-Shannon distance, base 2, of two lists of shares: 0 to 1; null if one is null."""
 
     def part(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0) + F.when(y > 0, y * F.log2(2 * y / (x + y))).otherwise(0.0)
 
-    terms = F.zip_with(p, q, lambda x, y: part(x / sum_p, y / sum_q))
-    js = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2
-    return F.when((sum_p > 0) & (sum_q > 0), F.sqrt(F.greatest(js, F.lit(0.0)))).otherwise(1.0)
+    return F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def quality_rules(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None,
     words: dict[str, tuple[str, ...]] = COMMON_WORDS, min_chars: int = 200, min_words: int = 50,
-    max_char_distance: float = 0.35, max_word_distance: float = 0.6,
+    max_char_distance: float = 0.3, max_word_distance: float = 0.4,
 ) -> DataFrame:
     """The rows with the base counts, base_failed, char_distance, word_distance and kept.
 
@@ -130,44 +139,31 @@ def quality_rules(
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
     # names of our own for what is carried, so that none clashes with a helper
     picked = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    split = F.filter(F.split(F.coalesce("__text", F.lit("")), SPACES, -1), lambda w: w != "")
-    rows = picked.withColumn("__words", split)
     own = [f"c_{i}" for i in range(len(carry))]
-    lowered = F.filter(F.transform("__words", F.lower), lambda w: w.isin(*cells))
-    rows = rows.withColumns({"__windows": _windows(), "__common": lowered})
-    parts = histograms(F.col("__text"), cells)
-    counts = base_counts(F.col("__text"))
-    rows = rows.select(
-        *own, "__lang", *[c.alias(n) for n, c in counts.items()], parts["joined"].alias("__joined"),
-        parts["classes"].alias("__classes"), parts["total"].alias("__total"),
-    )
-    rows = rows.select(*own, "__lang", *counts, "__classes", "__total", parts["cells"].alias("__cells"))
-    known = F.aggregate("__classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    hits = F.aggregate("__cells", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.select(
-        *own, "__lang", *counts, "__total",
-        F.concat("__classes", F.array(F.col("__total") - known)).alias("__chars"),
-        F.concat("__cells", F.array(F.col("n_words") - hits)).alias("__common"),
-        ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-    )
-    rows = materialise(rows)
+    rows = with_counts(picked, cells)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = materialise(rows.withColumn("base_failed", failed))
 
     good = rows.where(~F.col("base_failed") & (F.col("__total") >= min_chars) & (F.col("n_words") >= min_words) & F.col("__lang").isin(*words))
     sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("__chars", len(CLASSES) + 1), ("__common", len(cells) + 1)) for i in range(n)]
     references = good.groupBy("__lang").agg(*sums).orderBy("__lang").collect()  # one row for each word list at most
 
     def nearest(c: str, n: int) -> Column:
-        each = [divergence(F.col(c).cast("array<double>"), F.array(*[F.lit(float(r[f"{c}{i}"])) for i in range(n)])) for r in references]
+        each = []
+        for r in references:
+            total = sum(r[f"{c}{i}"] for i in range(n))
+            each.append(divergence(F.col(c), F.array(*[F.lit(r[f"{c}{i}"] / total) for i in range(n)])))
         if not each:
             return F.lit(None).cast("double")
-        return each[0] if len(each) == 1 else F.least(*each)
+        return F.round(each[0] if len(each) == 1 else F.least(*each), 6)
 
+    rows = rows.withColumns({"__chars": shares(F.col("__chars")), "__common": shares(F.col("__common"))})
     rows = rows.withColumns({
-        "char_distance": F.when(F.col("__total") >= min_chars, F.round(nearest("__chars", len(CLASSES) + 1), 6)),
-        "word_distance": F.when(F.col("n_words") >= min_words, F.round(nearest("__common", len(cells) + 1), 6)),
+        "char_distance": F.when(F.col("__total") >= min_chars, nearest("__chars", len(CLASSES) + 1)),
+        "word_distance": F.when(F.col("n_words") >= min_words, nearest("__common", len(cells) + 1)),
     })
     odd = F.coalesce(F.col("char_distance") > max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
     return rows.select(
-        *[F.col(o).alias(c) for o, c in zip(own, carry, strict=True)], *counts, "base_failed", "char_distance", "word_distance",
+        *[F.col(o).alias(c) for o, c in zip(own, carry, strict=True)], *added[:5], "base_failed", "char_distance", "word_distance",
         (~F.col("base_failed") & ~odd).alias("kept"),
     )
