@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from savorgrid.session import materialise
 
-from .textcore import PrefixHash, chunks, word_spans
+from .textcore import LOWER, PrefixHash, chunks, word_spans
 
 _TOKENIZERS: dict = {}
 
@@ -27,32 +28,64 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # a word of a-z alone passes both of these unchanged and in one piece
+        bare.normalizer = None
+        bare.pre_tokenizer = None
+        _TOKENIZERS[path] = whole, bare
     return _TOKENIZERS[path]
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
+
+def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and starts, ends and first part of each text for words cut where punctuation
+    follows an ASCII letter: the tokenizer's pieces never cross such a place or white space.
+
+    A capital before a non-ASCII byte stays, as a combining mark may join it.
+    """
+    starts, ends, word_at = word_spans(buf, off)
+    if not len(starts):
+        return buf, starts, ends, word_at
+    cut = np.flatnonzero(_LETTER[buf[:-1]] & _PUNCT[buf[1:]]) + 1
+    cut = cut[~np.isin(cut, off)] if len(cut) else cut
+    low = LOWER[buf]
+    before_wide = np.flatnonzero(buf[1:] >= 0x80)
+    low[before_wide] = buf[before_wide]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return low, starts, ends, np.searchsorted(starts, off)
+
+
 def token_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, all ids, where each text's ids start) for runs of texts; every text ends with ``end_id``.
 
     For tokenizers that never look across white space: each different word of a run is encoded once.
     """
-    tok = _tokenizer(path)
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    whole, bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in _tokenizer(path))
     for first, last, buf, off in chunks(column, 24 << 20):
-        starts, ends, word_at = word_spans(buf, off)
+        buf, starts, ends, word_at = _parts(buf, off)
         hashes = np.concatenate([PrefixHash(b).spans(s, e) for b, s, e in _slices(buf, starts, ends)] or [np.zeros(0, np.uint64)])
         _, where, of_word = np.unique(hashes, return_index=True, return_inverse=True)
         ids: list[int] = []
         sizes = np.zeros(len(where), dtype=np.int64)
         raw = buf.tobytes()
-        for k in range(0, len(where), 20_000):
-            some = where[k : k + 20_000]
-            words = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
-            for i, found in enumerate(encode(words, add_special_tokens=False)):
-                own = found.ids
-                sizes[k + i] = len(own)
-                ids.extend(own)
-        table, at = np.array(ids, dtype=np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        # letters alone first; the order of the table is free
+        plain = np.concatenate([[0], np.cumsum(_LETTER[buf] & (buf >= 97))]) if len(buf) else np.zeros(1, dtype=np.int64)
+        simple = plain[ends[where]] - plain[starts[where]] == ends[where] - starts[where]
+        begin = np.zeros(len(where), dtype=np.int64)
+        for encode, own in ((bare, np.flatnonzero(simple)), (whole, np.flatnonzero(~simple))):
+            for k in range(0, len(own), 20_000):
+                some = own[k : k + 20_000]
+                words = [raw[s:e].decode() for s, e in zip(starts[where[some]].tolist(), ends[where[some]].tolist(), strict=True)]
+                found = [e.ids for e in encode(words, add_special_tokens=False)]
+                sizes[some] = n = np.array([len(x) for x in found], dtype=np.int64)
+                begin[some] = len(ids) + np.cumsum(n) - n
+                ids.extend(chain.from_iterable(found))
+        table = np.array(ids, dtype=np.uint32)
         # texts of a few million words at a time, to bound the working arrays
         i = 0
         while i < last - first:
@@ -60,7 +93,7 @@ def token_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, n
             of = of_word[word_at[i] : word_at[j]]
             n = sizes[of]
             upto = np.concatenate([[0], np.cumsum(n)])
-            flat = table[np.arange(upto[-1]) + np.repeat(at[of] - upto[:-1], n)]
+            flat = table[np.arange(upto[-1]) + np.repeat(begin[of] - upto[:-1], n)]
             bounds = upto[word_at[i : j + 1] - word_at[i]]
             flat = np.insert(flat, bounds[1:], end_id).astype("<u4")
             yield first + i, flat, bounds + np.arange(len(bounds))
@@ -154,7 +187,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(basis[:, i].astype(np.int64), float(x[i])) for i in range(m) if x[i] > 1e-9]
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, groups: int = 40, small: float = 0.08) -> list[tuple[int, int, int, int, int]]:
+def packing_plan(histogram: dict[int, int], capacity: int, groups: int = 40, small: tuple[float, ...] = (0.3, 0.4, 0.5)) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences of those that take lengths over each share ``small`` as large."""
+    plans = [_plan(histogram, capacity, groups, s) for s in small]
+    return min(plans, key=lambda p: max((at + n for _, _, n, at, _ in p), default=0))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, count, first sequence, offset): the pieces of a length with ranks from the first
     on go to consecutive sequences, all at that offset.
 
