@@ -110,19 +110,23 @@ class LanguageModel:
         """
         added = ["lang_pred", "score"]
         carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
-        picked = docs.select(*carry, F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+        own = [] if text_col in carry else [F.col(text_col).alias("__text")]
+        letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter")
+        picked = docs.select(*carry, *own, letter)
+        width, letter_at = len(carry), len(carry) + len(own)
+        text_at = width if own else carry.index(text_col)
         model = docs.sparkSession.sparkContext.broadcast((self.languages, self.weights, self.prior))
-        orders, bits, width = self.orders, self.bits, len(carry)
+        orders, bits = self.orders, self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             languages, weights, prior = model.value
             names = np.array([*languages, UNKNOWN], dtype=object)
             for batch in batches:
                 scores = np.tile(prior, (batch.num_rows, 1))
-                for first, last, ids, at in _grams(batch.column(width), orders, bits):
+                for first, last, ids, at in _grams(batch.column(text_at), orders, bits):
                     for k in range(len(languages)):
                         scores[first:last, k] += _sums(weights[k].take(ids), at)
-                known = batch.column(width + 1).to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
+                known = batch.column(letter_at).to_numpy(zero_copy_only=False).astype(bool) & bool(languages)
                 best = np.full(batch.num_rows, len(languages))
                 score = np.zeros(batch.num_rows)
                 if languages:

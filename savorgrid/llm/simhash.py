@@ -51,18 +51,18 @@ def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> DataFrame:
-    """``docs`` without the text, with ``fp``: the fingerprint as a signed long."""
-    rest = [c for c in docs.columns if c not in (text_col, "fp")]
-    docs = docs.select(*rest, F.col(text_col).alias("__text"))
+def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless it is kept, with ``fp``: the fingerprint as a signed long."""
+    rest = [c for c in docs.columns if c != "fp" and (keep_text or c != text_col)]
+    order = rest if keep_text else [*rest, text_col]
+    at = order.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints_of(batch.column(len(rest)), width).view(np.int64)
+            fp = fingerprints_of(batch.column(at), width).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(fp)], names=[*rest, "fp"])
 
-    schema = StructType([*docs.drop("__text").schema.fields, StructField("fp", LongType())])
-    return docs.mapInArrow(run, schema)
+    return docs.select(*order).mapInArrow(run, StructType([*docs.select(*rest).schema.fields, StructField("fp", LongType())]))
 
 
 def covering_masks(radius: int, seed: int) -> list[int]:
@@ -166,25 +166,32 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, carry: list[str] | None = None) -> DataFrame:
-    """The documents with ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable over
-    links of at most ``radius`` differing bits, its own included).
+    """The documents with ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over links
+    of at most ``radius`` differing bits, its own included) and ``stays`` (true for one row of a component).
 
     Equal fingerprints collapse before the covering tables, so copies cost nothing there. A text without
-    words (empty, blank or null) has fingerprint zero and is linked like any other. Null ids take no part
-    in the minimum, a component of null ids alone gets null. Repeated rows and ids keep one row each;
-    clashing columns are replaced. ``carry``: the columns to bring along, all by default.
+    words (empty, blank or null) has fingerprint zero and is linked like any other. The row with the
+    component's id stays; null ids come last, and a component of null ids alone gets null; of rows that
+    share the id the first read stays. An empty table gives no rows; clashing columns are replaced.
+    ``carry``: the columns to bring along, all by default.
     """
-    added = ["fingerprint", "component_id"]
+    added = ["fingerprint", "component_id", "stays"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    picked = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    rows = materialise(fingerprints(picked, "__t", width))
-    fps = materialise(rows.groupBy("fp").agg(F.min("__id").alias("least")))
+    own = [f"c_{i}" for i in range(len(carry))]
+    key = docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    text = f"c_{carry.index(text_col)}" if text_col in carry else None
+    if text:
+        key = key.drop("__t")
+    rows = materialise(fingerprints(key, text or "__t", width, keep_text=bool(text)).withColumn("__row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    fps = materialise(rows.groupBy("fp").agg(first.alias("least")))
     roots = components(near_links(fps, radius))
     fps = materialise(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = materialise(fps.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_fp = materialise(fps.join(least, "root").select("fp", "component_id"))
+    least = materialise(fps.groupBy("root").agg(F.min("least").alias("of_all")))
+    of_fp = materialise(fps.join(least, "root").select("fp", "of_all"))
     return rows.join(of_fp, "fp").select(
-        *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)],
+        *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)],
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("of_all.id").alias("component_id"),
+        (F.col("__row") == F.col("of_all.row")).alias("stays"),
     )

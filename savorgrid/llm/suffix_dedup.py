@@ -391,39 +391,25 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 # -- jobs --------------------------------------------------------------------------------------------
 
 
-def _tid(text):
-    return F.unhex(F.substring(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256), 1, 32))
+def _sha(text):
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, carry: list[str] | None = None, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
-    """The rows with n_bytes, n_removed, n_spans, kept_sha256 and spans (array of byte ranges a to b, null
-    for none): the bytes covered by a string of ``width`` bytes that also starts anywhere else.
+def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
+    """(tid, spans, n_removed, kept_sha256) of the different texts that lose bytes, copies of whole texts apart.
 
     1. Texts are reduced to different ones (in the task first, then once over the cluster) and written in
-       buckets, so that later joins with them do not move text. A text with copies goes entirely.
+       buckets, so that later joins with them do not move text.
     2. Every string picks an anchor inside it. Strings whose anchor occurs once in the corpus are unique.
     3. The bytes around the other anchors are grouped by anchor, suffixes to the right of it and prefixes
        to the left are sorted (deep-shallow), and the two orders give what is repeated. An anchor with
        over ``group_rows`` contexts is decided string by string in an aggregation instead, which
        needs no group in one task and gives the same result.
-
-    A null or empty text, and one shorter than the width, loses nothing. Repeated rows count as copies.
-    An empty table gives no rows; columns called like the added ones are replaced. ``carry``: columns to
-    bring along, all but the text by default.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in (text_col, *added)]
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialise(
-        docs.select(
-            *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.octet_length(text).cast("long").alias("n_bytes"),
-            F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"),
-        )
-    )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, path = f"texts_{uuid.uuid4().hex}", new_folder(spark)
-    texts = docs.where(F.octet_length(F.col(text_col)) >= width).select(_tid(F.col(text_col)).alias("tid"), F.col(text_col).alias("text"))
+    texts = docs.where(F.octet_length(F.col(text_col)) >= width).select(F.unhex(F.substring(_sha(F.col(text_col)), 1, 32)).alias("tid"), F.col(text_col).alias("text"))
     texts = texts.mapInArrow(_distinct, texts.schema).repartition(parts, "tid").mapInArrow(_distinct, texts.schema)
     texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "tid").saveAsTable(table)
     texts = spark.table(table)
@@ -446,19 +432,57 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, ca
         hit = single.join(twice, "w", "left_semi").select("tid", "a", (F.col("a") + width).alias("b"))
         spans = spans.unionByName(hit)
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    partial = texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
+    return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
         _apply, "tid binary, spans array<struct<a: bigint, b: bigint>>, n_removed long, kept_sha256 string"
     )
-    copies = materialise(rows.where(F.col("n_bytes") >= width).groupBy("sha").count().where("count > 1").select("sha"))
-    partial = materialise(partial.withColumnRenamed("kept_sha256", "__kept").withColumnRenamed("n_removed", "__removed"))
-    out = rows.withColumn("tid", F.unhex(F.substring("sha", 1, 32))).join(partial, "tid", "left").join(copies.withColumn("__copy", F.lit(True)), "sha", "left")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, carry: list[str] | None = None, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
+    """The rows with n_bytes, n_removed, n_spans, kept_sha256 and spans (array of byte ranges a to b, null
+    for none): the bytes covered by a string of ``width`` bytes that also starts anywhere else.
+
+    A text with copies goes entirely. A null or empty text, and one shorter than the width, loses nothing.
+    Repeated rows count as copies. An empty table gives no rows; columns called like the added ones are
+    replaced. ``carry``: columns to bring along, all but the text by default; the text may be among them.
+    """
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in added and not (carry is None and c == text_col)]
+    own = [f"c_{i}" for i in range(len(carry))]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = materialise(docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.octet_length(text).cast("long").alias("n_bytes"), _sha(text).alias("sha")))
+    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, gram).withColumnsRenamed({"kept_sha256": "__kept", "n_removed": "__removed"}))
+    copies = materialise(rows.where(F.col("n_bytes") >= width).groupBy("sha").count().where("count > 1").select("sha", F.lit(True).alias("__copy")))
+    out = rows.withColumn("tid", F.unhex(F.substring("sha", 1, 32))).join(partial, "tid", "left").join(copies, "sha", "left")
     whole = F.coalesce(F.col("__copy"), F.lit(False))
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
     spans = F.when(whole, all_of_it).otherwise(F.col("spans"))
     return out.select(
-        *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "n_bytes",
+        *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("__removed", F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce(F.size(spans), F.lit(0)).cast("long").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("__kept", "sha")).alias("kept_sha256"),
         spans.alias("spans"),
     )
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) -> DataFrame:
+    """The documents with the repeated bytes taken out of their texts.
+
+    Every row stays, if need be with an empty text; a null text stays null. A character that a cut goes
+    through goes as a whole.
+    """
+    found = repeated_spans(docs, text_col, width, carry=docs.columns)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(len(names)).to_pylist()
+            texts = [
+                t if not own or t is None else cut(t.encode(), [(x["a"], x["b"]) for x in own]).decode(errors="ignore")
+                for t, own in zip(batch.column(at).to_pylist(), spans, strict=True)
+            ]
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return found.select(*names, "spans").mapInArrow(run, docs.schema)
