@@ -338,24 +338,81 @@ def _spans(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tid", "a", "b"])
 
 
-def _windows(width: int):
-    """Every string around a crowded anchor by its digest."""
+def _ranges(width: int, gram: int, ways: int = 4):
+    """Rows of crowded anchors by ranges of strings, told apart by how far left of the anchor they start.
+
+    A row comes with a range and leaves with its parts (or itself, at first). For each part: ``core``, the
+    digest of the bytes that all strings of the range have in common places, so that equal strings meet
+    under one core; ``whole``, the digest of all bytes of the row's strings in the range; and the span a to b
+    of those strings.
+    """
+
+    def digest(*parts: bytes) -> bytes:
+        d = hashlib.blake2b(digest_size=16)
+        for x in parts:
+            d.update(len(x).to_bytes(8, "little") + x)
+        return d.digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, h, at, lo, data in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                n = len(data) - width + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([tid] * n, pa.binary()), pa.array(range(lo, lo + n), pa.int64()),
-                        pa.array([hashlib.blake2b(data[i : i + width], digest_size=16).digest() for i in range(n)], pa.binary()),
-                    ],
-                    names=["tid", "a", "w"],
-                )
+            out: list[list] = [[] for _ in range(11)]
+            for tid, h, at, lo, data, near, far in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                left, right = at - lo, len(data) - (at - lo)  # bytes on either side
+                if near is None:
+                    parts = [(0, width - gram)]
+                else:
+                    step = -(-(far - near + 1) // ways)
+                    parts = [(n, min(far, n + step - 1)) for n in range(near, far + 1, step)]
+                for n, f in parts:
+                    first, last = max(n, width - right), min(f, left)  # the strings this row has
+                    if first > last:
+                        continue
+                    own = data[left - last : left - first + width]
+                    core = digest(h.to_bytes(8, "little", signed=True), data[left - n : left], data[left : left + width - f])
+                    row = tid, h, at, lo, data, n, f, core, digest(last.to_bytes(8, "little"), own), at - last, at - first + width
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+            long, raw = pa.int64(), pa.binary()
+            kinds = [raw, long, long, long, raw, long, long, raw, raw, long, long]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)],
+                names=["tid", "h", "at", "lo", "bytes", "near", "far", "core", "whole", "a", "b"],
+            )
 
     return run
 
 
+RANGED = "tid binary, h long, at long, lo long, bytes binary, near long, far long, core binary, whole binary, a long, b long"
+
+
+def _crowded_spans(contexts: DataFrame, width: int, gram: int, group_rows: int, parts: int) -> DataFrame:
+    """Spans around anchors with very many contexts, without a large group in any task.
+
+    In rounds: rows whose bytes are equal over the whole range are repeated there, and one of them goes on
+    for the others. Rows left alone under their core are unique. A core with few rows is sorted like any
+    other anchor; the range of a core with many is cut in four, which fixes more bytes of the core. A
+    range of one string ends the rounds, as its core is the string itself.
+    """
+    rows = contexts.select("tid", "h", "at", "lo", "bytes", F.lit(None).cast("long").alias("near"), F.lit(None).cast("long").alias("far"))
+    out = None
+    while True:
+        rows = materialise(rows.mapInArrow(_ranges(width, gram), RANGED))
+        whole = materialise(
+            rows.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one"))
+        )
+        cores = materialise(whole.groupBy("core").count().where("count > 1").select("core", (F.col("count") > group_rows).alias("many")))
+        known = rows.join(whole, ["core", "whole"])
+        same = known.where("n > 1").select("tid", "a", "b")
+        going = known.where((F.col("n") == 1) | (F.struct("tid", "at") == F.col("one"))).join(cores, "core")
+        going = materialise(going.select("tid", "core", "h", "at", "lo", "bytes", "near", "far", "many"))
+        few = going.where("not many").select("tid", "core", "at", "lo", "bytes").repartition(parts, "core").sortWithinPartitions("core")
+        found = materialise(same.unionByName(few.mapInArrow(_match(width), "tid binary, a long, b long")))
+        out = found if out is None else out.unionByName(found)
+        rows = going.where("many and near < far").select("tid", "h", "at", "lo", "bytes", "near", "far")
+        if rows.isEmpty():
+            return out
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
@@ -402,9 +459,8 @@ def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400,
        buckets, so that later joins with them do not move text.
     2. Every string picks an anchor inside it. Strings whose anchor occurs once in the corpus are unique.
     3. The bytes around the other anchors are grouped by anchor, suffixes to the right of it and prefixes
-       to the left are sorted (deep-shallow), and the two orders give what is repeated. An anchor with
-       over ``group_rows`` contexts is decided string by string in an aggregation instead, which
-       needs no group in one task and gives the same result.
+       to the left are sorted (deep-shallow), and the two orders give what is repeated. The rows of an
+       anchor with over ``group_rows`` contexts are first told apart by more of their bytes.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -426,11 +482,7 @@ def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400,
     plain = contexts.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h")
     spans = plain.mapInArrow(_match(width), "tid binary, a long, b long")
     if crowded:
-        single = materialise(contexts.where("hot").drop("hot").mapInArrow(_windows(width), "tid binary, a long, w binary"))
-        twice = materialise(single.groupBy("w").count().where("count > 1").select("w"))
-        # neighbouring strings are one span
-        hit = single.join(twice, "w", "left_semi").select("tid", "a", (F.col("a") + width).alias("b"))
-        spans = spans.unionByName(hit)
+        spans = spans.unionByName(_crowded_spans(contexts.where("hot"), width, gram, group_rows, parts))
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
         _apply, "tid binary, spans array<struct<a: bigint, b: bigint>>, n_removed long, kept_sha256 string"
