@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from .textcore import LOWER, PrefixHash, chunks, mix, word_spans
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end of a text, also the history of its first word
 CUT = 5  # counts above this are not discounted
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 STATS = [f"n{r}" for r in range(1, CUT + 2)]
 MESSAGE = "bucket int, block long, keys binary, counts binary, extra binary"
 REPLY = f"block long, bucket int, reply binary, types long, tokens long, {', '.join(f'{s} long' for s in STATS)}"
@@ -68,6 +69,15 @@ class Unigrams:
         return np.where(counts > 0, known, self.unknown)
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts are small numbers for the most part."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int64)
+
+
 def _blocks(width: int, kinds: list[pa.DataType], names: list[str]):
     """Runs of texts as one row each: the other columns, and the words as numbers into a sorted word list."""
 
@@ -123,7 +133,7 @@ class Block:
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         of_token = place[of_token]
-        counts = np.bincount(of_token[self.trained], minlength=len(order)).astype(np.uint32)
+        counts = np.bincount(of_token[self.trained], minlength=len(order))
         return hashes[order], h[order], w[order], of_token, counts
 
 
@@ -134,7 +144,7 @@ def _messages(block: int, buckets: int, keys: np.ndarray, counts: np.ndarray, ex
     return pa.RecordBatch.from_arrays(
         [
             pa.array([i for i, _, _ in cut], pa.int32()), pa.array([block] * len(cut), pa.int64()),
-            pa.array([keys[a:b].tobytes() for _, a, b in cut], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in cut], pa.binary()),
+            pa.array([keys[a:b].tobytes() for _, a, b in cut], pa.binary()), pa.array([_squeeze(counts[a:b]) for _, a, b in cut], pa.binary()),
             pa.array([None if extra is None else extra[a:b].tobytes() for _, a, b in cut], pa.binary()),
         ],
         names=["bucket", "block", "keys", "counts", "extra"],
@@ -152,11 +162,11 @@ def _reducer(fold):
         keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
         at = np.cumsum([len(k) for k in keys])[:-1]
         _, number = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]]).astype(np.int64)
+        counts = np.concatenate([_counts(c) for c in group["counts"]])
         extra = np.concatenate([np.frombuffer(x, np.float64).reshape(-1, 2) for x in group["extra"]]) if group["extra"].notna().all() else None
         reply, summary = fold(number, counts, extra)
         bucket = int(group["bucket"].iloc[0])
-        out = pd.DataFrame({"block": group["block"], "bucket": bucket, "reply": [r.tobytes() for r in np.split(reply, at)]})
+        out = pd.DataFrame({"block": group["block"], "bucket": bucket, "reply": [_squeeze(r) if r.dtype == np.int64 else r.tobytes() for r in np.split(reply, at)]})
         for name in ("types", "tokens", *STATS):
             out[name] = 0
             out.loc[out.index[:1], name] = summary.get(name, 0)
@@ -241,14 +251,17 @@ class KatzScorer:
         def load(batch: pa.RecordBatch, i: int) -> Block:
             return Block(*[batch.column(batch.schema.get_field_index(c))[i].as_py() for c in ("words", "tokens", "bounds", "trained")])
 
-        def answer(batch: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *[np.frombuffer(x, kind) for x in batch.column(batch.schema.get_field_index(name))[i].as_py()]])
+        def answer(batch: pa.RecordBatch, name: str, i: int, read=_counts) -> np.ndarray:
+            return np.concatenate([read(x) for x in batch.column(batch.schema.get_field_index(name))[i].as_py()])
+
+        def floats(blob: bytes) -> np.ndarray:
+            return np.frombuffer(blob, np.float64)
 
         def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     b = load(batch, i)
-                    counts = np.bincount(b.tokens[b.trained], minlength=len(b.words)).astype(np.uint32)
+                    counts = np.bincount(b.tokens[b.trained], minlength=len(b.words))
                     yield _messages(batch.column(0)[i].as_py(), buckets, b.words, counts)
 
         def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +281,14 @@ class KatzScorer:
             for batch in batches:
                 for i in range(batch.num_rows):
                     b = load(batch, i)
-                    count, pair = answer(batch, "reply0", i, np.int64) >> 1, answer(batch, "reply1", i, np.int64)
+                    count, pair = answer(batch, "reply0", i) >> 1, answer(batch, "reply1", i)
                     _, h, w, _, _ = b.pairs()
                     mine = (pair & 1) > 0  # each pair is summed in one block
                     sums = np.stack([
                         np.bincount(h[mine], pairs.discounted(pair[mine] >> 1), len(b.words)),
                         np.bincount(h[mine], unigrams.of(count[w[mine]]), len(b.words)),
                     ], axis=1)
-                    yield _messages(batch.column(0)[i].as_py(), buckets, b.words, count.astype(np.uint32), sums)
+                    yield _messages(batch.column(0)[i].as_py(), buckets, b.words, count, sums)
 
         weights = self._ask(self._with(table, word_counts, pair_counts).select(*stored, "reply0", "reply1").mapInArrow(ask_weights, MESSAGE), _weigh)
         added_fields = [StructField("n_tokens", LongType()), StructField("n_known", LongType()), StructField("train_tokens", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())]
@@ -284,9 +297,9 @@ class KatzScorer:
             for batch in batches:
                 for i in range(batch.num_rows):
                     b = load(batch, i)
-                    count = answer(batch, "reply0", i, np.int64) >> 1
-                    pair = answer(batch, "reply1", i, np.int64) >> 1
-                    weight = answer(batch, "reply2", i, np.float64)
+                    count = answer(batch, "reply0", i) >> 1
+                    pair = answer(batch, "reply1", i) >> 1
+                    weight = answer(batch, "reply2", i, floats)
                     _, h, w, of_token, _ = b.pairs()
                     # P(w | h): the discounted share if the pair was seen, else the weight times P(w)
                     full = weight[h] < 0
