@@ -60,40 +60,67 @@ def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return low, starts, ends, np.searchsorted(starts, off)
 
 
-def token_ids(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class WordTable:
+    """Ids of the words a task has met, by word hash; started anew when it holds ``limit`` words."""
+
+    def __init__(self, path: str, limit: int = 1_500_000):
+        self.whole, self.bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in _tokenizer(path))
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.begin = self.size = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def learn(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
+        """Encode the words of sorted ``keys`` that are new; ``plain`` ones are letters a to z alone."""
+        if len(self.keys) + len(keys) > self.limit:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        begin, size, flat = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64), [self.ids]
+        total = len(self.ids)
+        for encode, own in ((self.bare, np.flatnonzero(new & plain)), (self.whole, np.flatnonzero(new & ~plain))):
+            for k in range(0, len(own), 20_000):
+                some = own[k : k + 20_000]
+                words = [raw[s:e].decode() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                found = [e.ids for e in encode(words, add_special_tokens=False)]
+                size[some] = n = np.array([len(x) for x in found], dtype=np.int64)
+                begin[some] = total + np.cumsum(n) - n
+                flat.append(np.array(list(chain.from_iterable(found)), dtype=np.uint32))
+                total += len(flat[-1])
+        keys = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ids = keys[order], np.concatenate(flat)
+        self.begin = np.concatenate([self.begin, begin[new]])[order]
+        self.size = np.concatenate([self.size, size[new]])[order]
+
+
+def token_ids(column: pa.Array, table: WordTable, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, all ids, where each text's ids start) for runs of texts; every text ends with ``end_id``.
 
-    For tokenizers that never look across white space: each different word of a run is encoded once.
+    For tokenizers that never look across white space: each different word is encoded once.
     """
-    whole, bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in _tokenizer(path))
-    for first, last, buf, off in chunks(column, 24 << 20):
+    for first, last, buf, off in chunks(column, 6 << 20):
         buf, starts, ends, word_at = _parts(buf, off)
         hashes = np.concatenate([PrefixHash(b).spans(s, e) for b, s, e in _slices(buf, starts, ends)] or [np.zeros(0, np.uint64)])
-        _, where, of_word = np.unique(hashes, return_index=True, return_inverse=True)
-        ids: list[int] = []
-        sizes = np.zeros(len(where), dtype=np.int64)
-        raw = buf.tobytes()
-        # letters alone first; the order of the table is free
-        plain = np.concatenate([[0], np.cumsum(_LETTER[buf] & (buf >= 97))]) if len(buf) else np.zeros(1, dtype=np.int64)
-        simple = plain[ends[where]] - plain[starts[where]] == ends[where] - starts[where]
-        begin = np.zeros(len(where), dtype=np.int64)
-        for encode, own in ((bare, np.flatnonzero(simple)), (whole, np.flatnonzero(~simple))):
-            for k in range(0, len(own), 20_000):
-                some = own[k : k + 20_000]
-                words = [raw[s:e].decode() for s, e in zip(starts[where[some]].tolist(), ends[where[some]].tolist(), strict=True)]
-                found = [e.ids for e in encode(words, add_special_tokens=False)]
-                sizes[some] = n = np.array([len(x) for x in found], dtype=np.int64)
-                begin[some] = len(ids) + np.cumsum(n) - n
-                ids.extend(chain.from_iterable(found))
-        table = np.array(ids, dtype=np.uint32)
-        # texts of a few million words at a time, to bound the working arrays
+        keys, where, of_word = np.unique(hashes, return_index=True, return_inverse=True)
+        other = np.concatenate([[0], np.cumsum(~(_LETTER[buf] & (buf >= 97)), dtype=np.int32)]) if len(buf) else np.zeros(1, np.int32)
+        plain = other[ends[where]] == other[starts[where]]
+        table.learn(keys, buf.tobytes(), starts[where], ends[where], plain)
+        at = np.searchsorted(table.keys, keys)
+        sizes, begin = table.size[at], table.begin[at]
+        # texts of some hundred thousand words at a time, to bound the working arrays
         i = 0
         while i < last - first:
-            j = min(last - first, max(i + 1, int(np.searchsorted(word_at, word_at[i] + 1_000_000, "right")) - 1))
+            j = min(last - first, max(i + 1, int(np.searchsorted(word_at, word_at[i] + 500_000, "right")) - 1))
             of = of_word[word_at[i] : word_at[j]]
             n = sizes[of]
             upto = np.concatenate([[0], np.cumsum(n)])
-            flat = table[np.arange(upto[-1]) + np.repeat(begin[of] - upto[:-1], n)]
+            flat = table.ids[np.arange(upto[-1]) + np.repeat(begin[of] - upto[:-1], n)]
             bounds = upto[word_at[i : j + 1] - word_at[i]]
             flat = np.insert(flat, bounds[1:], end_id).astype("<u4")
             yield first + i, flat, bounds + np.arange(len(bounds))
@@ -118,9 +145,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text_c
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        part, seen, table = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64), WordTable(tokenizer_path)
         for batch in batches:
-            for first, flat, bounds in token_ids(batch.column(len(rest)), tokenizer_path, end_id):
+            for first, flat, bounds in token_ids(batch.column(len(rest)), table, end_id):
                 total = np.diff(bounds)
                 count = -(-total // capacity)
                 row = np.repeat(np.arange(len(total)), count)
