@@ -271,31 +271,45 @@ def _find_anchors(width: int, gram: int):
     return run
 
 
-def _cut_contexts(width: int):
-    """The bytes around each anchor that repeats: from the first string that picks it to the end of the last."""
+def _cut_contexts(width: int, rows: int = 20_000):
+    """The bytes around each anchor that repeats: from the first string that picks it to the end of the last.
+
+    Equal ones that come together (a text that repeats itself, copies of a passage in one task) are known to be
+    repeated; one of them goes on as a context, the others' spans come out as rows without an anchor.
+    """
+
+    def flush(found: list[tuple]) -> pa.RecordBatch:
+        same: dict[tuple[int, int, bytes], list[tuple]] = {}
+        for tid, h, at, lo, data, hot in found:
+            same.setdefault((h, at - lo, data), []).append((tid, at, lo, hot))
+        out, known = [], {}
+        for (h, _, data), places in same.items():
+            tid, at, lo, hot = places[0]
+            out.append((tid, h, at, lo, data, hot, None, None))
+            if len(places) > 1:
+                for tid, _, lo, _ in places:
+                    known.setdefault(tid, []).append((lo, lo + len(data)))
+        for tid, spans in known.items():
+            out += [(tid, None, None, None, None, None, a, b) for a, b in merge_spans(spans)]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["tid", "h", "at", "lo", "bytes", "hot", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tids, texts, spots = (batch.column(i) for i in range(3))
-            out: list[list] = [[], [], [], [], [], []]
-            for i in range(batch.num_rows):
-                raw = texts[i].as_py().encode()
-                for x in spots[i].as_py():
-                    for c, v in zip(out, (tids[i].as_py(), x["h"], x["at"], x["lo"], raw[x["lo"] : x["hi"] + width], x["hot"]), strict=True):
-                        c.append(v)
-                if len(out[0]) > 20_000:
-                    yield _contexts(out)
-                    out = [[], [], [], [], [], []]
-            yield _contexts(out)
+            found: list[tuple] = []
+            for tid, text, spots in zip(*[batch.column(i) for i in range(3)], strict=True):
+                tid, raw = tid.as_py(), text.as_py().encode()
+                for x in spots.as_py():
+                    found.append((tid, x["h"], x["at"], x["lo"], raw[x["lo"] : x["hi"] + width], x["hot"]))
+                    if len(found) >= rows:
+                        yield flush(found)
+                        found = []
+            yield flush(found)
 
     return run
 
 
-def _contexts(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["tid", "h", "at", "lo", "bytes", "hot"])
-
-
 def _match(width: int):
     """Rows come sorted by anchor; an anchor's rows are decided together."""
 
@@ -474,14 +488,14 @@ def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400,
     often = materialise(spots.groupBy("h").count().where("count > 1").select("h", (F.col("count") > group_rows).alias("hot")))
     again = spots.join(often, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "at", "lo", "hi", "hot")).alias("spots"))
     contexts = texts.join(again, "tid").select("tid", "text", "spots").mapInArrow(
-        _cut_contexts(width), "tid binary, h long, at long, lo long, bytes binary, hot boolean"
+        _cut_contexts(width), "tid binary, h long, at long, lo long, bytes binary, hot boolean, a long, b long"
     )
-    crowded = not often.where("hot").isEmpty()
-    if crowded:
-        contexts = materialise(contexts)
+    contexts = materialise(contexts)
+    known = contexts.where("h is null").select("tid", "a", "b")
+    contexts = contexts.where("h is not null").select("tid", "h", "at", "lo", "bytes", "hot")
     plain = contexts.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h")
-    spans = plain.mapInArrow(_match(width), "tid binary, a long, b long")
-    if crowded:
+    spans = known.unionByName(plain.mapInArrow(_match(width), "tid binary, a long, b long"))
+    if not often.where("hot").isEmpty():
         spans = spans.unionByName(_crowded_spans(contexts.where("hot"), width, gram, group_rows, parts))
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
