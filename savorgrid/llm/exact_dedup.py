@@ -46,8 +46,9 @@ class DigestIndex:
         """The delivery's rows with keep_id, group_size (rows of this delivery with the text), kept and
         text_sha256. ``carry``: the columns to bring along, all by default."""
         carry = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+        own = [f"c_{i}" for i in range(len(carry))]
         rows = materialise(
-            docs.select(*carry, F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("__row"))
+            docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("__row"))
         )
         first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
         groups = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
@@ -69,6 +70,6 @@ class DigestIndex:
             F.col("n").alias("group_size"),
         )
         return rows.join(verdicts, "digest").select(
-            *carry, "keep_id", "group_size", F.coalesce(F.col("__row") == F.col("__stays"), F.lit(False)).alias("kept"),
+            *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "keep_id", "group_size", F.coalesce(F.col("__row") == F.col("__stays"), F.lit(False)).alias("kept"),
             F.col("digest").alias("text_sha256"),
         )

@@ -134,21 +134,23 @@ def shard_by_bytes(
     offsets = materialise(
         counts.select("piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("__offset"))
     )
-    rows = docs.select(*rest, size.alias("size"), hi.alias("hi"), lo.alias("lo")).withColumn("shard", shard).withColumn("__piece", piece)
+    rows = docs.select(*rest, size.alias("size"), hi.alias("__hi"), lo.alias("__lo"))
+    rows = rows.withColumn("shard", _shard_column(cut_hi.tolist(), cut_lo.tolist(), "__hi", "__lo"))
+    rows = rows.withColumn("__piece", (F.col("shard") * per_shard + F.pmod(F.col("__lo"), F.lit(per_shard))).cast("long"))
     rows = rows.repartition(max(2, shards * per_shard), "__piece")
-    place = F.row_number().over(Window.partitionBy("__piece").orderBy("hi", "lo"))
+    place = F.row_number().over(Window.partitionBy("__piece").orderBy("__hi", "__lo"))
     rows = rows.withColumn("__place", place).join(offsets.withColumnRenamed("piece", "__piece"), "__piece")
     return rows.select(*rest, "size", "shard", (F.col("__offset") + F.col("__place") - 1).cast("long").alias("slot"))
 
 
-def _shard_column(cut_hi: list[int], cut_lo: list[int]) -> Column:
+def _shard_column(cut_hi: list[int], cut_lo: list[int], hi: str = "hi", lo: str = "lo") -> Column:
     """Number of cuts not above (hi, lo), by binary search written out as nested conditions."""
 
     def below(i: int, j: int) -> Column:
         if i == j:
             return F.lit(i)
         m = (i + j) // 2
-        above = (F.col("hi") > cut_hi[m]) | ((F.col("hi") == cut_hi[m]) & (F.col("lo") >= cut_lo[m]))
+        above = (F.col(hi) > cut_hi[m]) | ((F.col(hi) == cut_hi[m]) & (F.col(lo) >= cut_lo[m]))
         return F.when(above, below(m + 1, j)).otherwise(below(i, m))
 
     return below(0, len(cut_hi))
