@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from savorgrid.session import materialise, new_folder
@@ -50,6 +50,30 @@ class DigestIndex:
         rows = materialise(
             docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.col(id_col).alias("__id"), text_digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("__row"))
         )
+        groups = self._register(rows)
+        verdicts = groups.select(
+            "digest",
+            F.when(F.col("known"), F.col("known_id")).otherwise(F.col("first.id")).alias("keep_id"),
+            F.when(F.col("known").isNull(), F.col("first.row")).alias("__stays"),
+            F.col("n").alias("group_size"),
+        )
+        return rows.join(verdicts, "digest").select(
+            *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "keep_id", "group_size", F.coalesce(F.col("__row") == F.col("__stays"), F.lit(False)).alias("kept"),
+            F.col("digest").alias("text_sha256"),
+        )
+
+    def keep_new(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The delivery's rows that stay, with their own columns. Only they and their like are shuffled with
+        their texts, by digest and id, so that copies spread; no copy of the texts is written."""
+        digest = text_digest(F.col(text_col))
+        groups = self._register(materialise(docs.select(F.col(id_col).alias("__id"), digest.alias("digest"), F.monotonically_increasing_id().alias("__row"))))
+        stay = groups.where("known is null").select(F.col("digest").alias("__d"), F.col("first.id").alias("__keep"))
+        rows = docs.withColumn("__digest", digest)
+        kept = rows.join(stay, (F.col("__digest") == F.col("__d")) & rows[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+        return _first_of(kept, ["__digest", id_col]).select(docs.columns)
+
+    def _register(self, rows: DataFrame) -> DataFrame:
+        """(digest, first, n, known, known_id) of a delivery's digests; the new ones go into the index."""
         first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
         groups = rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
         index = self.spark.table(self.table)
@@ -63,13 +87,10 @@ class DigestIndex:
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).saveAsTable(self.table)
         )
-        verdicts = groups.select(
-            "digest",
-            F.when(F.col("known"), F.col("known_id")).otherwise(F.col("first.id")).alias("keep_id"),
-            F.when(F.col("known").isNull(), F.col("first.row")).alias("__stays"),
-            F.col("n").alias("group_size"),
-        )
-        return rows.join(verdicts, "digest").select(
-            *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "keep_id", "group_size", F.coalesce(F.col("__row") == F.col("__stays"), F.lit(False)).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
+        return groups
+
+
+def _first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One of the rows that are equal in ``keys``, null being a value."""
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return rows.withColumn("__n", one).where("__n = 1").drop("__n")

@@ -22,7 +22,7 @@ def _grams(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tup
     A bucket is listed as often as it occurs, so a row's product with a weight column is a plain sum.
     """
     shift = np.uint64(64 - bits)
-    for first, last, buf, off in chunks(column, 2 << 20):
+    for first, last, buf, off in chunks(column, 1 << 20):
         hashes = PrefixHash(LOWER[buf])
         chars = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))  # where characters start
         char_at = np.searchsorted(chars, off)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -23,7 +23,7 @@ BUCKET_ROWS = 4096  # fingerprints compared at once; a fuller bucket is covered
 def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
     """64-bit SimHash of every text: bit set if set in over half the XXH64 hashes of its word shingles."""
     out = np.zeros(len(column), dtype=np.uint64)
-    for first, last, buf, off in chunks(column):
+    for first, last, buf, off in chunks(column, 2 << 20):
         buf = LOWER[buf]
         starts, ends, word_at = word_spans(buf, off)
         if not len(starts):
@@ -165,6 +165,20 @@ def near_links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS)
         level += 1
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """The row of each component that ``near_duplicates`` says stays, with the columns of ``docs``.
+
+    The rows are found again by id and text hash, so no copy of the texts is written.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = near_duplicates(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x"), mark.alias("__h")), "__i", "__x", width, radius, carry=["__i", "__h"])
+    stay = found.where("stays").select(F.col("__i").alias("__keep"), "__h")
+    rows = docs.withColumn("__mark", mark)
+    kept = rows.join(stay, (F.col("__mark") == F.col("__h")) & rows[id_col].eqNullSafe(F.col("__keep")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("__mark", id_col).orderBy(F.lit(0)))
+    return kept.withColumn("__n", one).where("__n = 1").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, carry: list[str] | None = None) -> DataFrame:
     """The documents with ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable over links
     of at most ``radius`` differing bits, its own included) and ``stays`` (true for one row of a component).

@@ -537,8 +537,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) ->
     Every row stays, if need be with an empty text; a null text stays null. A character that a cut goes
     through goes as a whole.
     """
-    found = repeated_spans(docs, text_col, width, carry=docs.columns)
     names, at = docs.columns, docs.columns.index(text_col)
+    own = docs.withColumn("__sha", _sha(F.col(text_col)))
+    partial = materialise(repeated_in_texts(docs, text_col, width).select("tid", "spans"))
+    size = F.octet_length(F.col(text_col))
+    copies = own.where(size >= width).groupBy("__sha", size.cast("long").alias("n")).count().where("count > 1")
+    copies = copies.select(F.unhex(F.substring("__sha", 1, 32)).alias("tid"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("all"))
+    spans = materialise(partial.join(copies, "tid", "full").select(F.col("tid").alias("__tid"), F.coalesce("all", "spans").alias("__spans")))
+    found = own.withColumn("__t", F.unhex(F.substring("__sha", 1, 32))).join(spans, F.col("__t") == F.col("__tid"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -551,4 +557,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) ->
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, docs.schema)
+    return found.select(*names, "__spans").mapInArrow(run, docs.schema)

@@ -252,6 +252,15 @@ def test_digest_index(spark, docs, rows):
     assert not any(r.kept for r in again.add(docs).collect())
 
 
+def test_stages_keep_the_same_rows(spark, docs):
+    kept = DigestIndex(spark).add(docs).where("kept").select(docs.columns).collect()
+    assert Counter(DigestIndex(spark).keep_new(docs).collect()) == Counter(kept)
+    kept = simhash.near_duplicates(docs).where("stays").select(docs.columns).collect()
+    assert Counter(simhash.keep_one(docs).collect()) == Counter(kept)
+    cleaned = {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert cleaned == {(r.doc_id, r.kept_sha256) for r in suffix_dedup.repeated_spans(docs).collect()}
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = queries.QUERIES["op8_language_id"](spark, SF).join(docs, "doc_id").where("held_out").collect()
