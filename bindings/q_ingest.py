@@ -210,10 +210,12 @@ def u01(t: Tables):
     return mg.first_seen(rows, "first_ord", "k")
 
 
-@query("u02_first_by_place", V + """select min(id) as id, lower(name) as low_name, round_even(lat - (id % 2) * 0.0::double, 4) as lat4, round_even(lng, 4) as lng4
-  from (select id % 700 as g, * from v) group by 2, 3, 4""")
+@query("u02_first_by_place", V + """select min(id) as id, lower(brand) as low_name, round_even(50.8::double + (id % 5) * 0.01::double, 4) as lat4, round_even(4.3::double + (id % 7) * 0.01::double, 4) as lng4
+  from v group by 2, 3, 4""")
 def u02(t: Tables):
-    v = mg.first_by_place(t.venues(), "id")
+    # brands on a coarse grid, so that many rows share a place
+    rows = t.venues().select("id", F.col("brand").alias("name"), F.expr("50.8D + (id % 5) * 0.01D as lat"), F.expr("4.3D + (id % 7) * 0.01D as lng"))
+    v = mg.first_by_place(rows, "id")
     return v.select("id", F.lower("name").alias("low_name"), F.bround("lat", 4).alias("lat4"), F.bround("lng", 4).alias("lng4"))
 
 
@@ -269,10 +271,8 @@ def u06(t: Tables):
     return mg.attempt_status(attempt_log(t))
 
 
-@query("u07_distinct_reviews", """select review_id, venue_id from (
-  select *, row_number() over (partition by venue_id order by review_id) as pos from (
-    select doc_id as review_id, n_chars % 97 as venue_id,
-      row_number() over (partition by n_chars % 97, source || '::' || substr(text, 1, 50) order by doc_id) as rn from documents) where rn = 1) where pos <= 50""")
+@query("u07_distinct_reviews", """select min(doc_id) as review_id, n_chars % 97 as venue_id from documents
+  group by n_chars % 97, coalesce(source, ''), coalesce(text, '')""")
 def u07(t: Tables):
     from savorgrid.operators.reviews import distinct_reviews
 

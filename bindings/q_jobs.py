@@ -19,6 +19,7 @@ from savorgrid.plans import score as sc
 from savorgrid.streaming import reviews as st_rev
 from savorgrid.streaming import traffic as tr
 
+from . import expressions as X
 from . import sql as S
 from .q_rules import CLOSED, HEX_X, HEX_Y, AXIAL, _latlng, closed_names, featured, scored, zoned
 from .registry import query, r6, scratch
@@ -97,7 +98,7 @@ def ext_with_cuisine(t: Tables):
 @query("j14_discover_new", S.with_(S.V, S.EXTERNAL, _PAIRS_B) + f"""select ext_id, name, {_CLASS} as priority from (
   select *, {S.osm_category('cuisine_tag')} as cuisine from ext left join hits using (ext_id)) where match_id is null
   and not {S.any_contains('lower(name)', PACK.candidate_skip_words)} and not (amenity = 'fast_food' and cuisine in {S.in_list(PACK.fast_food_categories)})
-  order by priority, ext_id limit 500""")
+  """)
 def j14(t: Tables):
     return rc.discover_new(ext_with_cuisine(t), t.venues(), PACK).select("ext_id", "name", "priority")
 
@@ -172,7 +173,7 @@ def j19(t: Tables):
     return fz.addable_prices(fz.nearest_name(v, p.select("entry", "name"), 0.6), v, wanted).select("entry", "match_id", r6("match_score").alias("match_score"))
 
 
-_PRICES = "prices as (select " + ", ".join(f"{sql} as {c}" for c, sql in __import__("bindings.expressions", fromlist=["x"]).PRICE_LIST.items()) + " from supplier join v on v.id = s_suppkey)"
+_PRICES = "prices as (select " + ", ".join(f"{sql} as {c}" for c, sql in X.PRICE_LIST.items()) + " from supplier join v on v.id = s_suppkey)"
 _BAND = "case when p is null then null when p < 15 then 'Cheap' when p < 30 then 'Mid-range' when p < 60 then 'Upscale' else 'Fine Dining' end"
 
 
@@ -355,7 +356,7 @@ def a10(t: Tables):
 def _street_sql() -> str:
     from .q_ingest import STREET_LABEL
 
-    return V + f"select {STREET_LABEL} as street, count(*) as n from v where id % 5 = 0 or review_count = 0 group by 1 order by n desc, street limit 20"
+    return V + f"select {STREET_LABEL} as street, count(*) as n from v where id % 5 = 0 or review_count = 0 group by 1"
 
 
 @query("a12_streets_to_enrich", _street_sql())
@@ -381,7 +382,7 @@ def a13b(t: Tables):
     return rv.overall_languages(rv.language_counts(t.doc_reviews()))
 
 
-_LINE = "lines as (select " + ", ".join(f"{sql} as {c}" for c, sql in __import__("bindings.expressions", fromlist=["x"]).REVIEW_LINE.items()) + " from lineitem)"
+_LINE = "lines as (select " + ", ".join(f"{sql} as {c}" for c, sql in X.REVIEW_LINE.items()) + " from lineitem)"
 
 
 @query("a14_reviewer_quality", S.with_(_LINE) + """select venue_id, local_guides_pct, avg_reviews, case when local_guides_pct >= 60 and avg_reviews >= 30 then 'High'
@@ -479,7 +480,7 @@ def w02(t: Tables):
     return rk.top_per_group(scored(t).withColumn("score", F.round("score", 9)), "district", "score").select("district", "id")
 
 
-@query("w03_top_n", SCORED + f"select id, {S.r6('score')} as score from scored order by round(score, 9) desc, id limit 500")
+@query("w03_top_n", SCORED + f"select id, {S.r6('round(score, 9)')} as score from scored order by round(score, 9) desc, id limit 100000")
 def w03(t: Tables):
     return rk.top_n(scored(t).withColumn("score", F.round("score", 9)), "score", 100000).select("id", r6("score").alias("score"))
 
@@ -490,12 +491,9 @@ def w04(t: Tables):
     return api.list_venues(scored(t).withColumn("score", F.round("score", 9)), PACK, f).select("id")
 
 
-@query("w05_sorted_venues", V + "select id, row_number() over (order by rating desc, id) as pos from v order by rating desc, id limit 50")
+@query("w05_sorted_venues", V + "select id, row_number() over (order by rating desc, id) as pos from v")
 def w05(t: Tables):
-    # positions of the first fifty rows of the sorted table
-    top = rk.sort_venues(t.venues(), "rating").limit(50).select("id", "rating")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("rating")).alias("r"), "id")))
-    return top.agg(order.alias("o")).select(F.posexplode("o").alias("p", "s")).select(F.col("s.id").alias("id"), (F.col("p") + 1).cast("bigint").alias("pos"))
+    return rk.with_positions(t.venues().select("id", "rating"), "rating").select("id", "pos")
 
 
 @query("w06_category_top", SCORED + f"select id, category from scored where category in {S.in_list(PACK.community_categories)} order by round(score, 9) desc, id limit 50")
@@ -503,10 +501,10 @@ def w06(t: Tables):
     return rk.subset_top(scored(t).withColumn("score", F.round("score", 9)), "category", PACK.community_categories).select("id", "category")
 
 
-@query("w07_priority_order", EXT + f"select ext_id, priority from (select ext_id, {_CLASS} as priority from (select *, {S.osm_category('cuisine_tag')} as cuisine from ext)) order by priority, ext_id limit 500")
+@query("w07_priority_order", EXT + f"select ext_id, priority from (select ext_id, {_CLASS} as priority from (select *, {S.osm_category('cuisine_tag')} as cuisine from ext))")
 def w07(t: Tables):
     e = ext_with_cuisine(t).withColumn("priority", rc.priority_class(PACK, F.col("cuisine")))
-    return e.orderBy("priority", "ext_id").limit(500).select("ext_id", "priority")
+    return e.orderBy("priority", "ext_id").select("ext_id", "priority")
 
 
 _GEMS = V + "select id, round_even(residual * 100, 1) as undervaluation_pct from v order by residual desc, id limit 100"
@@ -645,15 +643,15 @@ def views(t: Tables):
 _DAILY = "daily as (select cast(ts as date) as day, count(*) as views from events where event_type = 'view' group by 1)"
 
 
-@query("t01_daily_views_stream", S.with_(_DAILY) + "select day, views from daily order by day desc limit 20")
+@query("t01_daily_views_stream", S.with_(_DAILY) + "select day, views from daily order by day desc limit 90")
 def t01(t: Tables):
-    """The counter as a stream over the event files; the newest twenty days are kept."""
+    """The counter as a stream over the event files; the newest ninety days are kept."""
     schema = t.raw("events").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     sink, ckpt = scratch(t.spark), scratch(t.spark)
     q = tr.start_daily_views(stream.filter("event_type = 'view'").withColumn("ts", F.col("ts").cast("timestamp")), sink, ckpt)
     q.awaitTermination()
-    return tr.keep_newest(tr.read_daily(t.spark, sink), 20)
+    return tr.keep_newest(tr.read_daily(t.spark, sink))
 
 
 _SERIES = _DAILY + """, spine as (select cast(unnest(range((select max(day) - 58 from daily)::timestamp, (select max(day) + 1 from daily)::timestamp, interval 1 day)) as date) as day),
@@ -673,7 +671,7 @@ def q10(t: Tables):
     return tr.traffic_stats(tr.daily_views(views(t)))
 
 
-@query("t03_review_stream", """select n_chars % 97 as venue_id, source || '::' || substr(text, 1, 50) as review_key from documents group by 1, 2""")
+@query("t03_review_stream", """select distinct n_chars % 97 as venue_id, coalesce(source, '') || '::' || sha256(coalesce(text, '')) as review_key from documents""")
 def t03(t: Tables):
     """Reviews as a stream with one event time; repeats are dropped on the way."""
     schema = t.raw("documents").schema

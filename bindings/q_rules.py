@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from savorgrid.functions.geo import haversine_km, haversine_m, in_box
 from savorgrid.operators import filters as flt
 from savorgrid.operators import names as nm
 from savorgrid.operators import zones as zn
-from savorgrid.operators.reviews import CROWD_WORDS, KITCHEN_WORDS, theme_counts
+from savorgrid.operators.reviews import theme_counts
 from savorgrid.plans import score as sc
 from savorgrid.plans.features import row_features
 
@@ -105,9 +107,9 @@ def f10(t: Tables):
     return flt.search_names(t.venues(), "Blue (gear|ring)").select("id")
 
 
-@query("f10_name_search_plain", V + "select id, name from v where contains(lower(name), 'gear econ') order by id limit 20")
+@query("f10_name_search_plain", V + "select id, name from v where contains(lower(name), 'gear econ')")
 def f10b(t: Tables):
-    return flt.search_names(t.venues(), "Gear Econ", regex=False, limit=20).select("id", "name")
+    return flt.search_names(t.venues(), "Gear Econ", regex=False).select("id", "name")
 
 
 @query("f11_badge_filters", V + f"select id, {S.STARS} > 0 or {S.BIB} or {S.GUIDE} as any_guide, {S.STARS} > 0 as michelin, {S.BIB} as bib from v")
@@ -216,7 +218,7 @@ def x08(t: Tables):
     return t.venues().select("id", m["has"].alias("has_diacritics"), m["category"].alias("category"))
 
 
-_FLAG = S.first_contains("name", [(lab, [tx.flag_sign(c)]) for c, lab in tx.FLAG_COUNTRIES.items()])
+_FLAG = S.first_contains("name", [(lab, [sign]) for sign, lab in tx.FLAG_SIGNS.items()])
 
 
 @query("x09_flag_markers", V + f"select id, {_FLAG} is not null as has_flag, {_FLAG} as flag_category, (case when {_HAS_LETTER} then 0.5::double else 0.0::double end) + (case when {_FLAG} is not null then 0.5::double else 0.0::double end) as signal from v")
@@ -251,7 +253,7 @@ def x12(t: Tables):
 
 
 # the driver's prose holds none of the kitchen words, so two themes of frequent tokens join them
-THEMES = {"crowd": CROWD_WORDS, "general": KITCHEN_WORDS["general"], "tokens_a": ["tion", "sche"], "tokens_b": ["ment ", "ando"]}
+THEMES = {**PACK.review_themes, "tokens_a": ["tion", "sche"], "tokens_b": ["ment ", "ando"]}
 
 
 @query("x13_review_themes", "select n_chars % 97 as venue_id, " + ", ".join(
@@ -398,10 +400,6 @@ def j06(t: Tables):
     return out.select("id", zn.street_fits_category(PACK, F.col("street"), F.col("words")).alias("fits"))
 
 
-_CTX = f"""select a.id, coalesce(any_value(a.community) >= 0.7, false) as in_area, any_value(a.note) as note,
-  coalesce(array_to_string(list(case when c.district = a.district then c.street_name when {S.hav('a.lat', 'a.lng', 'c.lat', 'c.lng')} < 1.0
-    then c.street_name || ' (' || c.district || ')' end order by c.ord) filter (where c.district = a.district or {S.hav('a.lat', 'a.lng', 'c.lat', 'c.lng')} < 1.0)[1:3], '|'), '') as streets
-  from affine a left join cat_streets c on c.category = a.category group by a.id"""
 _CTX = f"""select id, in_area, note, coalesce(array_to_string(labels[1:3], '|'), '') as streets from (
   select a.id, coalesce(any_value(a.community) >= 0.7, false) as in_area, any_value(a.note) as note,
     list(label order by ord) filter (where label is not null) as labels
@@ -442,7 +440,9 @@ def j09(t: Tables):
 
 @query("j09_guide_phrases_large", _GUIDES)
 def j09b(t: Tables):
-    return nm.with_guides(t.venues(), PACK, inline_limit=0).select("id", "michelin_stars", "bib_gourmand", "gault_millau")
+    # more names than any venue has change nothing
+    longer = replace(PACK, bib_names=[*PACK.bib_names, *[f"unlisted {i}" for i in range(500)]])
+    return nm.with_guides(t.venues(), longer).select("id", "michelin_stars", "bib_gourmand", "gault_millau")
 
 
 @query("j10_institutions", V + f"select id, {S.INSTITUTION} as score from v")

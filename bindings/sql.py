@@ -7,7 +7,6 @@ import math
 from savorgrid.functions import text as tx
 from savorgrid.functions import money
 from savorgrid.operators import names as nm
-from savorgrid.operators.reviews import CROWD_WORDS  # noqa: F401
 from savorgrid.context import OSM_CATEGORIES
 
 from . import expressions as X

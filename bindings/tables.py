@@ -31,8 +31,6 @@ class Tables:
                 F.expr("cast(floor(s * ((l_partkey % 11) * (l_partkey % 11) + 1) / 50) as bigint)").alias("q"),
             )
         )
-        # partitioned on the join key, as a join of this size would be, so that one input file is no bottleneck
-        part = part.repartition(self.spark.sparkContext.defaultParallelism, "p_partkey")
         return part.join(volume, part.p_partkey == volume.l_partkey, "left")
 
     def venues(self) -> DataFrame:

@@ -156,6 +156,7 @@ class CityPack:
     )
     hall_words: list[str] = field(default_factory=list)
     register_postcodes: list[str] = field(default_factory=list)
+    review_themes: dict[str, list[str]] = field(default_factory=dict)
     stop_words: list[str] = field(default_factory=lambda: ["de", "la", "le", "du", "des", "l", "d"])
 
     # --- loading and overriding ---------------------------------------------
@@ -270,16 +271,6 @@ class CityPack:
             "streets array<struct<name:string,district:string,lat:double,lng:double>>",
         )
 
-    def guide_frame(self, spark: SparkSession) -> DataFrame:
-        """Phrases of all guides with their list position."""
-        rows = [
-            {"guide": "stars", "ord": i, "phrase": p, "value": v}
-            for i, (p, v) in enumerate(self.star_names.items())
-        ]
-        rows += [{"guide": "bib", "ord": i, "phrase": p, "value": 1} for i, p in enumerate(self.bib_names)]
-        rows += [{"guide": "guide", "ord": i, "phrase": p, "value": 1} for i, p in enumerate(self.guide_names)]
-        return _frame(spark, rows, "guide string, ord int, phrase string, value int")
-
 
 _ARROW = {
     "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64(),
@@ -393,5 +384,9 @@ def demo_pack() -> CityPack:
         candidate_skip_words=["hotel", "cold gizmo", "rod promo"],
         fast_food_categories=["Sandwich", "Kebab", "Friture"],
         hall_words=["food hall", "casino", "station", "ring large"],
+        review_themes={
+            "crowd": ["coach party", "queue", "overrated"],
+            "kitchen": ["own bread", "family recipe", "slow cooked"],
+        },
         register_postcodes=[str(1000 + 10 * i) for i in range(20)],
     )

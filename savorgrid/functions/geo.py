@@ -143,7 +143,13 @@ class RadiusCells:
 
     def _width(self, row: Column) -> Column:
         far = F.greatest(F.abs(row), F.abs(row + 1)) * F.lit(self.step)
-        return F.lit(self.step) / F.cos(F.radians(F.least(far, F.lit(89.0))))
+        # the last degree before a pole is one cell all around
+        return F.when(far > 89.0, F.lit(360.0)).otherwise(F.lit(self.step) / F.cos(F.radians(far)))
+
+    @staticmethod
+    def _east(lng: Column) -> Column:
+        """Degrees east of the date line, below 360."""
+        return F.pmod(lng + F.lit(180.0), F.lit(360.0))
 
     @staticmethod
     def _key(row: Column, col: Column) -> Column:
@@ -154,17 +160,27 @@ class RadiusCells:
 
     def home(self, lat: Column, lng: Column) -> Column:
         row = self._row(lat)
-        return self._key(row, F.floor(lng / self._width(row)).cast("bigint"))
+        return self._key(row, F.floor(self._east(lng) / self._width(row)).cast("bigint"))
 
     def around(self, lat: Column, lng: Column) -> Column:
         row = self._row(lat)
         reach = F.greatest(self._width(row - 1), self._width(row + 1))
+        low, high = self._east(lng) - reach, self._east(lng) + reach
+        none = F.array().cast("array<bigint>")
         parts = []
         for d in (-1, 0, 1):
             r = row + F.lit(d)
             w = self._width(r)
-            cols = F.sequence(
-                F.floor((lng - reach) / w).cast("bigint"), F.floor((lng + reach) / w).cast("bigint")
+            last = F.floor(F.lit(360.0) / w).cast("bigint")
+
+            def column(degrees: Column) -> Column:
+                return F.least(F.greatest(F.floor(degrees / w).cast("bigint"), F.lit(0).cast("bigint")), last)
+
+            # the row is a ring: what reaches over the date line goes on at its other end
+            cols = F.concat(
+                F.sequence(column(low), column(high)),
+                F.when(low < 0, F.sequence(column(low + 360.0), last)).otherwise(none),
+                F.when(high >= 360.0, F.sequence(F.lit(0).cast("bigint"), column(high - 360.0))).otherwise(none),
             )
-            parts.append(self._keys(r, cols))
+            parts.append(self._keys(r, F.array_distinct(cols)))
         return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*parts))

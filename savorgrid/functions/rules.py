@@ -9,9 +9,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# When a list is longer than this, match by joining name phrases to a rule table instead.
-MAX_INLINE_RULES = 200
-
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""

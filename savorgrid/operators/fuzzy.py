@@ -60,7 +60,9 @@ def _best_tile(threshold: float, name_weight: float, equal_bonus: float):
         out = []
         if len(entries) and len(venues):
             names, places = Bags(venues["n"].tolist()), Bags(venues["a"].tolist())
-            orders = venues["ord"].to_numpy()
+            ids = venues["ord"].to_numpy()
+            # ids may be of any type; their order decides ties
+            orders = np.unique(ids, return_inverse=True)[1]
             places_of: dict[str, list[int]] = {}
             for i, text in enumerate(names.texts):
                 places_of.setdefault(text, []).append(i)
@@ -69,7 +71,7 @@ def _best_tile(threshold: float, name_weight: float, equal_bonus: float):
                 equal[places_of.get(n, []) if n else []] = True
                 bound = name_weight * names.bound(n) + (1 - name_weight) * places.bound(a)
                 bound = np.where(equal, np.minimum(1.0, bound + equal_bonus), bound)
-                best, best_ord = threshold, None
+                best, best_row = threshold, None
                 rows = np.flatnonzero(bound >= threshold - 1e-9)
                 for i in rows[np.lexsort((orders[rows], -bound[rows]))]:
                     if bound[i] < best - 1e-9:
@@ -79,10 +81,10 @@ def _best_tile(threshold: float, name_weight: float, equal_bonus: float):
                         score += (1 - name_weight) * ratio(a, places.texts[i])
                     if equal[i]:
                         score = min(1.0, score + equal_bonus)
-                    if score > best or (score == best and (best_ord is None or orders[i] < best_ord)):
-                        best, best_ord = score, orders[i]
-                if best_ord is not None:
-                    out.append((key, best, int(best_ord)))
+                    if score > best or (score == best and (best_row is None or orders[i] < orders[best_row])):
+                        best, best_row = score, i
+                if best_row is not None:
+                    out.append((key, best, ids[best_row]))
         return pd.DataFrame(out, columns=["key", "score", "ord"])
 
     return run
@@ -91,13 +93,14 @@ def _best_tile(threshold: float, name_weight: float, equal_bonus: float):
 def _best(entries: DataFrame, venues: DataFrame, threshold: float, name_weight: float, equal_bonus: float) -> DataFrame:
     """entries: key, n, a; venues: n, a, ord. The highest score wins, then the earlier venue."""
     left, right = _tiles(entries, venues.withColumn("_k", F.concat_ws("\x01", "n", "a")), "key", "_k")
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("key", entries), ("ord", venues))]
     tiles = left.cogroup(right).applyInPandas(
-        _best_tile(threshold, name_weight, equal_bonus), "key bigint, score double, ord bigint"
+        _best_tile(threshold, name_weight, equal_bonus), f"{kinds[0]}, score double, {kinds[1]}"
     )
     return (
         tiles.groupBy("key")
-        .agg(F.max(F.struct("score", (-F.col("ord")).alias("neg"))).alias("m"))
-        .select("key", F.col("m.score").alias("match_score"), (-F.col("m.neg")).alias("match_id"))
+        .agg(F.min(F.struct((-F.col("score")).alias("neg"), "ord")).alias("m"))
+        .select("key", (-F.col("m.neg")).alias("match_score"), F.col("m.ord").alias("match_id"))
     )
 
 
@@ -112,7 +115,7 @@ def match_price_list(venues: DataFrame, prices: DataFrame, threshold: float = 0.
     )
     distinct = texts.groupBy("n", "a").agg(F.min("id").alias("ord"))
     entries = prices.filter(F.col("name") != "").select(
-        F.col("entry").cast("bigint").alias("key"),
+        F.col("entry").alias("key"),
         normalise_words(F.col("name")).alias("n"),
         normalise_price_address(F.col("address")).alias("a"),
     )
@@ -124,7 +127,7 @@ def nearest_name(venues: DataFrame, wanted: DataFrame, threshold: float = 0.6) -
     texts = venues.select(F.lower(F.coalesce("name", F.lit(""))).alias("n"), "id")
     distinct = texts.groupBy("n").agg(F.min("id").alias("ord")).withColumn("a", F.lit(""))
     entries = wanted.select(
-        F.col("entry").cast("bigint").alias("key"), F.lower("name").alias("n"), F.lit("").alias("a")
+        F.col("entry").alias("key"), F.lower("name").alias("n"), F.lit("").alias("a")
     )
     return _best(entries, distinct, threshold, 1.0, 0.0).filter(F.col("match_score") > threshold).withColumnRenamed(
         "key", "entry"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import CityPack
-from ..functions.rules import MAX_INLINE_RULES, any_contains, first_match, flag, hit, label_of, let
+from ..functions.rules import any_contains, first_match, flag, label_of, let
 from ..functions.text import is_fry_shop, key_name, plain_name
 
 
@@ -48,22 +48,6 @@ def venue_type(name: Column, primary_type: Column, types: Column) -> Column:
 
 # --- guides ---------------------------------------------------------------------
 
-def stars(pack: CityPack, name: Column) -> Column:
-    low = F.lower(name)
-    exact = first_match(low, [(v, [n]) for n, v in pack.star_exact.items()], mode="equals")
-    listed = first_match(low, [(v, [p]) for p, v in pack.star_names.items()], mode="phrase")
-    return F.coalesce(exact.cast("int"), listed.cast("int"), F.lit(0))
-
-
-def in_bib(pack: CityPack, name: Column) -> Column:
-    return flag(hit(F.lower(name), pack.bib_names, "phrase"))
-
-
-def in_guide(pack: CityPack, name: Column) -> Column:
-    low = F.lower(name)
-    return flag(hit(low, pack.guide_names, "phrase") | low.isin(pack.guide_exact))
-
-
 def name_phrases(name: Column, max_length: int) -> Column:
     """Distinct parts of the name that start and end next to a character outside a-z."""
     low = F.lower(name)
@@ -84,56 +68,37 @@ def name_phrases(name: Column, max_length: int) -> Column:
     return F.when(size > 0, F.array_distinct(F.flatten(parts)))
 
 
-def phrase_lookup(df: DataFrame, phrases: DataFrame, max_length: int) -> DataFrame:
-    """First phrase of a long list found in each name: (id, group, value).
+def with_guides(df: DataFrame, pack: CityPack) -> DataFrame:
+    """Adds michelin_stars, bib_gourmand, gault_millau.
 
-    ``phrases``: guide, ord, phrase, value. Names become a handful of boundary phrases and
-    meet the list in an equi-join, so the work follows the names, not names times list.
+    A name becomes its boundary phrases once, and each is looked up in the lists by hash, so the work
+    follows the names, however long the lists; rows are not joined, so ids may be null or repeated.
+    Of several starred names in one the first listed counts.
     """
-    return (
-        df.select("id", F.explode(name_phrases(F.col("name"), max_length)).alias("phrase"))
-        .join(phrases, "phrase")
-        .groupBy("id", "guide")
-        .agg(F.min(F.struct("ord", "value")).alias("hit"))
-        .select("id", "guide", F.col("hit.value").alias("value"))
-    )
-
-
-def with_guides(df: DataFrame, pack: CityPack, inline_limit: int = MAX_INLINE_RULES) -> DataFrame:
-    """Adds michelin_stars, bib_gourmand, gault_millau; long lists go through ``phrase_lookup``."""
-    name = F.col("name")
-    if max(len(pack.star_names), len(pack.bib_names), len(pack.guide_names)) <= inline_limit:
-        return df.withColumns(
-            {
-                "michelin_stars": stars(pack, name),
-                "bib_gourmand": in_bib(pack, name),
-                "gault_millau": in_guide(pack, name),
-            }
-        )
-    phrases = pack.guide_frame(df.sparkSession)
-    longest = max(map(len, [*pack.star_names, *pack.bib_names, *pack.guide_names]))
-    hits = (
-        phrase_lookup(df, phrases, longest)
-        .groupBy("id")
-        .agg(
-            F.max(F.when(F.col("guide") == "stars", F.col("value"))).alias("_stars"),
-            F.max(F.col("guide") == "bib").alias("_bib"),
-            F.max(F.col("guide") == "guide").alias("_guide"),
-        )
-    )
-    low = F.lower(name)
+    low = F.lower("name")
+    starred = list(pack.star_names)
+    longest = max(map(len, [*starred, *pack.bib_names, *pack.guide_names]), default=0)
+    order = F.split(F.lit("\x01".join(starred)), "\x01")
+    values = F.split(F.lit(",".join(map(str, pack.star_names.values()))), ",")
     exact = first_match(low, [(v, [n]) for n, v in pack.star_exact.items()], mode="equals")
-    return (
-        df.join(hits, "id", "left")
-        .withColumns(
-            {
-                "michelin_stars": F.coalesce(exact.cast("int"), F.col("_stars"), F.lit(0)),
-                "bib_gourmand": flag(F.col("_bib")),
-                "gault_millau": flag(F.col("_guide")) | flag(low.isin(pack.guide_exact)),
-            }
+
+    def badges(phrases: Column) -> Column:
+        found = F.transform(F.filter(phrases, lambda p: p.isin(starred)), lambda p: F.array_position(order, p))
+        listed = F.try_element_at(values, F.array_min(found).cast("int")).cast("int")
+        return F.struct(
+            F.coalesce(exact.cast("int"), listed, F.lit(0)).alias("stars"),
+            flag(F.exists(phrases, lambda p: p.isin(pack.bib_names))).alias("bib"),
+            (flag(F.exists(phrases, lambda p: p.isin(pack.guide_names))) | flag(low.isin(pack.guide_exact))).alias("guide"),
         )
-        .drop("_stars", "_bib", "_guide")
-    )
+
+    out = df.withColumn("_badges", let(name_phrases(F.col("name"), longest), badges))
+    return out.withColumns(
+        {
+            "michelin_stars": F.col("_badges.stars"),
+            "bib_gourmand": F.col("_badges.bib"),
+            "gault_millau": F.col("_badges.guide"),
+        }
+    ).drop("_badges")
 
 
 def guide_bonus(stars_: Column, bib: Column, guide: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_even
 from ..session import materialise
 
-MAX_TOP = 500
 RANK_BUCKETS = 256
 
 
@@ -18,9 +17,9 @@ def _desc(column: str) -> Column:
     return F.col(column).desc_nulls_last()
 
 
-def top_n(df: DataFrame, by: str, limit: int = 50, cap: int = MAX_TOP) -> DataFrame:
-    """Best rows by one column; at most ``cap`` of them."""
-    return df.orderBy(_desc(by), "id").limit(min(limit, cap))
+def top_n(df: DataFrame, by: str, limit: int = 50) -> DataFrame:
+    """The ``limit`` best rows by one column."""
+    return df.orderBy(_desc(by), "id").limit(limit)
 
 
 def sort_venues(df: DataFrame, by: str) -> DataFrame:
@@ -28,6 +27,25 @@ def sort_venues(df: DataFrame, by: str) -> DataFrame:
     return df.orderBy(_desc(by), "id") if by in ("score", "rating", "residual") and by in df.columns else df
 
 
+def with_positions(df: DataFrame, by: str, out: str = "pos") -> DataFrame:
+    """Every row with its place, from 1, in the order of ``sort_venues``.
+
+    Rows are dealt by range, numbered within their range and moved up by the sizes of the ranges before;
+    no task holds more than a range. The dealt rows are written once, as the ranges come from a sample.
+    """
+    order = [_desc(by), F.col("id")]
+    dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # one row a range
+    before = F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return (
+        dealt.withColumn("_within", within).join(offsets, "_range")
+        .withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    )
+
+
 def top_per_group(df: DataFrame, group: str, by: str) -> DataFrame:
     """The best row of each group; only one row per group and task is shuffled."""
     order = W.partitionBy(group).orderBy(_desc(by), "id")
@@ -44,9 +62,9 @@ def undervaluation(residual: Column) -> Column:
     return half_even(residual * 100, 1)
 
 
-def gems(df: DataFrame, limit: int = 100, cap: int = MAX_TOP) -> DataFrame:
+def gems(df: DataFrame, limit: int = 100) -> DataFrame:
     """Most undervalued venues with the residual as a percentage."""
-    return top_n(df, "residual", limit, cap).withColumn("undervaluation_pct", undervaluation(F.col("residual")))
+    return top_n(df, "residual", limit).withColumn("undervaluation_pct", undervaluation(F.col("residual")))
 
 
 def value_ranks(df: DataFrame, column: str, out: str, ranges: int = RANK_BUCKETS) -> DataFrame:

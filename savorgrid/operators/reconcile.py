@@ -1,9 +1,9 @@
 """Matching place records from two sources by distance and name.
 
 A radius join is an equi-join on grid cells. Copies (same comparable name at the same
-point) are collapsed before it. In cells that hold very many distinct records the join
-key also carries a piece of the name, chosen so that no pair the text rules accept is
-lost; what is left per record is folded to its first match while still map-side.
+point) are collapsed before it. The join key also carries a piece of the name, chosen so
+that no pair the text rules accept is lost; what is left per record is folded to its first
+match while still map-side.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from ..functions.text import key_name, normalise_endings, normalise_quotes, word
 from ..session import ensure_checkpoint_dir, materialise
 from .filters import worthwhile_candidates
 
-DENSE_CELL = 5000
-GRAM = 8
+#: Lengths of name pieces; the longest that fits into a name opens its key.
+GRAMS = [8, 4, 2, 1]
 
 NameRule = Callable[[Column], Column]
 
@@ -36,18 +36,19 @@ def shared_words(a: Column, b: Column) -> Column:
 
 
 def _prefix_key(name: Column) -> Column:
-    return F.array(F.concat(F.lit("p"), F.substring(name, 1, GRAM)))
+    opening = F.lit("")
+    for n in reversed(GRAMS):
+        opening = F.when(F.length(name) >= n, F.substring(name, 1, n)).otherwise(opening)
+    return F.array(F.concat(F.lit("p"), opening))
 
 
 def _piece_keys(name: Column) -> Column:
-    """Every piece of up to GRAM characters: contains the prefix key of any name inside this one."""
+    """Every piece of those lengths: contains the prefix key of any name inside this one."""
     size = F.length(name)
     pieces = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(name, i, n)
-            ),
+            lambda i: F.array(*[F.substring(name, i, F.lit(n)) for n in GRAMS]),
         )
     )
     return F.transform(F.array_distinct(F.array_append(pieces, F.lit(""))), lambda p: F.concat(F.lit("p"), p))
@@ -78,27 +79,29 @@ def _collapse(df: DataFrame, rule: NameRule, order: str, prefix: str) -> DataFra
 
 
 def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool) -> DataFrame:
-    """Pairs in the same or touching cells that can satisfy the text rules."""
+    """Pairs in the same or touching cells that can satisfy the text rules.
+
+    The side whose name may be the inner one looks around with its opening, the other one answers
+    at home with all its pieces.
+    """
     cells = RadiusCells(radius_m)
-    left = e.withColumn("cell", F.explode(cells.around(F.col("elat"), F.col("elng"))))
-    right = v.withColumn("cell", cells.home(F.col("vlat"), F.col("vlng")))
-    dense = right.groupBy("cell").count().filter(F.col("count") > DENSE_CELL).select("cell", F.lit(True).alias("dense"))
-    left = left.join(dense, "cell", "left")
-    right = right.join(dense, "cell", "left")
-    plain = left.filter("dense is null").drop("dense").join(right.filter("dense is null").drop("dense"), "cell")
 
-    def keyed(df: DataFrame, keys: Column) -> DataFrame:
-        return df.filter("dense").drop("dense").withColumn("key", F.explode(keys))
+    def spread(df: DataFrame, side: str, keys: Column) -> DataFrame:
+        around = F.explode(cells.around(F.col(f"{side}lat"), F.col(f"{side}lng")))
+        return df.withColumn("cell", around).withColumn("key", F.explode(keys))
+
+    def settled(df: DataFrame, side: str, keys: Column) -> DataFrame:
+        home = cells.home(F.col(f"{side}lat"), F.col(f"{side}lng"))
+        return df.withColumn("cell", home).withColumn("key", F.explode(keys))
 
     def text_keys(name: Column, own: Callable[[Column], Column]) -> Column:
         keys = own(name)
         return F.array_union(keys, _word_pair_keys(name)) if with_words else keys
 
-    inside = keyed(left, text_keys(F.col("en"), _prefix_key)).join(
-        keyed(right, text_keys(F.col("vn"), _piece_keys)), ["cell", "key"]
-    )
-    around = keyed(left, _piece_keys(F.col("en"))).join(keyed(right, _prefix_key(F.col("vn"))), ["cell", "key"])
-    return plain.unionByName(inside.drop("key")).unionByName(around.drop("key"))
+    en, vn = F.col("en"), F.col("vn")
+    inner_e = spread(e, "e", text_keys(en, _prefix_key)).join(settled(v, "v", text_keys(vn, _piece_keys)), ["cell", "key"])
+    inner_v = settled(e, "e", _piece_keys(en)).join(spread(v, "v", _prefix_key(vn)), ["cell", "key"])
+    return inner_e.unionByName(inner_v).drop("cell", "key")
 
 
 def _attach(external: DataFrame, rule: NameRule, best: DataFrame) -> DataFrame:
@@ -189,15 +192,11 @@ def priority_class(pack: CityPack, cuisine: Column) -> Column:
     )
 
 
-def discover_new(external: DataFrame, venues: DataFrame, pack: CityPack, limit: int = 500) -> DataFrame:
-    """External records without a venue, without noise, interesting kitchens first."""
+def discover_new(external: DataFrame, venues: DataFrame, pack: CityPack, limit: int | None = None) -> DataFrame:
+    """External records without a venue, without noise, interesting kitchens first; all unless limited."""
     fresh = worthwhile_candidates(unmatched(match_by_place(external, venues)), pack)
-    return (
-        fresh.withColumn("priority", priority_class(pack, F.col("cuisine")))
-        .orderBy("priority", "ext_id")
-        .limit(limit)
-        .drop("match_id")
-    )
+    ordered = fresh.withColumn("priority", priority_class(pack, F.col("cuisine"))).orderBy("priority", "ext_id")
+    return (ordered if limit is None else ordered.limit(limit)).drop("match_id")
 
 
 def not_found(candidates: DataFrame, verified: DataFrame) -> DataFrame:

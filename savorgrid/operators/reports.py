@@ -87,15 +87,15 @@ def attribute_coverage(df: DataFrame) -> DataFrame:
     )
 
 
-def streets_to_enrich(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Streets with most venues that lack a rating."""
-    return (
+def streets_to_enrich(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Streets by number of venues that lack a rating, most first; all of them unless limited."""
+    streets = (
         missing_ratings(df)
         .groupBy(street_label(F.col("address")).alias("street"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "street")
-        .limit(limit)
     )
+    return streets if limit is None else streets.limit(limit)
 
 
 def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:

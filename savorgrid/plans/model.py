@@ -237,14 +237,6 @@ def hex_features_json(hexes: DataFrame, grid: HexGrid) -> DataFrame:
     )
 
 
-def feature_collection(features: DataFrame) -> DataFrame:
-    """All features as one document; only for a sink that needs a single file of city size."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "feature"))), lambda s: s["feature"]), ",")
-    return features.agg(
-        F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("geojson")
-    )
-
-
 def write_feature_collection(features: DataFrame, path: str) -> None:
     """One GeoJSON feature per line; the scalable form of the collection."""
     features.select("feature").write.mode("overwrite").text(path)

@@ -51,13 +51,17 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new local one only where unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a new local one only where unset on a local master, as in tests."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     current = sc._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else tempfile.mkdtemp(prefix="savorgrid-")
+    if current.isDefined():
+        return current.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="savorgrid-")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -37,8 +37,8 @@ def read_first_available(spark: SparkSession, paths: Sequence[str], fmt: str = "
     for i, path in enumerate(paths):
         try:
             return spark.read.format(fmt).options(**options).load(path)
-        except AnalysisException:
-            if i == len(paths) - 1:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND" or i == len(paths) - 1:
                 raise
     raise ValueError("no paths given")
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merges import first_by
+from ..operators.reviews import review_key
 
 BUCKETS = 64
 
 
-def review_key() -> Column:
-    who = F.coalesce("reviewer_name", F.lit(""))
-    return F.concat_ws("::", who, F.substring(F.coalesce("text", F.lit("")), 1, 50))
-
-
 def start_review_ingest(reviews: DataFrame, sink: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
     """Append each review once to a table partitioned by key bucket.
 

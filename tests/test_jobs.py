@@ -2,6 +2,8 @@
 
 import math
 import os
+import re
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 from bindings.tables import PACK, Tables
 from savorgrid.context import CityPack, demo_pack
+from savorgrid.functions.geo import RadiusCells
 from savorgrid.operators import merges as mg
 from savorgrid.operators import names as nm
 from savorgrid.operators import ranking as rk
+from savorgrid.operators import reviews as rv
 from savorgrid.plans import model as md
 from savorgrid.plans import score as sc
 from savorgrid.sources import readers as rd
@@ -81,12 +85,46 @@ def test_languages_reach_the_score(spark):
     assert spoken == pytest.approx(-0.03 * (0.4 * 0.5 + 0.3 * 0.5 + 0.3))
 
 
-def test_guides_inline_and_joined_agree(spark):
-    v = Tables(spark, SF).venues()
-    cols = ["id", "michelin_stars", "bib_gourmand", "gault_millau"]
-    a = nm.with_guides(v, PACK).select(cols).orderBy("id").collect()
-    b = nm.with_guides(v, PACK, inline_limit=0).select(cols).orderBy("id").collect()
-    assert a == b and any(r.michelin_stars for r in a)
+def test_guides_equal_a_search_of_each_phrase(spark):
+    pack = replace(demo_pack(), star_names={"le coin": 2, "coin": 1}, star_exact={"x": 3}, bib_names=["bon bec"], guide_names=["'t huis"], guide_exact=["y"])
+    names = ["Le Coin", "Au Coin d'Or", "Coing", "X", "Bon Bec-2", "Bonbec", "Chez 't Huis", "Y", "", None, "Coin, Bon Bec"]
+    df = spark.createDataFrame([(None if i % 3 else 7, i, n) for i, n in enumerate(names)], "id int, i int, name string")
+
+    def holds(name, phrase):
+        return re.search(r"(^|[^a-z])" + re.escape(phrase) + r"($|[^a-z])", name) is not None
+
+    for r in nm.with_guides(df, pack).collect():
+        low = (names[r.i] or "").lower()
+        star = pack.star_exact.get(low) or next((v for p, v in pack.star_names.items() if holds(low, p)), 0)
+        assert r.michelin_stars == star, low
+        assert r.bib_gourmand == any(holds(low, p) for p in pack.bib_names), low
+        assert r.gault_millau == (any(holds(low, p) for p in pack.guide_names) or low in pack.guide_exact), low
+
+
+def test_every_row_has_a_position(spark):
+    df = spark.range(0, 3000).selectExpr("id", "case when id % 11 = 0 then null else id % 5 end as rating")
+    got = {r.id: r.pos for r in rk.with_positions(df, "rating").collect()}
+    order = sorted(range(3000), key=lambda i: (i % 11 == 0, -(i % 5) if i % 11 else 0, i))
+    assert got == {i: n for n, i in enumerate(order, 1)}
+
+
+def test_reviews_that_open_alike_both_stay(spark):
+    head = "The same opening words, more than fifty characters long, "
+    rows = [(i, 1, "r", head + str(i % 60)) for i in range(120)]
+    df = spark.createDataFrame(rows, "review_id int, venue_id int, reviewer_name string, text string")
+    assert {r.review_id for r in rv.distinct_reviews(df, "review_id").collect()} == set(range(60))
+    assert rv.distinct_reviews(df, "review_id", prefix=50).count() == 1
+    assert rv.distinct_reviews(df, "review_id", per_venue=5).count() == 5
+
+
+def test_radius_cells_meet_all_around_the_globe(spark):
+    cells = RadiusCells(5000.0)
+    near = [((0.0, 179.999), (0.0, -179.999)), ((10.0, -180.0), (10.01, 179.99)), ((88.99, 5.0), (89.005, 5.2)),
+            ((89.98, 0.0), (89.99, 180.0)), ((-89.99, 20.0), (-89.985, -170.0)), ((50.0, 4.0), (50.03, 4.03))]
+    df = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(near)], "i int, alat double, alng double, blat double, blng double")
+    a, b = [F.col("alat"), F.col("alng")], [F.col("blat"), F.col("blng")]
+    out = df.select(F.array_contains(cells.around(*a), cells.home(*b)).alias("ab"), F.array_contains(cells.around(*b), cells.home(*a)).alias("ba"))
+    assert all(r.ab and r.ba for r in out.collect())
 
 
 def test_pack_round_trip(tmp_path):
@@ -175,10 +213,10 @@ def test_view_series_fills_gaps(spark):
 
 def test_review_stream_drops_repeats(spark, tmp_path):
     src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
-    rows = [(1, "ann", "good " * 20 + str(i), f"2024-01-01 00:0{i}:00") for i in range(3)] + [(2, "bob", "x", "2024-01-01 00:05:00")]
+    rows = [(1, "ann", "good " * 20 + str(i % 2), f"2024-01-01 00:0{i}:00") for i in range(4)] + [(2, "bob", "x", "2024-01-01 00:05:00")]
     df = spark.createDataFrame(rows, "venue_id int, reviewer_name string, text string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     df.write.parquet(src)
     st.start_review_ingest(spark.readStream.schema(df.schema).parquet(src), sink, ckpt).awaitTermination()
     got = st.current_reviews(spark, sink).collect()
-    assert sorted((r.venue_id, r.reviewer_name) for r in got) == [(1, "ann"), (2, "bob")]
+    assert sorted((r.venue_id, r.reviewer_name) for r in got) == [(1, "ann"), (1, "ann"), (2, "bob")]  # texts that only open alike both stay
     assert os.path.isdir(sink)

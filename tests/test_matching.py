@@ -45,9 +45,7 @@ def places(spark):
     return v, e, vdf, edf
 
 
-@pytest.mark.parametrize("dense", [5000, 0])
-def test_match_by_place_equals_loop(places, monkeypatch, dense):
-    monkeypatch.setattr(rc, "DENSE_CELL", dense)
+def test_match_by_place_equals_loop(places):
     v, e, vdf, edf = places
 
     def norm(s):
@@ -75,9 +73,7 @@ def test_match_by_place_equals_loop(places, monkeypatch, dense):
     assert norm("a bar") == "a"
 
 
-@pytest.mark.parametrize("dense", [5000, 0])
-def test_match_by_name_then_place_equals_loop(places, monkeypatch, dense):
-    monkeypatch.setattr(rc, "DENSE_CELL", dense)
+def test_match_by_name_then_place_equals_loop(places):
     v, e, vdf, edf = places
     want = {}
     for ext, n, lat, lng in e:
@@ -185,3 +181,18 @@ def test_large_zone_joins_equal_loops(spark):
         dist = [(metres((lat, lng), (z[2], z[3])) / 1000, z) for z in zs]
         assert near[vid] == min(dist, key=lambda d: d[0])[1][1]
         assert inside[vid] == next((z[1] for d, z in dist if d < z[4]), None)
+
+
+def test_string_ids_match_like_numbers(spark):
+    venues = [(i, f"Le Petit Nom {i % 7}", f"Rue Haute {i % 5}, 1000") for i in range(40)]
+    prices = [(i, f"Petit Nom {i % 7}", f"Rue Haute {i % 3}, 1000") for i in range(12)]
+    ddl = "name string, address string"
+    numbers = fz.match_price_list(
+        spark.createDataFrame(venues, "id bigint, " + ddl), spark.createDataFrame(prices, "entry bigint, " + ddl)
+    ).collect()
+    texts = fz.match_price_list(
+        spark.createDataFrame([(f"place-{i:03d}", n, a) for i, n, a in venues], "id string, " + ddl),
+        spark.createDataFrame([(f"e{i}", n, a) for i, n, a in prices], "entry string, " + ddl),
+    ).collect()
+    assert numbers
+    assert {(f"e{r.entry}", f"place-{r.match_id:03d}", r.match_score) for r in numbers} == {tuple(r.asDict()[c] for c in ("entry", "match_id", "match_score")) for r in texts}
