@@ -88,7 +88,9 @@ def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool) -> Data
 
     def spread(df: DataFrame, side: str, keys: Column) -> DataFrame:
         around = F.explode(cells.around(F.col(f"{side}lat"), F.col(f"{side}lng")))
-        return df.withColumn("cell", around).withColumn("key", F.explode(keys))
+        # keys are made once a record, not once a cell
+        keyed = df.withColumn("_keys", keys).withColumn("cell", around)
+        return keyed.withColumn("key", F.explode("_keys")).drop("_keys")
 
     def settled(df: DataFrame, side: str, keys: Column) -> DataFrame:
         home = cells.home(F.col(f"{side}lat"), F.col(f"{side}lng"))
