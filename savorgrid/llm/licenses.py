@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from .textcore import LOWER, PrefixHash, chunks, mix, word_spans
 SHINGLE = 5
 BANDS = 48
 SHORT = 4  # templates of so few shingles are matched whole
+CHUNK = 1 << 20  # bytes of text worked on at a time
+NONE = np.iinfo(np.uint64).max  # minimum of no shingles
 
 #: Notices as their licenses word them.
 TEMPLATES: dict[str, str] = {
@@ -125,6 +129,15 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def text_shingles(words: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each text of a chunk, one text after another, and where each text's begin."""
+    counts = np.maximum(0, np.diff(word_at) - (SHINGLE - 1))
+    at = np.concatenate([[0], np.cumsum(counts)])
+    if not at[-1]:
+        return np.zeros(0, dtype=np.uint64), at
+    return shingle_hashes(words)[np.arange(at[-1]) + np.repeat(word_at[:-1] - at[:-1], counts)], at
+
+
 def windows_of(n: int, c: int) -> list[tuple[int, int]]:
     """First shingle and end of each window over ``n`` shingles, for templates of class ``c``."""
     if c <= SHORT:
@@ -133,56 +146,71 @@ def windows_of(n: int, c: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + 3 * half)) for i in range(0, max(1, n - half), half)] if n else []
 
 
-def _candidates(index: TemplateIndex, h: np.ndarray, c: int, minima: list[np.ndarray] | None) -> set[tuple[int, str]]:
-    """(window number, template) pairs that share a band."""
-    out: set[tuple[int, str]] = set()
-    if c <= SHORT:
-        n = len(h) - c + 1
-        if n <= 0:
-            return out
+def _groups(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts runs of the given sizes, which lie one after another, into groups of ``width`` that never cross
+    runs: where each group starts, and the number of groups before each run."""
+    counts = -(-sizes // width)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    starts = (np.arange(before[-1]) - np.repeat(before[:-1], counts)) * width
+    return starts + np.repeat(np.cumsum(sizes) - sizes, counts), before
+
+
+def _window_minima(index: TemplateIndex, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, band, minimum of each window, where each text's windows begin) over all texts of a chunk."""
+    sizes = np.diff(at)
+    for c in (c for c in index.classes if c <= SHORT):
         x = h * index.factors[0]  # equal sets have equal minima, one band is enough
+        n = max(0, len(x) - c + 1)
         low = x[:n].copy()
         for k in range(1, c):
             np.minimum(low, x[k : k + n], out=low)
-        bands = [low]
-    else:
-        half = c // 2
-        bands = []
-        for low in minima:
-            m = low
-            step = half // 4
-            if step > 1:
-                m = np.minimum.reduceat(low, np.arange(0, len(low), step))
-            count = len(windows_of(len(h), c))
-            pad = np.concatenate([m, np.full(2 + max(0, count - len(m)), np.iinfo(np.uint64).max, dtype=np.uint64)])
-            bands.append(np.minimum(np.minimum(pad[:count], pad[1 : count + 1]), pad[2 : count + 2]))
-    for k, low in enumerate(bands):
+        counts = np.maximum(0, sizes - c + 1)
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        yield c, 0, low[np.arange(begin[-1]) + np.repeat(at[:-1] - begin[:-1], counts)], begin
+    long = [c for c in index.classes if c > SHORT]
+    if not long or not len(h):
+        return
+    fours, four_at = _groups(sizes, 4)
+    halves = {c: _groups(np.diff(four_at), c // 8) for c in long}
+    tails = {}
+    for c in long:  # a window is up to three halves of its own text
+        begin = halves[c][1]
+        left = np.repeat(begin[1:], np.diff(begin)) - np.arange(begin[-1])
+        # the last half of a text starts no window unless it is the text's only one
+        counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - c // 2) // (c // 2))), 0)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        tails[c] = left < 2, left < 3, np.arange(first[-1]) + np.repeat(begin[:-1] - first[:-1], counts), first
+    for k, factor in enumerate(index.factors):
+        low = np.minimum.reduceat(h * factor, fours)
+        for c in long:
+            alone, pair, windows, first = tails[c]
+            m = np.minimum.reduceat(low, halves[c][0]) if c > 8 else low
+            pad = np.concatenate([m, np.full(2, NONE)])
+            second, third = pad[1:-1].copy(), pad[2:].copy()
+            second[alone] = NONE
+            third[pair] = NONE
+            yield c, k, np.minimum(np.minimum(m, second), third)[windows], first
+
+
+def candidates(index: TemplateIndex, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, str]]:
+    """(text number, class, window number, template) of all windows that share a band with a template."""
+    out: set[tuple[int, int, int, str]] = set()
+    for c, k, low, begin in _window_minima(index, h, at):
         for i in np.flatnonzero(index.marks[c][k].take((low >> np.uint64(48)).astype(np.int64))):
             for name in index.values[c][k].get(int(low[i]), ()):
-                out.add((int(i), name))
-    return out
-
-
-def scan_text(index: TemplateIndex, words: list[bytes], hashes: np.ndarray) -> list[tuple[str, float, int]]:
-    """(template, best containment in a window, first shared shingle of the first such window)."""
-    h = shingle_hashes(hashes)
-    if not len(h):
-        return []
-    minima = None
-    if any(c > SHORT for c in index.classes):
-        at = np.arange(0, len(h), 4)
-        minima = [np.minimum.reduceat(h * f, at) for f in index.factors]
-    best: dict[str, tuple[float, int]] = {}
-    for c in index.classes:
-        spans = None
-        for i, name in sorted(_candidates(index, h, c, minima)):
-            spans = spans or windows_of(len(h), c)
-            first, end = spans[i]
-            inside = shingles(words[first : end + SHINGLE - 1])
-            share = len(index.sets[name].intersection(inside)) / len(index.sets[name])
-            if share >= index.threshold and share > best.get(name, (0.0, 0))[0]:
-                best[name] = share, first + next(k for k, s in enumerate(inside) if s in index.sets[name])
-    return [(name, *v) for name, v in sorted(best.items())]
+                text = int(np.searchsorted(begin, i, "right")) - 1
+                out.add((text, c, int(i - begin[text]), name))
+    return sorted(out)
+
+
+def verify(index: TemplateIndex, words: list[bytes], c: int, window: int, name: str) -> tuple[float, int] | None:
+    """Share of the template's shingles in a window and the first of them, if the share is enough."""
+    n = len(words) - SHINGLE + 1
+    first, end = (window, window + c) if c <= SHORT else (window * (c // 2), min(n, window * (c // 2) + 3 * (c // 2)))
+    inside = shingles(words[first : end + SHINGLE - 1])
+    own = index.sets[name]
+    share = len(own.intersection(inside)) / len(own)
+    return (share, first + next(k for k, s in enumerate(inside) if s in own)) if share >= index.threshold else None
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -204,15 +232,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[str, float, int]] = []
-            for first, last, buf, off in chunks(batch.column(width)):
+            for first, last, buf, off in chunks(batch.column(width), CHUNK):
                 buf = LOWER[buf]
                 starts, ends, word_at = word_spans(buf, off)
-                hashes = PrefixHash(buf).spans(starts, ends)
+                h, at = text_shingles(PrefixHash(buf).spans(starts, ends), word_at)
                 raw = buf.tobytes()
-                for i in range(last - first):
-                    own = scan_text(index, raw[off[i] : off[i + 1]].split(), hashes[word_at[i] : word_at[i + 1]])
-                    rows += [first + i] * len(own)
-                    found += own
+                best: dict[tuple[int, str], tuple[float, int]] = {}
+                for i, own in groupby(candidates(index, h, at), itemgetter(0)):
+                    words = raw[off[i] : off[i + 1]].split()
+                    for _, c, window, name in own:
+                        hit = verify(index, words, c, window, name)
+                        if hit and hit[0] > best.get((i, name), (0.0, 0))[0]:
+                            best[i, name] = hit
+                for (i, name), hit in sorted(best.items()):
+                    rows.append(first + i)
+                    found.append((name, *hit))
             names, shares, places = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*[c.take(pa.array(rows, pa.int64())) for c in batch.columns[:width]], pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(places, pa.int64())],
