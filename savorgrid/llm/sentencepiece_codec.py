@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,23 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MARK = "▁"  # a space, in pieces
 CACHE = 400_000  # units remembered by a task
+UNREACHED = float("-inf")
+SPELLED = (1, -1, 0.0)  # a step over one character by its bytes
 _CODECS: dict[str, Codec] = {}
 
 
+class UnitCache(dict):
+    """Encoded units by their text; a new one is encoded when it is first asked for."""
+
+    def __init__(self, viterbi: Callable[[str], list[int]]):
+        super().__init__()
+        self.viterbi = viterbi
+
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = ids = array("i", self.viterbi(unit)).tobytes()
+        return ids
+
+
 class Codec:
     """Pieces and scores of a model file. ``encode`` finds the pieces of greatest total score.
 
@@ -52,36 +67,35 @@ class Codec:
         apart = not any(re.search(r"[^ ] |\n.|.\n", t, re.S) for t in scores)
         self.units = re.compile(r"\n| *[^ \n]+| +" if apart else r"(?s).+")
         self.raw = [p if isinstance(p, bytes) else p.encode() for p in self.pieces]
-        self.cache: dict[str, bytes] = {}
+        self.single = {t for t in scores if len(t) == 1}
+        self.cache = UnitCache(self.viterbi)
 
     def viterbi(self, text: str) -> list[int]:
-        """One pass: the automaton reports, for each end position, every piece that ends there (its output
-        links), and each relaxes the best score of that position."""
+        """One pass: the automaton reports, for each end position, every piece that ends there, the longest
+        first (its output links), and each relaxes the best score of that position."""
         n = len(text)
-        best = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        done = 0  # positions below are final
-
-        def bridge(upto: int) -> None:
-            """Positions that no piece reaches get there by bytes."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                spelled = best[done - 1] + self.lowest * len(text[done - 1].encode())
-                if best[done] is None or spelled > best[done]:
-                    best[done], back[done] = spelled, (1, -1)
-
-        for end, (size, piece, score) in self.automaton.iter(text):
-            if end > done:
-                bridge(end)
-            total = best[end + 1 - size] + score
-            now = best[end + 1]
-            if now is None or total > now or (total == now and size > back[end + 1][0]):
-                best[end + 1], back[end + 1] = total, (size, piece)
-        bridge(n)
+        best = [0.0] + [UNREACHED] * n
+        back: list[tuple[int, int, float]] = [SPELLED] * (n + 1)
+        if self.single.issuperset(text):  # bytes never beat a character's own piece
+            for end, value in self.automaton.iter(text):
+                end += 1
+                total = best[end - value[0]] + value[2]
+                if total > best[end]:
+                    best[end], back[end] = total, value
+        else:
+            done = 0  # positions up to here are final
+            for end, value in self.automaton.iter(text):
+                if end > done:
+                    self._bridge(text, best, back, done, end)
+                    done = end
+                end += 1
+                total = best[end - value[0]] + value[2]
+                if total > best[end]:
+                    best[end], back[end] = total, value
+            self._bridge(text, best, back, done, n)
         ids: list[int] = []
         while n:
-            size, piece = back[n]
+            size, piece, _ = back[n]
             if piece < 0:
                 ids += [self.byte_ids[b] for b in reversed(text[n - 1].encode())]
             else:
@@ -90,17 +104,19 @@ class Codec:
         ids.reverse()
         return ids
 
+    def _bridge(self, text: str, best: list[float], back: list[tuple[int, int, float]], done: int, upto: int) -> None:
+        """Positions after ``done`` that no piece reaches, or only a worse one, are reached by bytes."""
+        for end in range(done + 1, upto + 1):
+            spelled = best[end - 1] + self.lowest * len(text[end - 1].encode())
+            if spelled > best[end]:
+                best[end], back[end] = spelled, SPELLED
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        units = self.units.findall(" " + text)
-        for u in set(units):
-            if u not in cache:
-                cache[u] = np.array(self.viterbi(u), dtype=np.int32).tobytes()
-        return np.frombuffer(b"".join([cache[u] for u in units]), dtype=np.int32)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.units.findall(" " + text))), dtype=np.int32)
 
     def decode(self, ids) -> str:
         """Ids outside the model and control pieces spell nothing; bytes that form no character are replaced."""
