@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from savorgrid.llm import queries, sentencepiece_codec, simhash, suffix_dedup
+from savorgrid.llm import near_dedup, queries, sentencepiece_codec, simhash, suffix_dedup
 from savorgrid.llm.exact_dedup import DigestIndex
 from savorgrid.llm.graph import components
 from savorgrid.llm.language_id import LanguageModel
@@ -236,6 +236,42 @@ def test_masks_cover():
         assert any(not m & gone for m in masks)
 
 
+@pytest.mark.parametrize("centres", [16, 1])
+def test_similar_texts_equal_brute_force(spark, centres, monkeypatch):
+    monkeypatch.setattr(near_dedup.similar_links, "__defaults__", (*near_dedup.similar_links.__defaults__[:-1], centres))
+    rng = np.random.default_rng(6)
+    data = [(0, ""), (1, " "), (2, "one two"), (3, "One  two")]
+    for _ in range(25):  # copies with a few edited words, short ones above all, around a common passage
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(10, 80))] + ["common"] * 3 + [f"c{i}" for i in range(8)]
+        for _ in range(6):
+            own = list(base)
+            for k in rng.integers(0, len(own), rng.integers(0, 3)):
+                own[k] = f"e{rng.integers(9999)}"
+            data.append((len(data), " ".join(own)))
+    sets = []
+    for _, t in data:
+        w = WORD.findall(low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    owner, loose, far = {i: i for i, _ in data}, 0, 0
+
+    def root(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                far += bin(fingerprint(data[i][1]) ^ fingerprint(data[j][1])).count("1") > 4
+                owner[max(root(i), root(j))] = min(root(i), root(j))
+            else:
+                loose += bool(a & b)
+    assert far > 10 and loose > 100
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {i for i, _ in data if root(i) == i}
+
+
 def test_digest_index(spark, docs, rows):
     index = DigestIndex(spark, buckets=3)
     first = index.add(docs).collect()
