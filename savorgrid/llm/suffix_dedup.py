@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from savorgrid.session import materialise, new_folder
 
-from .textcore import PrefixHash, chunks
+from .textcore import PrefixHash, chunks, word_spans
 
 GRAM = 96  # bytes of an anchor
 SHALLOW = 64  # bytes sorted by multikey quicksort before blind tries take over
 GROUP_ROWS = 4096  # different strings around one anchor that are sorted in one task
+CODE = 8  # bytes that stand for a word where passages are measured in words
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -253,10 +254,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(take, pa.int64()))
 
 
-def _find_anchors(width: int, gram: int):
+def word_codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with every word replaced by its hash, and their offsets: white space and word length do not count."""
+    starts, ends, word_at = word_spans(buf, off)
+    codes = PrefixHash(buf).spans(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return codes.view(np.uint8), word_at * CODE
+
+
+def _find_anchors(width: int, gram: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, buf, off in chunks(batch.column(1)):
+            for first, last, buf, off in chunks(batch.column(1), 2 << 20 if words else 4 << 20):
+                if words:
+                    buf, off = word_codes(buf, off)
                 h, at, lo, hi = anchors(buf, off, width, gram)
                 row = np.searchsorted(off, lo, "right") - 1
                 base = off[row]
@@ -271,8 +281,9 @@ def _find_anchors(width: int, gram: int):
     return run
 
 
-def _cut_contexts(width: int, rows: int = 20_000):
+def _cut_contexts(width: int, rows: int = 20_000, words: bool = False):
     """The bytes around each anchor that repeats: from the first string that picks it to the end of the last.
+    With ``words`` places count in word codes, and the bytes are those of the words; ``_coded`` turns them to codes.
 
     Equal ones that come together (a text that repeats itself, copies of a passage in one task) are known to be
     repeated; one of them goes on as a context, the others' spans come out as rows without an anchor.
@@ -280,28 +291,32 @@ def _cut_contexts(width: int, rows: int = 20_000):
 
     def flush(found: list[tuple]) -> pa.RecordBatch:
         same: dict[tuple[int, int, bytes], list[tuple]] = {}
-        for tid, h, at, lo, data, hot in found:
-            same.setdefault((h, at - lo, data), []).append((tid, at, lo, hot))
+        for tid, h, at, lo, n, data, hot in found:
+            same.setdefault((h, at - lo, n, lo % CODE if words else 0, data), []).append((tid, at, lo, hot))
         out, known = [], {}
-        for (h, _, data), places in same.items():
+        for (h, _, n, _, data), places in same.items():
             tid, at, lo, hot = places[0]
-            out.append((tid, h, at, lo, data, hot, None, None))
+            out.append((tid, h, at, lo, data, n, hot, None, None))
             if len(places) > 1:
                 for tid, _, lo, _ in places:
-                    known.setdefault(tid, []).append((lo, lo + len(data)))
+                    known.setdefault(tid, []).append((lo, lo + n))
         for tid, spans in known.items():
-            out += [(tid, None, None, None, None, None, a, b) for a, b in merge_spans(spans)]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64()]
+            out += [(tid, None, None, None, None, None, None, a, b) for a, b in merge_spans(spans)]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         columns = zip(*out, strict=True) if out else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["tid", "h", "at", "lo", "bytes", "hot", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["tid", "h", "at", "lo", "bytes", "n", "hot", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
             for tid, text, spots in zip(*[batch.column(i) for i in range(3)], strict=True):
                 tid, raw = tid.as_py(), text.as_py().encode()
+                if words:
+                    starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                 for x in spots.as_py():
-                    found.append((tid, x["h"], x["at"], x["lo"], raw[x["lo"] : x["hi"] + width], x["hot"]))
+                    a, b = x["lo"], x["hi"] + width
+                    data = raw[starts[a // CODE] : ends[-(-b // CODE) - 1]] if words else raw[a:b]
+                    found.append((tid, x["h"], x["at"], a, b - a, data, x["hot"]))
                     if len(found) >= rows:
                         yield flush(found)
                         found = []
@@ -310,7 +325,22 @@ def _cut_contexts(width: int, rows: int = 20_000):
     return run
 
 
-def _match(width: int):
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts with their words replaced by codes, from the place where the context begins within a code."""
+    for batch in batches:
+        names = batch.schema.names
+        start, data = [x % CODE for x in batch.column(names.index("lo")).to_pylist()], []
+        size = batch.column(names.index("n")).to_pylist()
+        for first, last, buf, off in chunks(batch.column(names.index("bytes")), 2 << 20):
+            codes, at = word_codes(buf, off)
+            codes = codes.tobytes()
+            data += [codes[at[i] + start[first + i] : at[i] + start[first + i] + size[first + i]] for i in range(last - first)]
+        columns = list(batch.columns)
+        columns[names.index("bytes")] = pa.array(data, pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _match(width: int, words: bool = False):
     """Rows come sorted by anchor; an anchor's rows are decided together."""
 
     def decide(rows: list[tuple]) -> list[tuple[bytes, int, int]]:
@@ -333,7 +363,7 @@ def _match(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        for batch in batches:
+        for batch in _coded(batches) if words else batches:
             found: list[tuple[bytes, int, int]] = []
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for row in zip(*columns, strict=True):
@@ -432,7 +462,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], []]
         for tid, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             raw = text.encode()
-            merged = merge_spans([(s["a"], s["b"]) for s in spans])
+            merged = merge_spans([(s["a"], s["b"]) for s in spans if not s["words"]] + _of_words(raw, [(s["a"], s["b"]) for s in spans if s["words"]]))
             kept = cut(raw, merged)
             for c, v in zip(out, (tid, [{"a": a, "b": b} for a, b in merged], len(raw) - len(kept), hashlib.sha256(kept).hexdigest()), strict=True):
                 c.append(v)
@@ -450,6 +480,14 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _of_words(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of the whole words in ranges of word codes."""
+    if not spans:
+        return []
+    starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [(int(starts[-(-a // CODE)]), int(ends[b // CODE - 1])) for a, b in merge_spans(spans)]
+
+
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, kept = 0, []
     for a, b in spans:
@@ -466,8 +504,9 @@ def _sha(text):
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
+def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400, group_rows: int = GROUP_ROWS, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """(tid, spans, n_removed, kept_sha256) of the different texts that lose bytes, copies of whole texts apart.
+    With ``words`` also runs of so many words that occur again, whatever their length and the white space in them.
 
     1. Texts are reduced to different ones (in the task first, then once over the cluster) and written in
        buckets, so that later joins with them do not move text.
@@ -479,28 +518,39 @@ def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400,
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table, path = f"texts_{uuid.uuid4().hex}", new_folder(spark)
-    texts = docs.where(F.octet_length(F.col(text_col)) >= width).select(F.unhex(F.substring(_sha(F.col(text_col)), 1, 32)).alias("tid"), F.col(text_col).alias("text"))
+    least = min(width, 2 * words - 1) if words else width
+    texts = docs.where(F.octet_length(F.col(text_col)) >= least).select(F.unhex(F.substring(_sha(F.col(text_col)), 1, 32)).alias("tid"), F.col(text_col).alias("text"))
     texts = texts.mapInArrow(_distinct, texts.schema).repartition(parts, "tid").mapInArrow(_distinct, texts.schema)
     texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, "tid").saveAsTable(table)
     texts = spark.table(table)
 
-    spots = materialise(texts.mapInArrow(_find_anchors(width, gram), "tid binary, h long, at long, lo long, hi long"))
+    spans = _spans_in(texts, width, gram, group_rows, parts).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(_spans_in(texts, words * CODE, GRAM, group_rows, parts, words=True).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b", "words")).alias("spans"))
+    return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
+        _apply, "tid binary, spans array<struct<a: bigint, b: bigint>>, n_removed long, kept_sha256 string"
+    )
+
+
+def _spans_in(texts: DataFrame, width: int, gram: int, group_rows: int, parts: int, words: bool = False) -> DataFrame:
+    """(tid, a, b): what strings of ``width`` bytes that occur again cover, in bytes or with ``words`` in word codes."""
+    spots = materialise(texts.mapInArrow(_find_anchors(width, gram, words), "tid binary, h long, at long, lo long, hi long"))
     often = materialise(spots.groupBy("h").count().where("count > 1").select("h", (F.col("count") > group_rows).alias("hot")))
     again = spots.join(often, "h").groupBy("tid").agg(F.collect_list(F.struct("h", "at", "lo", "hi", "hot")).alias("spots"))
     contexts = texts.join(again, "tid").select("tid", "text", "spots").mapInArrow(
-        _cut_contexts(width), "tid binary, h long, at long, lo long, bytes binary, hot boolean, a long, b long"
+        _cut_contexts(width, words=words), "tid binary, h long, at long, lo long, bytes binary, n long, hot boolean, a long, b long"
     )
     contexts = materialise(contexts)
     known = contexts.where("h is null").select("tid", "a", "b")
-    contexts = contexts.where("h is not null").select("tid", "h", "at", "lo", "bytes", "hot")
+    contexts = contexts.where("h is not null").select("tid", "h", "at", "lo", "bytes", "n", "hot")
     plain = contexts.where("not hot").drop("hot").repartition(parts, "h").sortWithinPartitions("h")
-    spans = known.unionByName(plain.mapInArrow(_match(width), "tid binary, a long, b long"))
+    spans = known.unionByName(plain.mapInArrow(_match(width, words), "tid binary, a long, b long"))
     if not often.where("hot").isEmpty():
-        spans = spans.unionByName(_crowded_spans(contexts.where("hot"), width, gram, group_rows, parts))
-    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
-        _apply, "tid binary, spans array<struct<a: bigint, b: bigint>>, n_removed long, kept_sha256 string"
-    )
+        hot = contexts.where("hot")
+        hot = hot.mapInArrow(_coded, hot.schema) if words else hot
+        spans = spans.unionByName(_crowded_spans(hot, width, gram, group_rows, parts))
+    return spans
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, carry: list[str] | None = None, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
@@ -531,17 +581,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, ca
     )
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) -> DataFrame:
-    """The documents with the repeated bytes taken out of their texts.
+def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400, words: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The documents with the repeated bytes taken out of their texts, and with ``words`` the runs of so many words.
 
     Every row stays, if need be with an empty text; a null text stays null. A character that a cut goes
     through goes as a whole.
     """
     names, at = docs.columns, docs.columns.index(text_col)
     own = docs.withColumn("__sha", _sha(F.col(text_col)))
-    partial = materialise(repeated_in_texts(docs, text_col, width).select("tid", "spans"))
+    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, words=words).select("tid", "spans"))
     size = F.octet_length(F.col(text_col))
-    copies = own.where(size >= width).groupBy("__sha", size.cast("long").alias("n")).count().where("count > 1")
+    long = size >= width
+    if words:
+        long = long | (F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")) >= words)
+    copies = own.where(long).groupBy("__sha", size.cast("long").alias("n")).count().where("count > 1")
     copies = copies.select(F.unhex(F.substring("__sha", 1, 32)).alias("tid"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("all"))
     spans = materialise(partial.join(copies, "tid", "full").select(F.col("tid").alias("__tid"), F.coalesce("all", "spans").alias("__spans")))
     found = own.withColumn("__t", F.unhex(F.substring("__sha", 1, 32))).join(spans, F.col("__t") == F.col("__tid"), "left")

@@ -361,6 +361,38 @@ def test_suffix_dedup(spark, docs, rows, group_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("group_rows", [4096, 0])
+def test_repeated_passages_of_over_50_words(spark, group_rows):
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"q{x}" for x in rng.integers(0, 10**6, n)]
+    tiny = [chr(97 + x) for x in rng.integers(0, 26, 60)]  # 51 words are 101 bytes
+    mid = [f"é{x}" for x in rng.integers(0, 99, 70)]
+    data = [own(3) + tiny[:51] + own(60), own(9) + tiny[:51] + own(2), own(9) + tiny[5:55] + own(9), mid[:51], own(4) + mid[:51], mid[:50] + own(30)]
+    data += [own(k) + mid[k : k + 52] + own(9) for k in range(8, 14)] + [own(5) + ["y" * 90] * 6 + own(2), own(7) + ["y" * 90] * 6 + own(5)]
+    gaps = [" ", "\n", "  "]
+    texts = [gaps[i % 3].join(w) + " " for i, w in enumerate(data)]
+    runs = Counter(tuple(w[k : k + 51]) for w in data for k in range(len(w) - 50))
+    raw = [t.encode() for t in texts]
+    strings = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
+    want = []
+    for w, t, b in zip(data, texts, raw, strict=True):
+        at = [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in WORD.finditer(t)]
+        spans = [(at[k][0], at[k + 50][1]) for k in range(len(w) - 50) if runs[tuple(w[k : k + 51])] > 1]
+        spans += [(k, k + 400) for k in range(len(b) - 399) if strings[b[k : k + 400]] > 1]
+        want.append(suffix_dedup.cut(b, suffix_dedup.merge_spans(spans)).decode(errors="ignore"))
+    assert sum(a != b for a, b in zip(want, texts, strict=True)) == 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, words=51, group_rows=group_rows).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
+
+
+def test_pipeline_takes_out_short_words(spark):
+    passage = " ".join(f"{chr(97 + i % 26)}{i // 26}" for i in range(51))
+    docs = spark.createDataFrame([(1, f"one {passage} end", "en", "a", 1), (2, f"two more {passage} stop", "en", "a", 1)], SCHEMA)
+    got = corpus_pipeline.suffix_dedup(spark, docs, SF).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["one  end", "two more  stop"]
+
+
 def test_deep_shallow():
     rng = np.random.default_rng(4)
     data = {bytes(rng.integers(97, 99, rng.integers(0, 12)).tolist()) for _ in range(200)} | {b"x" * 90 + bytes([k]) * k for k in range(40)}
