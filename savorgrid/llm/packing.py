@@ -42,9 +42,24 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 
 
-def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _occurrences(low: np.ndarray, off: np.ndarray, added: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the added tokens in the texts, in any case and overlapping ones too."""
+    raw, begin, end = low.tobytes(), [], []
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            begin.append(at)
+            end.append(at + len(token))
+            at = raw.find(token, at + 1)
+    begin, end = np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
+    within = np.searchsorted(off, begin, "right") == np.searchsorted(off, end, "left")
+    return begin[within], end[within]
+
+
+def _parts(buf: np.ndarray, off: np.ndarray, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes, and starts, ends and first part of each text for words cut where punctuation
-    follows an ASCII letter: the tokenizer's pieces never cross such a place or white space.
+    follows an ASCII letter: the tokenizer's pieces never cross such a place or white space, but for its
+    ``added`` tokens (lower-cased here), in which nothing is cut or lower-cased.
 
     A capital before a non-ASCII byte stays, as a combining mark may join it.
     """
@@ -57,6 +72,18 @@ def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     before_wide = np.flatnonzero(buf[1:] >= 0x80)
     low[before_wide] = buf[before_wide]
     starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    begin, end = _occurrences(LOWER[buf], off, added)
+    if len(begin):
+        change = np.zeros(len(buf) + 1, dtype=np.int32)
+        np.add.at(change, begin, 1)
+        np.add.at(change, end, -1)
+        inside = np.cumsum(change[:-1]) > 0
+        low[inside] = buf[inside]
+        change[:] = 0
+        np.add.at(change, begin + 1, 1)
+        np.add.at(change, end, -1)
+        between = np.cumsum(change) > 0  # a cut here would be within a token
+        starts, ends = starts[~between[starts]], ends[~between[ends]]
     return low, starts, ends, np.searchsorted(starts, off)
 
 
@@ -65,6 +92,8 @@ class WordTable:
 
     def __init__(self, path: str, limit: int = 1_500_000):
         self.whole, self.bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in _tokenizer(path))
+        tokens = _tokenizer(path)[0].get_added_tokens_decoder().values()
+        self.added = sorted({LOWER[np.frombuffer(x, np.uint8)].tobytes() for t in tokens if (x := t.content.strip().encode())})
         self.limit = limit
         self.clear()
 
@@ -105,7 +134,7 @@ def token_ids(column: pa.Array, table: WordTable, end_id: int) -> Iterator[tuple
     For tokenizers that never look across white space: each different word is encoded once.
     """
     for first, last, buf, off in chunks(column, 6 << 20):
-        buf, starts, ends, word_at = _parts(buf, off)
+        buf, starts, ends, word_at = _parts(buf, off, table.added)
         hashes = np.concatenate([PrefixHash(b).spans(s, e) for b, s, e in _slices(buf, starts, ends)] or [np.zeros(0, np.uint64)])
         keys, where, of_word = np.unique(hashes, return_index=True, return_inverse=True)
         other = np.concatenate([[0], np.cumsum(~(_LETTER[buf] & (buf >= 97)), dtype=np.int32)]) if len(buf) else np.zeros(1, np.int32)

@@ -170,6 +170,17 @@ def test_packing(spark, docs, rows):
     assert max(at.values()) <= 256
 
 
+def test_packing_keeps_added_tokens_whole(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    texts = ["hello <|endoftext|> x", "one<|endoftext|>Two", "<|startoftext|>Some text.<|endoftext|>", "<|EndOfText|> a<|endoftext|b", "x <|endoftext|><|endoftext|>'s", "Ab <|endoftext", "|> c", "É<|startoftext|>é"]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), BPE, capacity=256).collect()
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0] == [3306, 49407, 343, 0]
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("small", [0.1, 0.4, 0.5])
 def test_packing_plan_is_tight(small):
     rng = np.random.default_rng(3)
