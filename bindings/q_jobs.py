@@ -529,13 +529,9 @@ def m01(t: Tables):
     return d.select(*[r6(c).alias(c) if c in ("log_review_count", "hex_mean_rating", "hex_cuisine_entropy", "hex_chain_share") else c for c in d.columns])
 
 
-# registered runs use fewer and flatter trees than the default; the work still follows the rows
-QUICK = md.TreeSettings(iterations=10, depth=4)
-
-
 def modelled(t: Tables):
     f = featured(t)
-    return md.predict(md.train(f, QUICK), f)
+    return md.predict(md.train(f), f)
 
 
 @query("m02_expected_by_trees")
@@ -545,7 +541,7 @@ def m02(t: Tables):
 
 @query("m03_cross_validation")
 def m03(t: Tables):
-    return md.cross_validate(featured(t), md.TreeSettings(iterations=3, depth=3))
+    return md.cross_validate(featured(t))
 
 
 @query("m04_residuals", EXPECTED + f"select id, {S.r6('rating - predicted_rating')} as residual from expected")
@@ -562,7 +558,7 @@ def m05(t: Tables):
 @query("m06_save_and_load")
 def m06(t: Tables):
     f, path = featured(t), scratch(t.spark)
-    md.save_model(md.train(f, md.TreeSettings(iterations=3, depth=3)), path)
+    md.save_model(md.train(f), path)
     return md.predict(md.load_model(path), f).select("id", r6("predicted_rating").alias("predicted_rating"))
 
 

@@ -220,3 +220,19 @@ def test_review_stream_drops_repeats(spark, tmp_path):
     got = st.current_reviews(spark, sink).collect()
     assert sorted((r.venue_id, r.reviewer_name) for r in got) == [(1, "ann"), (1, "ann"), (2, "bob")]  # texts that only open alike both stay
     assert os.path.isdir(sink)
+
+
+@pytest.mark.parametrize("name", ["m02_expected_by_trees", "m03_cross_validation", "m06_save_and_load"])
+def test_registered_trees_are_as_many_and_as_deep_as_the_default(spark, name, monkeypatch):
+    import __spark_entry__ as entry
+
+    used = []
+
+    def trees(settings, label):
+        used.append(settings)
+        raise InterruptedError
+
+    monkeypatch.setattr(md, "_trees", trees)
+    with pytest.raises(InterruptedError):
+        entry.queries()[name](spark, SF)
+    assert [(s.iterations, s.depth) for s in used] == [(200, 8)]
