@@ -264,7 +264,7 @@ def word_codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _find_anchors(width: int, gram: int, words: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, buf, off in chunks(batch.column(1), 2 << 20 if words else 4 << 20):
+            for first, last, buf, off in chunks(batch.column(1), 1 << 20 if words else 2 << 20):
                 if words:
                     buf, off = word_codes(buf, off)
                 h, at, lo, hi = anchors(buf, off, width, gram)
