@@ -15,14 +15,19 @@ from .language_id import LanguageModel, held_out
 from .licenses import scan_licenses
 from .lm_score import KatzScorer, training
 from .packing import pack
+from .phrases import collocations
 from .quality import quality_rules
 from .sentencepiece_codec import decode, encode
 from .shards import shard_by_bytes
 from .simhash import near_duplicates
+from .source_audit import source_audit
 from .suffix_dedup import repeated_spans
+from .vector_search import nearest_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_quality_rules": sql.QUALITY, "op7_exact_dedup": sql.EXACT_DEDUP}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": sql.QUALITY, "op7_exact_dedup": sql.EXACT_DEDUP, "op11_phrases": sql.PHRASES, "op13_source_audit": sql.SOURCE_AUDIT,
+}
 
 
 def query(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -100,3 +105,21 @@ def op9_lm_score(docs: DataFrame) -> DataFrame:
 @query
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
     return repeated_spans(docs, width=400, carry=["doc_id"]).drop("spans")
+
+
+@query
+def op11_phrases(docs: DataFrame) -> DataFrame:
+    return collocations(docs)
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES[op12_nearest_vectors.__name__] = op12_nearest_vectors
+
+
+@query
+def op13_source_audit(docs: DataFrame) -> DataFrame:
+    return source_audit(docs)

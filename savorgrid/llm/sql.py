@@ -12,6 +12,64 @@ g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)
 """
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = rf"""
+with p as (
+    select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents
+), g as (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase
+    from (select lang, w, unnest(range(1, 6)) as k from p) where len(w) >= k
+), f as (select lang, phrase, k, count(*) as a from g group by all having count(*) >= 100 or k = 1
+), t as (select lang, sum(len(w))::bigint as n from p group by 1
+), c as (select *, string_split(phrase, ' ') as w from f where k > 1
+), x as (select c.*, unnest(range(2, k)) as m from c
+), inside as (
+    select lang, phrase, max(a) as within
+    from (select lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) as phrase from x) group by all
+), j as (
+    select lang, phrase, a, j, array_to_string(w[1 : j], ' ') as first, array_to_string(w[j + 1 :], ' ') as rest
+    from (select c.*, unnest(range(1, k)) as j from c)
+), cut as (
+    select j.lang, j.phrase, j.a, l.a as l, r.a as r, n, j, (1000::hugeint * j.a * n) // (l.a::hugeint * r.a) as score
+    from j join t on t.lang = j.lang
+    join f l on l.lang = j.lang and l.phrase = j.first
+    join f r on r.lang = j.lang and r.phrase = j.rest
+), best as (
+    select lang, phrase, a, l, r, n, score::bigint as score from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1
+)
+select best.lang, row_number() over (partition by best.lang order by score desc, a desc, best.phrase) as rank, best.phrase, a, l, r, n, score
+from best left join inside on inside.lang = best.lang and inside.phrase = best.phrase
+where within is null or 100 * within < 100 * a qualify rank <= 2000
+"""
+
+SOURCE_AUDIT = rf"""
+with d as (
+    select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), o as (select i, lang, source, unnest(terms) as term from d
+), k as (select lang, term, count(*)::hugeint as n from o group by all having count(distinct i) >= 3
+), c as (select lang, source, term, count(*)::hugeint as n from o semi join k using (lang, term) group by all
+), l as (select lang, count(*) as v, sum(n) as n from k group by 1
+), s as (select distinct lang, source from d
+), g as (select lang, source, coalesce(sum(c.n), 0) as n from s left join c using (lang, source) group by all
+), p as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.n + l.v) as p, 1 + 1000000000 * (k.n + 1) // (l.n + l.v) as q
+    from g join l on l.lang = g.lang join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), pairs as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+    from s a join s b on a.lang = b.lang and a.source <> b.source
+    left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+    union all
+    select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p where n > 0 and p > q
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+from every qualify part = 'pair' or rank <= 200
+"""
+
 
 def _chars(chars: str) -> str:
     return " || ".join(f"chr({ord(c)})" for c in chars)
