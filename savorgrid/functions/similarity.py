@@ -1,41 +1,59 @@
-"""String similarity of the longest-matching-blocks kind, for use inside Arrow batches."""
+"""String similarity of the longest-matching-blocks kind: small helpers for pairs that a join has found."""
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
-import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+
+TOKENS = StructType([StructField(c, ArrayType(StringType())) for c in ("letters", "grams")])
 
 
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-class Bags:
-    """Character counts of many strings; gives an upper bound of ``ratio`` for all of them at once."""
-
-    def __init__(self, texts: list[str]):
-        self.texts = texts
-        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        self.letters = {c: i for i, c in enumerate(sorted(set("".join(texts))))}
-        self.counts = np.zeros((len(texts), len(self.letters)), dtype=np.int16)
-        for row, text in enumerate(texts):
-            for c in text:
-                self.counts[row, self.letters[c]] += 1
-
-    def overlap(self, text: str) -> np.ndarray:
-        """Number of characters each string has in common with ``text``, with multiplicity."""
-        mine: dict[int, int] = {}
-        for c in text:
-            at = self.letters.get(c)
-            if at is not None:
-                mine[at] = mine.get(at, 0) + 1
-        if not mine:
-            return np.zeros(len(self.texts), dtype=np.int64)
-        cols = list(mine)
-        return np.minimum(self.counts[:, cols], np.array([mine[c] for c in cols])).sum(axis=1)
-
-    def bound(self, text: str, overlap: np.ndarray | None = None) -> np.ndarray:
-        shared = self.overlap(text) if overlap is None else overlap
-        total = self.lengths + len(text)
-        return np.where(total == 0, 1.0, 2.0 * shared / np.maximum(total, 1))
+def _numbered(parts: list[str]) -> list[str]:
+    """Each part with the number of its occurrence, so that common tokens count common parts."""
+    seen: Counter = Counter()
+    out = []
+    for part in parts:
+        seen[part] += 1
+        out.append(f"{seen[part]} {part}")
+    return out
+
+
+@F.pandas_udf(TOKENS)
+def name_tokens(texts: pd.Series) -> pd.DataFrame:
+    """Characters and neighbouring pairs of characters of a text, as tokens of a set."""
+    letters = [_numbered(list(t)) for t in texts]
+    grams = [_numbered([t[i : i + 2] for i in range(len(t) - 1)]) for t in texts]
+    return pd.DataFrame({"letters": letters, "grams": grams})
+
+
+def ratio_column(a: Column, b: Column, least: Column) -> Column:
+    """Similarity of two texts; null below ``least``. Common characters bound it, so few pairs are compared."""
+
+    @F.pandas_udf(DoubleType())
+    def of(x: pd.Series, y: pd.Series, bound: pd.Series) -> pd.Series:
+        bags: dict[str, Counter] = {}
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for s, t, low in zip(x, y, bound, strict=True):
+            for text in (s, t):
+                if text not in bags:
+                    bags[text] = Counter(text)
+            total = len(s) + len(t)
+            if total and 2 * sum((bags[s] & bags[t]).values()) < (low - 1e-9) * total:
+                out.append(None)
+                continue
+            if (s, t) not in known:
+                known[s, t] = ratio(s, t)
+            out.append(known[s, t] if known[s, t] >= low - 1e-9 else None)
+        return pd.Series(out, dtype="float64")
+
+    return of(a, b, least.cast("double"))

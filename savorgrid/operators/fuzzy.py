@@ -1,19 +1,14 @@
-"""Fuzzy matching of venues with a price list or a register.
-
-The scores allow matches with little text in common, so no cheap key finds all of them.
-Both sides are first reduced to distinct comparable texts; then the short list is cut into
-blocks and the venues into shards, and every (block, shard) is one bounded task that keeps
-only its best candidates. Nothing is broadcast, collected or capped, and no single text
-or place can make a task large. Inside a task a bound on shared letters skips
-almost every comparison.
+"""Fuzzy matching of venues with a price list or a register, by joins that lose no match.
+
+Both sides are reduced to different comparable texts. A best match first gets a lower bound from cheap
+candidates: equal names, and names that share the rarest word. What could beat that bound is found by a
+similarity join (``similar``) whose threshold is the bound, so an entry with a good match costs little.
+The cascade against a register is a chain of joins on names, containment, postcode and street.
 """
 
 from __future__ import annotations
 
-import math
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.address import (
@@ -24,81 +19,69 @@ from ..functions.address import (
 )
 from ..functions.money import price_band
 from ..functions.rules import flag
-from ..functions.similarity import Bags, ratio
+from ..functions.similarity import ratio_column
 from ..functions.text import normalise_company, normalise_words
 from ..session import materialise
+from .similar import HOT_ROWS, containing_texts, similar_texts
 
-BLOCK_ROWS = 2_000
-SHARD_ROWS = 20_000
-
-
-def _tiles(short: DataFrame, long: DataFrame, short_key: str, long_key: str):
-    """Replicate block against shard; both sides grouped by (_b, _s)."""
-    # counted and then read, so both are written once
-    short, long = materialise(short), materialise(long)
-    blocks = max(1, math.ceil(short.count() / BLOCK_ROWS))
-    shards = max(1, math.ceil(long.count() / SHARD_ROWS), min(8, long.sparkSession.sparkContext.defaultParallelism))
-    left = short.withColumns(
-        {
-            "_b": F.pmod(F.xxhash64(short_key), F.lit(blocks)).cast("int"),
-            "_s": F.explode(F.sequence(F.lit(0), F.lit(shards - 1))),
-        }
-    )
-    right = long.withColumns(
-        {
-            "_s": F.pmod(F.xxhash64(long_key), F.lit(shards)).cast("int"),
-            "_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-        }
-    )
-    return left.groupBy("_b", "_s"), right.groupBy("_b", "_s")
+SEEDS = 40  # names compared for a first bound; more or fewer change the work, never the result
 
 
 # --- price list ---------------------------------------------------------------------------
 
-def _best_tile(threshold: float, name_weight: float, equal_bonus: float):
-    def run(entries: pd.DataFrame, venues: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(entries) and len(venues):
-            names, places = Bags(venues["n"].tolist()), Bags(venues["a"].tolist())
-            ids = venues["ord"].to_numpy()
-            # ids may be of any type; their order decides ties
-            orders = np.unique(ids, return_inverse=True)[1]
-            places_of: dict[str, list[int]] = {}
-            for i, text in enumerate(names.texts):
-                places_of.setdefault(text, []).append(i)
-            for key, n, a in entries[["key", "n", "a"]].itertuples(index=False):
-                equal = np.zeros(len(orders), dtype=bool)
-                equal[places_of.get(n, []) if n else []] = True
-                bound = name_weight * names.bound(n) + (1 - name_weight) * places.bound(a)
-                bound = np.where(equal, np.minimum(1.0, bound + equal_bonus), bound)
-                best, best_row = threshold, None
-                rows = np.flatnonzero(bound >= threshold - 1e-9)
-                for i in rows[np.lexsort((orders[rows], -bound[rows]))]:
-                    if bound[i] < best - 1e-9:
-                        break
-                    score = name_weight * ratio(n, names.texts[i])
-                    if name_weight < 1:
-                        score += (1 - name_weight) * ratio(a, places.texts[i])
-                    if equal[i]:
-                        score = min(1.0, score + equal_bonus)
-                    if score > best or (score == best and (best_row is None or orders[i] < orders[best_row])):
-                        best, best_row = score, i
-                if best_row is not None:
-                    out.append((key, best, ids[best_row]))
-        return pd.DataFrame(out, columns=["key", "score", "ord"])
-
-    return run
+def _first_bounds(names: DataFrame, others: DataFrame) -> DataFrame:
+    """(n, seen, equal): the similarity of some m to every n, 0 if none was tried, and whether n is an m."""
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    known = others.select("m", F.explode(words("m")).alias("word"))
+    counts = known.groupBy("word").count()
+    mine = names.select("n", F.explode(words("n")).alias("word")).join(counts, "word")
+    mine = mine.groupBy("n").agg(F.min(F.struct("count", "word")).alias("w")).select("n", F.col("w.word").alias("word"))
+    some = known.withColumn("_i", F.row_number().over(Window.partitionBy("word").orderBy("m"))).where(F.col("_i") <= SEEDS)
+    tried = mine.join(some.select("word", "m"), "word").select("n", "m", ratio_column(F.col("n"), F.col("m"), F.lit(0.0)).alias("r"))
+    tried = tried.groupBy("n").agg(F.max("r").alias("r"))
+    same = others.select(F.col("m").alias("n"), F.lit(True).alias("same"))
+    out = names.join(tried, "n", "left").join(same, "n", "left")
+    equal = F.coalesce("same", F.lit(False))
+    return out.select("n", F.when(equal, 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("seen"), equal.alias("equal"))
 
 
 def _best(entries: DataFrame, venues: DataFrame, threshold: float, name_weight: float, equal_bonus: float) -> DataFrame:
-    """entries: key, n, a; venues: n, a, ord. The highest score wins, then the earlier venue."""
-    left, right = _tiles(entries, venues.withColumn("_k", F.concat_ws("\x01", "n", "a")), "key", "_k")
-    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("key", entries), ("ord", venues))]
-    tiles = left.cogroup(right).applyInPandas(
-        _best_tile(threshold, name_weight, equal_bonus), f"{kinds[0]}, score double, {kinds[1]}"
-    )
+    """entries: key, n, a; venues: n, a, ord. The highest score wins, then the earlier venue.
+
+    A score of at least s needs a name similarity of (s - address weight) / name weight, but for equal
+    names, which get the bonus.
+    """
+    rest = 1 - name_weight
+    if threshold <= rest:
+        raise ValueError("threshold must exceed the weight of the address")
+    entries, venues = materialise(entries), materialise(venues.withColumnsRenamed({"n": "m", "a": "b"}))
+    names, others = entries.select("n").distinct(), venues.select("m").distinct()
+    bounds = _first_bounds(names, others)
+    bonus = F.when(F.col("equal") & (F.col("n") != ""), F.lit(equal_bonus)).otherwise(0.0)
+    least = F.greatest(F.lit(threshold), F.least(F.lit(1.0), name_weight * F.col("seen") + bonus))
+    bounds = materialise(bounds.select("n", "equal", least.alias("least"), F.least(F.lit(1.0), (least - rest) / name_weight - 1e-9).alias("t")))
+    close = similar_texts(bounds.select("n", "t"), others).where("ratio is not null").select("n", "m", F.col("ratio").alias("r"))
+    same = bounds.where("equal").select("n", F.col("n").alias("m"), F.lit(1.0).alias("r"))
+    pairs = close.where("n <> m").unionByName(same).join(bounds.select("n", "least"), "n")
+
+    # a name with many addresses is met in several places
+    sizes = venues.groupBy("m").count().select("m", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("places"))
+    sizes = materialise(sizes)
+    dealt = venues.join(sizes, "m").select("m", "b", "ord", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
+    pairs = pairs.join(sizes, "m").select("n", "m", "r", "least", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    met = entries.join(pairs, "n").join(dealt, ["m", "place"])
+    bonus = F.when((F.col("n") == F.col("m")) & (F.col("n") != ""), F.lit(equal_bonus)).otherwise(0.0)
+    if rest > 0:
+        # the bonus may lift a score above 1, where it is cut off
+        needed = (F.col("least") - bonus - name_weight * F.col("r")) / rest
+        score = name_weight * F.col("r") + rest * F.col("ra")
+        met = met.withColumn("ra", ratio_column(F.col("a"), F.col("b"), needed)).where("ra is not null")
+    else:
+        score = name_weight * F.col("r")
+    score = F.when(bonus > 0, F.least(F.lit(1.0), score + bonus)).otherwise(score)
+    met = met.select("key", "ord", score.alias("score")).where(F.col("score") >= threshold)
     return (
-        tiles.groupBy("key")
+        met.groupBy("key")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "ord")).alias("m"))
         .select("key", (-F.col("m.neg")).alias("match_score"), F.col("m.ord").alias("match_id"))
     )
@@ -171,81 +154,22 @@ def apply_prices(venues: DataFrame, prices: DataFrame, matches: DataFrame) -> Da
 
 # --- register --------------------------------------------------------------------------------
 
-def _register_tile(entries: pd.DataFrame, venues: pd.DataFrame) -> pd.DataFrame:
-    """Per venue text: candidates in this block (counted to two), the first of them, the first
-    site with the same postcode and street, and the first at the same address key."""
-    out = []
-    if len(entries) and len(venues):
-        bags = Bags(entries["n"].tolist())
-        orders = entries["ord"].to_numpy()
-        codes, streets = entries["postcode"].tolist(), entries["street"].tolist()
-        by_code: dict[str, list[int]] = {}
-        by_address: dict[str, list[int]] = {}
-        for i in np.argsort(orders, kind="stable"):
-            by_code.setdefault(codes[i], []).append(i)
-            by_address.setdefault(f"{codes[i]}_{streets[i]}", []).append(i)
-        for key, n, code, street, whole in venues[["key", "n", "postcode", "street", "whole"]].itertuples(index=False):
-            shared = bags.overlap(n)
-            able = (bags.bound(n, shared) >= 0.7 - 1e-9) | (shared >= np.minimum(bags.lengths, len(n)))
-
-            def candidate(i: int) -> bool:
-                t = bags.texts[i]
-                return n in t or t in n or ratio(t, n) >= 0.7
-
-            found, first = 0, -1
-            for i in np.flatnonzero(able):
-                if candidate(i):
-                    found, first = found + 1, (i if first < 0 else first)
-                    if found > 1:
-                        break
-            site = at = near = -1
-            likeness = 0.0
-            if found <= 1:
-                boost = np.array([0.15 if code and c == code else 0.0 for c in codes])
-                for i in np.flatnonzero(able & (bags.lengths > 0)):
-                    score = 0.0
-                    if len(n) + bags.lengths[i] and shared[i] * 2.0 / (len(n) + bags.lengths[i]) + boost[i] >= 0.85 - 1e-9:
-                        score = ratio(n, bags.texts[i]) + boost[i]
-                    if score > likeness or (score == likeness and near >= 0 and orders[i] < near):
-                        likeness, near = score, orders[i]
-            if code:
-                if found:
-                    for i in by_code.get(code, []):
-                        if able[i] and candidate(i) and ratio(street, streets[i]) >= 0.6:
-                            site = orders[i]
-                            break
-                for i in by_address.get(f"{code}_{whole}", []):
-                    if ratio(n, bags.texts[i]) >= 0.5:
-                        at = orders[i]
-                        break
-            if found or at >= 0 or likeness >= 0.85:
-                single = found == 1
-                out.append(
-                    (
-                        key, found, int(orders[first]) if single else -1,
-                        bool(single and n != "" and bags.texts[first] == n),
-                        bool(single and code and codes[first] == code),
-                        float(likeness), int(near), int(site), int(at),
-                    )
-                )
-    return pd.DataFrame(
-        out, columns=["key", "found", "one", "same", "same_code", "likeness", "near", "site", "at"]
-    )
-
-
-_TILE = (
-    "key bigint, found int, one bigint, same boolean, same_code boolean, likeness double, near bigint, "
-    "site bigint, at bigint"
-)
+def _first_site(texts: DataFrame, wanted: list[str], texts_of: DataFrame, alike: Column) -> DataFrame:
+    """The earliest entry that each text meets on the columns ``wanted`` and is alike enough."""
+    return texts.join(texts_of, wanted).where(alike).groupBy("n", "postcode", "street", "whole").agg(F.min("ord").alias("ord"))
 
 
 def match_register(venues: DataFrame, register: DataFrame) -> DataFrame:
     """id, confidence, register_ord for every venue found in the certification register.
 
-    Names with several similar entries need the same postcode and a similar street; a single
-    similar entry counts when its name is equal (1.0, or 0.9 with another postcode) or very
-    close (0.15 more for the same postcode, at least 0.85); last, the same address with a
-    half-similar name gives 0.9. ``register``: ord, name, street, postcode.
+    Similar are names of which one holds the other, or with a similarity of at least 0.7. Names with several
+    similar entries need the same postcode and a similar street (1.0); a single similar entry counts when
+    its name is equal (1.0, or 0.9 with another postcode) or very close (0.15 more for the same postcode, at
+    least 0.85); last, the same address with a half-similar name gives 0.9. ``register``: ord, name,
+    street, postcode.
+
+    Names are compared once each, by a similarity join and a containment join; how many entries they stand
+    for is a sum. Sites are found by equi-joins on (name, postcode) and (postcode, street).
     """
     address = F.nullif(F.col("address"), F.lit(""))
     texts = venues.select(
@@ -254,44 +178,62 @@ def match_register(venues: DataFrame, register: DataFrame) -> DataFrame:
         postcode(address).alias("postcode"),
         normalise_register_street(street_name(address)).alias("street"),
         normalise_register_street(address).alias("whole"),
-    ).withColumn("key", F.xxhash64(F.concat_ws("\x01", "n", F.coalesce("postcode", F.lit("")), "street", "whole")))
-    distinct = texts.drop("id").dropDuplicates(["key"])
-    entries = register.select(
-        "ord", normalise_company(F.col("name")).alias("n"), normalise_register_street(F.col("street")).alias("street"),
+    ).fillna("", ["n", "street", "whole"])
+    texts = materialise(texts)
+    key = ["n", "postcode", "street", "whole"]
+    distinct = texts.select(*key).distinct()
+    entries = materialise(register.select(
+        "ord", normalise_company(F.col("name")).alias("m"), normalise_register_street(F.col("street")).alias("site_street"),
         "postcode",
-    )
-    # split by entry, not by name: the many sites of one name spread over the blocks
-    left, right = _tiles(entries, distinct, "ord", "key")
-    tiles = left.cogroup(right).applyInPandas(_register_tile, _TILE)
-
-    def known(c: str) -> Column:
-        return F.when(F.col(c) >= 0, F.col(c))
-
-    folded = tiles.groupBy("key").agg(
-        F.sum("found").alias("found"),
-        F.max(F.when(F.col("one") >= 0, F.struct("same", "same_code", F.col("one").alias("ord")))).alias("one"),
-        F.max(F.when(F.col("near") >= 0, F.struct("likeness", (-F.col("near")).alias("neg")))).alias("near"),
-        F.min(known("site")).alias("site"),
-        F.min(known("at")).alias("at"),
-    )
-    multi = F.col("found") > 1
-    same = flag((F.col("found") == 1) & F.col("one.same"))
-    close = flag(F.col("near.likeness") >= 0.85)
+    ).fillna("", ["m", "site_street"]))
+    names, others = materialise(texts.select("n").distinct()), materialise(entries.select("m").distinct())
+
+    close = materialise(similar_texts(names.withColumn("t", F.lit(0.7)), others))
+    inside = containing_texts(others.select(F.col("m").alias("x")), names.select(F.col("n").alias("y"))).select(F.col("y").alias("n"), F.col("x").alias("m"))
+    around = containing_texts(names.select(F.col("n").alias("x")), others.select(F.col("m").alias("y"))).select(F.col("x").alias("n"), F.col("y").alias("m"))
+    similar = materialise(close.where("back >= 0.7").select("n", "m").unionByName(inside).unionByName(around).distinct())
+    of_name = entries.groupBy("m").agg(F.count(F.lit(1)).alias("entries"), F.min(F.struct("ord", "postcode")).alias("first"))
+    found = similar.join(of_name, "m").groupBy("n").agg(F.sum("entries").alias("found"), F.min(F.struct("first", "m")).alias("one"))
+    found = materialise(found)
+    few, several = found.where("found = 1"), found.where("found > 1").select("n")
+
+    # names with several similar entries: the first one with the postcode and a similar street
+    sites = entries.groupBy("m", "postcode", "site_street").agg(F.min("ord").alias("ord"))
+    asked = distinct.where("postcode is not null").join(several, "n").join(similar, "n")
+    like_street = ratio_column(F.col("street"), F.col("site_street"), F.lit(0.6)).isNotNull()
+    site = _first_site(asked, ["m", "postcode"], sites, like_street)
+    # the same address under a half-similar name
+    at_address = distinct.where("postcode is not null").withColumn("site_street", F.col("whole"))
+    half = ratio_column(F.col("n"), F.col("m"), F.lit(0.5)).isNotNull()
+    at = _first_site(at_address, ["postcode", "site_street"], sites, half)
+    # very close names, where no more than one is similar
+    boost = F.when(F.col("postcode") == F.col("code"), 0.15).otherwise(0.0)
+    by_code = entries.where("m <> ''").groupBy("m", F.col("postcode").alias("code")).agg(F.min("ord").alias("ord"))
+    near = distinct.join(several, "n", "left_anti").join(close.where("ratio is not null"), "n").join(by_code, "m")
+    near = near.withColumn("likeness", F.col("ratio") + F.coalesce(boost, F.lit(0.0))).where("likeness >= 0.85")
+    near = near.groupBy(*key).agg(F.min(F.struct((-F.col("likeness")).alias("neg"), "ord")).alias("near"))
+
+    def on_key(other: DataFrame, *cols: Column) -> tuple[DataFrame, Column]:
+        renamed = other.select(*[F.col(k).alias(f"_{k}") for k in key], *cols)
+        return renamed, (F.col("n") == F.col("_n")) & F.col("postcode").eqNullSafe(F.col("_postcode")) & (F.col("street") == F.col("_street")) & (F.col("whole") == F.col("_whole"))
+
+    rows = texts.join(several.withColumn("multi", F.lit(True)), "n", "left").join(few.select("n", "one"), "n", "left")
+    for other, name, col in ((site, "site", "ord"), (at, "at", "ord"), (near, "near", "near")):
+        side, on = on_key(other, F.col(col).alias(name))
+        rows = rows.join(side, on, "left").drop(*[f"_{k}" for k in key])
+    multi = F.coalesce("multi", F.lit(False))
+    same = flag((F.col("one.m") == F.col("n")) & (F.col("n") != ""))
+    same_code = F.coalesce(F.col("one.first.postcode") == F.col("postcode"), F.lit(False))
     confidence = (
         F.when(multi, F.when(F.col("site").isNotNull(), 1.0))
-        .when(same, F.when(F.col("one.same_code") | F.col("no_code"), 1.0).otherwise(0.9))
-        .when(close, F.col("near.likeness"))
+        .when(same, F.when(same_code | F.col("postcode").isNull(), 1.0).otherwise(0.9))
+        .when(F.col("near").isNotNull(), -F.col("near.neg"))
         .when(F.col("at").isNotNull(), 0.9)
     )
     chosen = (
-        F.when(multi, F.col("site")).when(same, F.col("one.ord")).when(close, -F.col("near.neg")).otherwise(F.col("at"))
-    )
-    return (
-        texts.select("id", "key", F.col("postcode").isNull().alias("no_code"))
-        .join(folded, "key")
-        .select("id", confidence.alias("confidence"), chosen.cast("bigint").alias("register_ord"))
-        .filter("confidence is not null")
+        F.when(multi, F.col("site")).when(same, F.col("one.first.ord")).when(F.col("near").isNotNull(), F.col("near.ord")).otherwise(F.col("at"))
     )
+    return rows.select("id", confidence.alias("confidence"), chosen.alias("register_ord")).filter("confidence is not null")
 
 
 def certified(matches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from savorgrid.operators import fuzzy as fz
 from savorgrid.operators import reconcile as rc
+from savorgrid.operators import similar as sm
 from savorgrid.operators import zones as zn
 
 WORDS = ["red", "blue", "gear", "ring", "bolt", "old", "mill", "café", "bar", "a", "ox"]
@@ -110,8 +111,10 @@ def ratio(a, b):
 
 @pytest.fixture
 def small_tiles(monkeypatch):
-    monkeypatch.setattr(fz, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(fz, "SHARD_ROWS", 25)
+    """Hot tokens and names are spread even here, and the first bounds come from few names."""
+    monkeypatch.setattr(sm, "HOT_ROWS", 5)
+    monkeypatch.setattr(fz, "HOT_ROWS", 5)
+    monkeypatch.setattr(fz, "SEEDS", 2)
 
 
 def test_price_list_equals_loop(spark, small_tiles):
@@ -196,3 +199,84 @@ def test_string_ids_match_like_numbers(spark):
     ).collect()
     assert numbers
     assert {(f"e{r.entry}", f"place-{r.match_id:03d}", r.match_score) for r in numbers} == {tuple(r.asDict()[c] for c in ("entry", "match_id", "match_score")) for r in texts}
+
+
+LETTERS = "abcdeé 日"
+
+
+def random_texts(rng, n):
+    base = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+    edited = []
+    for t in base:
+        t = list(t)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randint(0, len(t)) : rng.randint(0, len(t))] = rng.choice(LETTERS)
+        edited.append("".join(t))
+    return sorted(set(base + edited + ["", "a", "ab"]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_texts_loses_no_pair(spark, small_tiles, seed):
+    rng = random.Random(seed)
+    left, right = [(t, rng.choice([0.5, 0.6, 0.7, 0.85, 0.9, 1.0])) for t in random_texts(rng, 60)], random_texts(rng, 60) + ["x" * 300 + "ab"]
+    left += [("x" * 290 + "ba", 0.8)]
+    got = sm.similar_texts(spark.createDataFrame(left, "n string, t double"), spark.createDataFrame([(t,) for t in right], "m string")).collect()
+    want = {}
+    for n, t in left:
+        for m in right:
+            pair = tuple(r if r >= t - 1e-9 else None for r in (ratio(n, m), ratio(m, n)))
+            if pair != (None, None):
+                want[n, m] = pair
+    assert {(r.n, r.m): (r.ratio, r.back) for r in got} == want and len(got) == len(want)
+
+
+def test_containing_texts_loses_no_pair(spark, small_tiles):
+    rng = random.Random(4)
+    inner, outer = random_texts(rng, 80), random_texts(rng, 80) + ["abcde" * 9]
+    got = sm.containing_texts(spark.createDataFrame([(t,) for t in inner], "x string"), spark.createDataFrame([(t,) for t in outer], "y string")).collect()
+    assert sorted((r.x, r.y) for r in got) == sorted((x, y) for x in inner for y in outer if x in y)
+
+
+def register_by_hand(vs, reg):
+    """The cascade one venue after the other, on normalised texts."""
+    out = {}
+    for vid, n, code, street, whole in vs:
+        similar = [e for e in reg if e[1] in n or n in e[1] or ratio(e[1], n) >= 0.7]
+        if len(similar) > 1:
+            hits = [e[0] for e in similar if code and e[3] == code and ratio(street, e[2]) >= 0.6]
+            if hits:
+                out[vid] = (1.0, min(hits))
+            continue
+        if similar and n and similar[0][1] == n:
+            out[vid] = (1.0 if not code or similar[0][3] == code else 0.9, similar[0][0])
+            continue
+        near = [(-(ratio(n, e[1]) + (0.15 if code and e[3] == code else 0.0)), e[0]) for e in reg if e[1]]
+        near = min([x for x in near if -x[0] >= 0.85], default=None)
+        at = [e[0] for e in reg if code and e[3] == code and e[2] == whole and ratio(n, e[1]) >= 0.5]
+        if near:
+            out[vid] = (round(-near[0], 9), near[1])
+        elif at:
+            out[vid] = (0.9, min(at))
+    return out
+
+
+def test_register_equals_loop(spark, small_tiles):
+    rng = random.Random(8)
+    words = ["Gear", "Ring", "Bolts", "Old", "Mill", "Quai", "Zest", "Xylo", "Fjord", "Wok"]
+    streets = ["Rue Haute", "Rue Hautes", "Avenue Noire", "Place 5"]
+    def name():
+        return " ".join(rng.choice(words) + rng.choice(["", "", "s", "xq", "yy"]) for _ in range(rng.randint(1, 3)))
+
+    reg = [(i, name(), rng.choice(streets), rng.choice(["1000", "1010", None])) for i in range(40)]
+    vs = [(i, "" if i == 7 else None if i == 8 else name(), rng.choice([None, "", *(f"{s} {k}, {c} Town" for s in streets for k in (1, 2) for c in (1000, 1010))])) for i in range(150)]
+    vs += [(200 + i, reg[i][1], f"{reg[i][2]} 3, {reg[i][3]} Town") for i in range(30)]
+    vdf = spark.createDataFrame(vs, "id bigint, name string, address string")
+    rdf = spark.createDataFrame(reg, "ord bigint, name string, street string, postcode string")
+    address = F.nullif(F.col("address"), F.lit(""))
+    plain = vdf.select(
+        "id", fz.normalise_company(F.col("name")), fz.postcode(address), fz.normalise_register_street(fz.street_name(address)), fz.normalise_register_street(address)
+    ).collect()
+    entries = rdf.select("ord", fz.normalise_company(F.col("name")), fz.normalise_register_street(F.col("street")), "postcode").collect()
+    want = register_by_hand([tuple("" if x is None and i != 2 else x for i, x in enumerate(r)) for r in plain], [tuple(r) for r in entries])
+    got = {r.id: (round(r.confidence, 9), r.register_ord) for r in fz.match_register(vdf, rdf).collect()}
+    assert got == want and len(want) > 20
