@@ -22,7 +22,7 @@ from ..functions.rules import flag
 from ..functions.similarity import ratio_column
 from ..functions.text import normalise_company, normalise_words
 from ..session import materialise
-from .similar import HOT_ROWS, containing_texts, similar_texts
+from .similar import HOT_ROWS, containing_texts, dealt, similar_texts
 
 SEEDS = 40  # names compared for a first bound; more or fewer change the work, never the result
 
@@ -37,7 +37,7 @@ def _first_bounds(names: DataFrame, others: DataFrame) -> DataFrame:
     mine = names.select("n", F.explode(words("n")).alias("word")).join(counts, "word")
     mine = mine.groupBy("n").agg(F.min(F.struct("count", "word")).alias("w")).select("n", F.col("w.word").alias("word"))
     some = known.withColumn("_i", F.row_number().over(Window.partitionBy("word").orderBy("m"))).where(F.col("_i") <= SEEDS)
-    tried = mine.join(some.select("word", "m"), "word").select("n", "m", ratio_column(F.col("n"), F.col("m"), F.lit(0.0)).alias("r"))
+    tried = dealt(mine.join(some.select("word", "m"), "word").select("n", "m"), "n", "m").select("n", "m", ratio_column(F.col("n"), F.col("m"), F.lit(0.0)).alias("r"))
     tried = tried.groupBy("n").agg(F.max("r").alias("r"))
     same = others.select(F.col("m").alias("n"), F.lit(True).alias("same"))
     out = names.join(tried, "n", "left").join(same, "n", "left")
@@ -60,16 +60,16 @@ def _best(entries: DataFrame, venues: DataFrame, threshold: float, name_weight:
     bonus = F.when(F.col("equal") & (F.col("n") != ""), F.lit(equal_bonus)).otherwise(0.0)
     least = F.greatest(F.lit(threshold), F.least(F.lit(1.0), name_weight * F.col("seen") + bonus))
     bounds = materialise(bounds.select("n", "equal", least.alias("least"), F.least(F.lit(1.0), (least - rest) / name_weight - 1e-9).alias("t")))
-    close = similar_texts(bounds.select("n", "t"), others).where("ratio is not null").select("n", "m", F.col("ratio").alias("r"))
+    close = similar_texts(bounds.select("n", "t"), others).select("n", "m", F.col("ratio").alias("r"))
     same = bounds.where("equal").select("n", F.col("n").alias("m"), F.lit(1.0).alias("r"))
     pairs = close.where("n <> m").unionByName(same).join(bounds.select("n", "least"), "n")
 
     # a name with many addresses is met in several places
     sizes = venues.groupBy("m").count().select("m", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("places"))
     sizes = materialise(sizes)
-    dealt = venues.join(sizes, "m").select("m", "b", "ord", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
+    placed = venues.join(sizes, "m").select("m", "b", "ord", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     pairs = pairs.join(sizes, "m").select("n", "m", "r", "least", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-    met = entries.join(pairs, "n").join(dealt, ["m", "place"])
+    met = dealt(entries.join(pairs, "n").join(placed, ["m", "place"]), "key", "ord")
     bonus = F.when((F.col("n") == F.col("m")) & (F.col("n") != ""), F.lit(equal_bonus)).otherwise(0.0)
     if rest > 0:
         # the bonus may lift a score above 1, where it is cut off
@@ -188,7 +188,7 @@ def match_register(venues: DataFrame, register: DataFrame) -> DataFrame:
     ).fillna("", ["m", "site_street"]))
     names, others = materialise(texts.select("n").distinct()), materialise(entries.select("m").distinct())
 
-    close = materialise(similar_texts(names.withColumn("t", F.lit(0.7)), others))
+    close = materialise(similar_texts(names.withColumn("t", F.lit(0.7)), others, both=True))
     inside = containing_texts(others.select(F.col("m").alias("x")), names.select(F.col("n").alias("y"))).select(F.col("y").alias("n"), F.col("x").alias("m"))
     around = containing_texts(names.select(F.col("n").alias("x")), others.select(F.col("m").alias("y"))).select(F.col("x").alias("n"), F.col("y").alias("m"))
     similar = materialise(close.where("back >= 0.7").select("n", "m").unionByName(inside).unionByName(around).distinct())

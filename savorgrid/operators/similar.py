@@ -21,6 +21,12 @@ HOT_ROWS = 20_000  # texts with one token that are met in one place; more are sp
 _SLACK = 1e-9
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores: few bytes stand for much work here, so partitions must not be merged by size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def with_tokens(texts: DataFrame, name: str) -> DataFrame:
     """Adds ``size``, ``letters`` and ``grams`` of the column ``name``."""
     return texts.withColumn("_t", name_tokens(name)).select(
@@ -40,9 +46,9 @@ def _spread(tokens: DataFrame, counts: DataFrame, by: str) -> DataFrame:
     return placed.drop("places", "count")
 
 
-def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(n, m, ratio, back): every n of ``left`` and m of ``right`` whose similarity, taken either way round,
-    is at least n's ``t``; ratio is that of n to m, back that of m to n, each null below t.
+def similar_texts(left: DataFrame, right: DataFrame, both: bool = False) -> DataFrame:
+    """(n, m, ratio): every n of ``left`` and m of ``right`` whose similarity is at least n's ``t``. It depends
+    a little on the order; ``both`` adds ``back``, that of m to n, and each is null below t.
 
     ``left``: different texts n with t in (0, 1]; ``right``: different texts m. Empty texts are similar to
     the empty text alone.
@@ -60,14 +66,17 @@ def similar_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     rows = rows.select("token", "n", "t", "size", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
 
     fits = (F.col("size_m") >= F.col("size") * F.col("t") / (2 - F.col("t")) - _SLACK) & (F.col("size_m") <= F.col("size") * (2 - F.col("t")) / F.col("t") + _SLACK)
-    met = rows.join(_spread(tokens, counts, "m"), ["token", "place"]).where(fits).select("n", "m").distinct()
+    rows, tokens = dealt(rows, "token", "place"), dealt(_spread(tokens, counts, "m"), "token", "place")
+    met = dealt(rows.join(tokens, ["token", "place"]).where(fits).select("n", "m").distinct(), "n", "m")
     known = met.join(a.select("n", "t", F.col("letters").alias("of_n")), "n").join(b.select("m", F.col("letters").alias("of_m")), "m")
     common = 2 * F.size(F.array_intersect("of_n", "of_m"))
     close = known.where(common >= (F.col("t") - _SLACK) * (F.size("of_n") + F.size("of_m"))).select("n", "m", "t")
     empty = left.where("n = ''").select("n", "t").join(right.where("m = ''").select("m"), F.col("n") == F.col("m"))
-    close = close.unionByName(empty.select("n", "m", "t")).repartition("n", "m")
-    found = close.select("n", "m", ratio_column(F.col("n"), F.col("m"), F.col("t")).alias("ratio"), ratio_column(F.col("m"), F.col("n"), F.col("t")).alias("back"))
-    return found.where("ratio is not null or back is not null")
+    close = dealt(close.unionByName(empty.select("n", "m", "t")), "n", "m")
+    ways = [ratio_column(F.col("n"), F.col("m"), F.col("t")).alias("ratio")]
+    if both:
+        ways.append(ratio_column(F.col("m"), F.col("n"), F.col("t")).alias("back"))
+    return close.select("n", "m", *ways).where("ratio is not null or back is not null" if both else "ratio is not null")
 
 
 def containing_texts(inner: DataFrame, outer: DataFrame) -> DataFrame:

@@ -220,7 +220,7 @@ def test_similar_texts_loses_no_pair(spark, small_tiles, seed):
     rng = random.Random(seed)
     left, right = [(t, rng.choice([0.5, 0.6, 0.7, 0.85, 0.9, 1.0])) for t in random_texts(rng, 60)], random_texts(rng, 60) + ["x" * 300 + "ab"]
     left += [("x" * 290 + "ba", 0.8)]
-    got = sm.similar_texts(spark.createDataFrame(left, "n string, t double"), spark.createDataFrame([(t,) for t in right], "m string")).collect()
+    got = sm.similar_texts(spark.createDataFrame(left, "n string, t double"), spark.createDataFrame([(t,) for t in right], "m string"), both=True).collect()
     want = {}
     for n, t in left:
         for m in right:
