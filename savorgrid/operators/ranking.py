@@ -27,13 +27,12 @@ def sort_venues(df: DataFrame, by: str) -> DataFrame:
     return df.orderBy(_desc(by), "id") if by in ("score", "rating", "residual") and by in df.columns else df
 
 
-def with_positions(df: DataFrame, by: str, out: str = "pos") -> DataFrame:
-    """Every row with its place, from 1, in the order of ``sort_venues``.
+def positions(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
+    """Every row with its place, from 1, in any total order of columns of any type.
 
     Rows are dealt by range, numbered within their range and moved up by the sizes of the ranges before;
     no task holds more than a range. The dealt rows are written once, as the ranges come from a sample.
     """
-    order = [_desc(by), F.col("id")]
     dealt = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     # one row a range
@@ -46,6 +45,11 @@ def with_positions(df: DataFrame, by: str, out: str = "pos") -> DataFrame:
     )
 
 
+def with_positions(df: DataFrame, by: str, out: str = "pos") -> DataFrame:
+    """Every row with its place, from 1, in the order of ``sort_venues``."""
+    return positions(df, [_desc(by), F.col("id")], out)
+
+
 def top_per_group(df: DataFrame, group: str, by: str) -> DataFrame:
     """The best row of each group; only one row per group and task is shuffled."""
     order = W.partitionBy(group).orderBy(_desc(by), "id")

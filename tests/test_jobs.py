@@ -236,3 +236,21 @@ def test_registered_trees_are_as_many_and_as_deep_as_the_default(spark, name, mo
     with pytest.raises(InterruptedError):
         entry.queries()[name](spark, SF)
     assert [(s.iterations, s.depth) for s in used] == [(200, 8)]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_folds_of_any_ids(spark, kind):
+    ids = [f"ChIJ{i}" for i in range(23)] if kind == "string" else [2**53 + i for i in range(23)]
+    df = spark.createDataFrame([(i,) for i in ids], f"id {kind}")
+    got = {r.id: r.fold for r in md.contiguous_folds(df, 5).collect()}
+    want = [k for k, n in enumerate((5, 5, 5, 4, 4)) for _ in range(n)]
+    assert got == dict(zip(sorted(ids), want, strict=True))
+
+
+def test_cross_validation_in_threads(spark):
+    df = spark.createDataFrame(
+        [(f"p{i}", f"c{i % 3}", "v", *[float((i * k) % 7) for k in range(1, 8)], 3.0 + (i % 3) / 2) for i in range(60)],
+        "id string, category string, venue_type string, " + ", ".join(f"{c} double" for c in md.NUMERIC) + ", rating double",
+    )
+    rows = md.cross_validate(df, md.TreeSettings(iterations=3, depth=2, min_leaf=1), folds=3).collect()
+    assert [r.fold for r in rows] == [0, 1, 2] and all(r.r2 > 0.4 for r in rows)
