@@ -23,8 +23,9 @@ class DigestIndex:
 
     ``add`` reduces a delivery to one row per digest (map-side first, so that a text which makes up a
     third of the rows is one row per task before the shuffle), finds the digests that are new by a
-    sort-merge anti-join which does not shuffle the index, and appends those. Only digests move; the
-    index can be opened again later from its folder with the same number of buckets.
+    sort-merge anti-join which does not shuffle the index, and appends those. Only digests move. The number
+    of buckets is written beside the folder: an index that is opened again takes it from there, and asking
+    for another number is an error.
 
     Defined results: a null text counts as empty. Of equal texts the row with the smallest doc_id stays
     (null ids come last); rows that also share the doc_id are told apart by their place, and one of them
@@ -34,14 +35,27 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or new_folder(spark)
+        self.buckets = self._layout(buckets)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest STRING, keep_id {id_type}, copies BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _layout(self, buckets: int | None) -> int:
+        """The number of buckets that the index has, or that a new one gets from now on."""
+        layout = f"{self.path}.layout"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(layout)
+        if folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            known = int(self.spark.read.text(layout).first()[0])
+            if buckets not in (None, known):
+                raise ValueError(f"the index at {self.path} has {known} buckets, not {buckets}")
+            return known
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.range(1).select(F.lit(str(buckets))).write.text(layout)
+        return buckets
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
         """The delivery's rows with keep_id, group_size (rows of this delivery with the text), kept and
         text_sha256. ``carry``: the columns to bring along, all by default."""

@@ -425,3 +425,28 @@ def test_pipeline(spark):
     assert fourth.columns == docs.columns and fourth.count() == second.count()
     out = entry.queries()["pipeline"](spark, SF)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_index_keeps_its_buckets(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    index = DigestIndex(spark, buckets=8)
+    assert index.add(docs).where("kept").count() == 200
+    for buckets in (None, 8):
+        again = DigestIndex(spark, path=index.path, buckets=buckets)
+        assert again.buckets == 8 and again.add(docs).where("kept").count() == 0
+    with pytest.raises(ValueError, match="8 buckets"):
+        DigestIndex(spark, path=index.path, buckets=3)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 3, 500, 513, 3000, 20_000)]
+    sets += [np.concatenate([s[: len(s) - len(s) // 10], rng.integers(0, 1 << 63, len(s) // 10, dtype=np.uint64)]) for s in sets]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    found = near_dedup.sketches(np.concatenate(sets), bounds)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = near_dedup.sketch_distance([found[i]], [found[j]])[0]
+            assert bits <= len(np.setxor1d(a, b))
+            if i != j and len(np.intersect1d(a, b)) < 2 and min(len(a), len(b)) > 400 and max(len(a), len(b)) < 2 * min(len(a), len(b)):
+                assert bits > (len(a) + len(b)) / 9  # unrelated texts are told apart at any length
