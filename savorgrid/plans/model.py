@@ -75,12 +75,16 @@ def _trees(settings: TreeSettings, label: str) -> GBTRegressor:
 
 def train(df: DataFrame, settings: TreeSettings = TreeSettings(), logit: bool = False) -> PipelineModel:
     """Fit on all rows; with ``logit`` the target is mapped to an unbounded scale first."""
+    return _fit(df, _trees(settings, "label"), logit)
+
+
+def _fit(df: DataFrame, trees: GBTRegressor, logit: bool) -> PipelineModel:
     y = rating_to_logit(F.col("rating")) if logit else F.col("rating")
     # indexing, encoding and trees all read these columns, so they are derived once
     rows = materialise(_numeric(df).select("category", "venue_type", *[f"x_{c}" for c in NUMERIC], y.alias("label")))
     rows = rows.repartition(max(1, math.ceil(rows.count() / PARTITION_ROWS))).persist()
     try:
-        return Pipeline(stages=[*design_stages(), _trees(settings, "label")]).fit(rows)
+        return Pipeline(stages=[*design_stages(), trees]).fit(rows)
     finally:
         rows.unpersist()
 
@@ -123,11 +127,11 @@ def cross_validate(
     """
     rows = materialise(contiguous_folds(df.select("id", "category", "venue_type", *NUMERIC, "rating"), folds))
     scorer = RegressionEvaluator(labelCol="rating", predictionCol="predicted_rating", metricName="r2")
-    spark = df.sparkSession
+    spark, trees = df.sparkSession, _trees(settings, "label")
 
     def fit(k: int) -> tuple[int, float]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
-        model = train(rows.filter(F.col("fold") != k), settings, logit)
+        model = _fit(rows.filter(F.col("fold") != k), trees.copy(), logit)
         return k, float(scorer.evaluate(predict(model, rows.filter(F.col("fold") == k), logit)))
 
     with ThreadPool(folds) as pool:
