@@ -50,22 +50,30 @@ def venue_type(name: Column, primary_type: Column, types: Column) -> Column:
 
 def name_phrases(name: Column, max_length: int) -> Column:
     """Distinct parts of the name that start and end next to a character outside a-z."""
-    low = F.lower(name)
-    size = F.length(low)
-
-    def letter(at: Column) -> Column:
-        return F.substring(low, at, F.lit(1)).rlike("^[a-z]$")
-
-    starts = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | ~letter(i - 1))
-    ends = F.filter(F.sequence(F.lit(1), size), lambda j: (j == size) | ~letter(j + 1))
-    parts = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.filter(ends, lambda j: (j >= i) & (j - i < max_length)),
-            lambda j: F.substring(low, i, j - i + 1),
-        ),
-    )
-    return F.when(size > 0, F.array_distinct(F.flatten(parts)))
+
+    def phrases(low: Column) -> Column:
+        size = F.length(low)
+
+        def other(at: Column) -> Column:
+            c = F.substring(low, at, F.lit(1))  # one character, so comparing texts is comparing letters
+            return (c < "a") | (c > "z")
+
+        places = F.sequence(F.lit(1), size)
+        starts, ends = F.filter(places, lambda i: (i == 1) | other(i - 1)), F.filter(places, lambda j: (j == size) | other(j + 1))
+
+        def parts(bounds: Column) -> Column:
+            return F.transform(
+                bounds["starts"],
+                lambda i: F.transform(
+                    F.filter(bounds["ends"], lambda j: (j >= i) & (j - i < max_length)),
+                    lambda j: F.substring(low, i, j - i + 1),
+                ),
+            )
+
+        bounds = F.struct(starts.alias("starts"), ends.alias("ends"))
+        return F.when(size > 0, F.array_distinct(F.flatten(let(bounds, parts))))
+
+    return let(F.lower(name), phrases)
 
 
 def with_guides(df: DataFrame, pack: CityPack) -> DataFrame:
@@ -91,7 +99,8 @@ def with_guides(df: DataFrame, pack: CityPack) -> DataFrame:
             (flag(F.exists(phrases, lambda p: p.isin(pack.guide_names))) | flag(low.isin(pack.guide_exact))).alias("guide"),
         )
 
-    out = df.withColumn("_badges", let(name_phrases(F.col("name"), longest), badges))
+    # a generated row, so that filters on the badges use what is there and do not search the name again
+    out = df.withColumn("_badges", F.explode(F.array(let(name_phrases(F.col("name"), longest), badges))))
     return out.withColumns(
         {
             "michelin_stars": F.col("_badges.stars"),
