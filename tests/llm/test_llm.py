@@ -427,6 +427,31 @@ def test_pipeline(spark):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
 
 
+STAGE_CLASHES = ("score", "lang_pred", "__i", "__h", "__x", "__mark", "__n", "__digest", "__sha", "__t", "__spans", "h", "fp", "n", "sketch", "column_1")
+
+
+def test_stages_on_odd_tables(spark, docs, rows):
+    """Empty tables, clashing and missing columns, nulls and repeated ids: the same rows stay, with their own columns."""
+    words = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall(low(t or ""))] for i in range(max(1, len(w) - 4)) if w}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), SF).collect() == []
+        plain = stage(spark, docs, SF)
+        assert plain.columns == docs.columns
+        clashing = docs.selectExpr("*", *[f"7.5 as `{c}`" for c in STAGE_CLASHES])
+        got = stage(spark, clashing, SF)
+        assert got.columns == clashing.columns
+        assert Counter(got.select(docs.columns).collect()) == Counter(plain.collect())
+        assert got.where(" or ".join(f"`{c}` <> 7.5" for c in STAGE_CLASHES)).isEmpty()
+        few = stage(spark, docs.select("text", "doc_id", "lang"), SF)
+        assert Counter(few.select("doc_id", "text").collect()) == Counter(plain.select("doc_id", "text").collect())
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, SF).collect()
+    sets = [words(r.text) for r in kept]
+    assert all(len(a & b) < 0.8 * len(a | b) if a | b else False for i, a in enumerate(sets) for b in sets[:i])
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert corpus_pipeline.packing(spark, docs.where("false"), SF).collect() == []
+    assert packed.where("piece = 0").count() == len(rows)
+
+
 def test_index_keeps_its_buckets(spark):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "doc_id long, text string")
     index = DigestIndex(spark, buckets=8)
