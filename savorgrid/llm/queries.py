@@ -104,7 +104,7 @@ def op9_lm_score(docs: DataFrame) -> DataFrame:
 
 @query
 def op10_suffix_dedup(docs: DataFrame) -> DataFrame:
-    return repeated_spans(docs, width=400, carry=["doc_id"]).drop("spans")
+    return repeated_spans(docs, width=400, carry=["doc_id"], words=51).drop("spans", "passages")
 
 
 @query

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from savorgrid.session import materialise, new_folder
@@ -457,17 +457,25 @@ def _crowded_spans(contexts: DataFrame, width: int, gram: int, group_rows: int,
             return out
 
 
+SPAN = "array<struct<a: bigint, b: bigint>>"
+FOUND = f"tid binary, spans {SPAN}, passages {SPAN}, n_removed long, kept_sha256 string"
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in range(5)]
         for tid, text, spans in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             raw = text.encode()
-            merged = merge_spans([(s["a"], s["b"]) for s in spans if not s["words"]] + _of_words(raw, [(s["a"], s["b"]) for s in spans if s["words"]]))
+            merged = merge_spans([(s["a"], s["b"]) for s in spans if not s["words"]])
+            passages = _of_words(raw, [(s["a"], s["b"]) for s in spans if s["words"]])
             kept = cut(raw, merged)
-            for c, v in zip(out, (tid, [{"a": a, "b": b} for a, b in merged], len(raw) - len(kept), hashlib.sha256(kept).hexdigest()), strict=True):
+            row = tid, [{"a": a, "b": b} for a, b in merged], [{"a": a, "b": b} for a, b in passages], len(raw) - len(kept), hashlib.sha256(kept).hexdigest()
+            for c, v in zip(out, row, strict=True):
                 c.append(v)
-        kinds = [pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["tid", "spans", "n_removed", "kept_sha256"])
+        spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        kinds = [pa.binary(), spans, spans, pa.int64(), pa.string()]
+        names = ["tid", "spans", "passages", "n_removed", "kept_sha256"]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=names)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -505,8 +513,9 @@ def _sha(text):
 
 
 def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400, group_rows: int = GROUP_ROWS, gram: int = GRAM, words: int | None = None) -> DataFrame:
-    """(tid, spans, n_removed, kept_sha256) of the different texts that lose bytes, copies of whole texts apart.
-    With ``words`` also runs of so many words that occur again, whatever their length and the white space in them.
+    """(tid, spans, passages, n_removed, kept_sha256) of the different texts with repeated bytes, copies of whole
+    texts apart. ``passages``, with ``words``: the runs of so many words that occur again, whatever their length
+    and the white space in them; n_removed and kept_sha256 are those of ``spans``.
 
     1. Texts are reduced to different ones (in the task first, then once over the cluster) and written in
        buckets, so that later joins with them do not move text.
@@ -528,9 +537,7 @@ def repeated_in_texts(docs: DataFrame, text_col: str = "text", width: int = 400,
     if words:
         spans = spans.unionByName(_spans_in(texts, words * CODE, GRAM, group_rows, parts, words=True).withColumn("words", F.lit(True)))
     spans = spans.groupBy("tid").agg(F.collect_list(F.struct("a", "b", "words")).alias("spans"))
-    return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(
-        _apply, "tid binary, spans array<struct<a: bigint, b: bigint>>, n_removed long, kept_sha256 string"
-    )
+    return texts.join(spans, "tid").select("tid", "text", "spans").mapInArrow(_apply, FOUND)
 
 
 def _spans_in(texts: DataFrame, width: int, gram: int, group_rows: int, parts: int, words: bool = False) -> DataFrame:
@@ -553,31 +560,49 @@ def _spans_in(texts: DataFrame, width: int, gram: int, group_rows: int, parts: i
     return spans
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", width: int = 400, carry: list[str] | None = None, group_rows: int = GROUP_ROWS, gram: int = GRAM) -> DataFrame:
+def _all_bytes(n) -> Column:
+    return F.array(F.struct(F.lit(0).cast("long").alias("a"), n.cast("long").alias("b")))
+
+
+def _n_words(text) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def repeated_spans(
+    docs: DataFrame, text_col: str = "text", width: int = 400, carry: list[str] | None = None, group_rows: int = GROUP_ROWS, gram: int = GRAM,
+    words: int | None = None,
+) -> DataFrame:
     """The rows with n_bytes, n_removed, n_spans, kept_sha256 and spans (array of byte ranges a to b, null
     for none): the bytes covered by a string of ``width`` bytes that also starts anywhere else.
 
+    With ``words`` also passages (byte ranges of the runs of so many words that occur again, white space apart),
+    n_passages and passage_bytes. They are found, not removed: such a run may be shorter than ``width``. A text
+    of so many words that has copies is one passage.
+
     A text with copies goes entirely. A null or empty text, and one shorter than the width, loses nothing.
     Repeated rows count as copies. An empty table gives no rows; columns called like the added ones are
     replaced. ``carry``: columns to bring along, all but the text by default; the text may be among them.
     """
-    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["n_passages", "passage_bytes", "passages"] if words else [])]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in added and not (carry is None and c == text_col)]
     own = [f"c_{i}" for i in range(len(carry))]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialise(docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.octet_length(text).cast("long").alias("n_bytes"), _sha(text).alias("sha")))
-    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, gram).withColumnsRenamed({"kept_sha256": "__kept", "n_removed": "__removed"}))
-    copies = materialise(rows.where(F.col("n_bytes") >= width).groupBy("sha").count().where("count > 1").select("sha", F.lit(True).alias("__copy")))
+    rows = materialise(docs.select(*[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.octet_length(text).cast("long").alias("n_bytes"), _sha(text).alias("sha"), (_n_words(text) >= words if words else F.lit(False)).alias("wordy")))
+    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, gram, words).withColumnsRenamed({"kept_sha256": "__kept", "n_removed": "__removed"}))
+    copies = materialise(rows.where((F.col("n_bytes") >= width) | F.col("wordy")).groupBy("sha").count().where("count > 1").select("sha", F.lit(True).alias("__copy")))
     out = rows.withColumn("tid", F.unhex(F.substring("sha", 1, 32))).join(partial, "tid", "left").join(copies, "sha", "left")
-    whole = F.coalesce(F.col("__copy"), F.lit(False))
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_bytes").alias("b")))
-    spans = F.when(whole, all_of_it).otherwise(F.col("spans"))
+    copied = F.coalesce(F.col("__copy"), F.lit(False))
+    whole = copied & (F.col("n_bytes") >= width)
+    spans = F.when(whole, _all_bytes(F.col("n_bytes"))).when(F.size("spans") > 0, F.col("spans"))
+    passages = F.when(copied & F.col("wordy"), _all_bytes(F.col("n_bytes"))).when(F.size("passages") > 0, F.col("passages"))
+    total = F.aggregate(passages, F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
     return out.select(
         *[F.col(o).alias(c) for c, o in zip(carry, own, strict=True)], "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("__removed", F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce(F.size(spans), F.lit(0)).cast("long").alias("n_spans"),
         F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("__kept", "sha")).alias("kept_sha256"),
         spans.alias("spans"),
+        *([F.coalesce(F.size(passages), F.lit(0)).cast("long").alias("n_passages"), F.coalesce(total, F.lit(0)).cast("long").alias("passage_bytes"), passages.alias("passages")] if words else []),
     )
 
 
@@ -589,13 +614,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400, wo
     """
     names, at = docs.columns, docs.columns.index(text_col)
     own = docs.withColumn("__sha", _sha(F.col(text_col)))
-    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, words=words).select("tid", "spans"))
+    partial = materialise(repeated_in_texts(docs, text_col, width, group_rows, words=words).select("tid", F.concat("spans", "passages").alias("spans")))
     size = F.octet_length(F.col(text_col))
     long = size >= width
     if words:
-        long = long | (F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")) >= words)
+        long = long | (_n_words(F.col(text_col)) >= words)
     copies = own.where(long).groupBy("__sha", size.cast("long").alias("n")).count().where("count > 1")
-    copies = copies.select(F.unhex(F.substring("__sha", 1, 32)).alias("tid"), F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("all"))
+    copies = copies.select(F.unhex(F.substring("__sha", 1, 32)).alias("tid"), _all_bytes(F.col("n")).alias("all"))
     spans = materialise(partial.join(copies, "tid", "full").select(F.col("tid").alias("__tid"), F.coalesce("all", "spans").alias("__spans")))
     found = own.withColumn("__t", F.unhex(F.substring("__sha", 1, 32))).join(spans, F.col("__t") == F.col("__tid"), "left")
 
@@ -603,7 +628,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400, wo
         for batch in batches:
             spans = batch.column(len(names)).to_pylist()
             texts = [
-                t if not own or t is None else cut(t.encode(), [(x["a"], x["b"]) for x in own]).decode(errors="ignore")
+                t if not own or t is None else cut(t.encode(), merge_spans([(x["a"], x["b"]) for x in own])).decode(errors="ignore")
                 for t, own in zip(batch.column(at).to_pylist(), spans, strict=True)
             ]
             columns = list(batch.columns[: len(names)])

@@ -385,16 +385,26 @@ def test_repeated_passages_of_over_50_words(spark, group_rows):
     runs = Counter(tuple(w[k : k + 51]) for w in data for k in range(len(w) - 50))
     raw = [t.encode() for t in texts]
     strings = Counter(b[k : k + 400] for b in raw for k in range(len(b) - 399))
-    want = []
+    want, passages = [], []
     for w, t, b in zip(data, texts, raw, strict=True):
         at = [(len(t[: m.start()].encode()), len(t[: m.end()].encode())) for m in WORD.finditer(t)]
         spans = [(at[k][0], at[k + 50][1]) for k in range(len(w) - 50) if runs[tuple(w[k : k + 51])] > 1]
+        passages.append(suffix_dedup.merge_spans(spans))
         spans += [(k, k + 400) for k in range(len(b) - 399) if strings[b[k : k + 400]] > 1]
         want.append(suffix_dedup.cut(b, suffix_dedup.merge_spans(spans)).decode(errors="ignore"))
     assert sum(a != b for a, b in zip(want, texts, strict=True)) == 12
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = suffix_dedup.remove_repeats(docs, words=51, group_rows=group_rows).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.doc_id)] == want
+    got = suffix_dedup.repeated_spans(docs, words=51, group_rows=group_rows).drop("text").collect()
+    assert [(r.n_passages, r.passage_bytes, [tuple(x) for x in r.passages or []]) for r in sorted(got, key=lambda r: r.doc_id)] == [
+        (len(p), sum(b - a for a, b in p), p) for p in passages
+    ]
+    plain = suffix_dedup.repeated_spans(docs, group_rows=group_rows)  # what is removed does not depend on the passages
+    assert Counter(map(str, suffix_dedup.repeated_spans(docs, words=51, group_rows=group_rows).select(plain.columns).collect())) == Counter(map(str, plain.collect()))
+    copies = spark.createDataFrame([(i, " ".join("z" for _ in range(n))) for i, n in enumerate((51, 51, 50, 50))], "doc_id long, text string")
+    got = suffix_dedup.repeated_spans(copies, words=51).collect()
+    assert sorted((r.doc_id, r.n_passages, r.passage_bytes, r.n_removed) for r in got) == [(0, 1, 101, 0), (1, 1, 101, 0), (2, 0, 0, 0), (3, 0, 0, 0)]
 
 
 def test_pipeline_takes_out_short_words(spark):
