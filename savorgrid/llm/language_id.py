@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .textcore import LOWER, PrefixHash, chunks
+from .textcore import LOWER, PrefixHash, chunks, freeing
 
 UNKNOWN = "und"
 
@@ -73,6 +73,7 @@ class LanguageModel:
         rows = rows.where("lang is not null and text is not null and text <> ''")
         rows = sample_bounded(rows, "lang", F.col("id"), docs_per_language)
 
+        @freeing
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells: dict[str, np.ndarray] = {}
             for batch in batches:
@@ -118,6 +119,7 @@ class LanguageModel:
         model = docs.sparkSession.sparkContext.broadcast((self.languages, self.weights, self.prior))
         orders, bits = self.orders, self.bits
 
+        @freeing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             languages, weights, prior = model.value
             names = np.array([*languages, UNKNOWN], dtype=object)

@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from savorgrid.session import materialise
 
-from .textcore import LOWER, PrefixHash, chunks, word_spans
+from .textcore import LOWER, PrefixHash, chunks, freeing, word_spans
 
 _TOKENIZERS: dict = {}
 
@@ -173,6 +173,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text_c
         StructField("ids", BinaryType()), StructField("ids_crc32", LongType()), StructField("__part", IntegerType()), StructField("__nth", LongType()),
     ]
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, table = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64), WordTable(tokenizer_path)
         for batch in batches:

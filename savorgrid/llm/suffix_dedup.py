@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from savorgrid.session import materialise, new_folder
 
-from .textcore import PrefixHash, chunks, word_spans
+from .textcore import PrefixHash, chunks, freeing, word_spans
 
 GRAM = 96  # bytes of an anchor
 SHALLOW = 64  # bytes sorted by multikey quicksort before blind tries take over
@@ -242,6 +242,7 @@ def anchors(buf: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+@freeing
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of each tid in a task."""
     seen: set[bytes] = set()
@@ -262,6 +263,7 @@ def word_codes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _find_anchors(width: int, gram: int, words: bool = False):
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, buf, off in chunks(batch.column(1), 1 << 20 if words else 2 << 20):
@@ -306,6 +308,7 @@ def _cut_contexts(width: int, rows: int = 20_000, words: bool = False):
         columns = zip(*out, strict=True) if out else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=["tid", "h", "at", "lo", "bytes", "n", "hot", "a", "b"])
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
@@ -325,6 +328,7 @@ def _cut_contexts(width: int, rows: int = 20_000, words: bool = False):
     return run
 
 
+@freeing
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts with their words replaced by codes, from the place where the context begins within a code."""
     for batch in batches:
@@ -361,6 +365,7 @@ def _match(width: int, words: bool = False):
                 out.append((tid, at - left, at + right))
         return out
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in _coded(batches) if words else batches:
@@ -397,6 +402,7 @@ def _ranges(width: int, gram: int, ways: int = 4):
             d.update(len(x).to_bytes(8, "little") + x)
         return d.digest()
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(11)]
@@ -461,6 +467,7 @@ SPAN = "array<struct<a: bigint, b: bigint>>"
 FOUND = f"tid binary, spans {SPAN}, passages {SPAN}, n_removed long, kept_sha256 string"
 
 
+@freeing
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[] for _ in range(5)]
@@ -624,6 +631,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", width: int = 400, wo
     spans = materialise(partial.join(copies, "tid", "full").select(F.col("tid").alias("__tid"), F.coalesce("all", "spans").alias("__spans")))
     found = own.withColumn("__t", F.unhex(F.substring("__sha", 1, 32))).join(spans, F.col("__t") == F.col("__tid"), "left")
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column(len(names)).to_pylist()

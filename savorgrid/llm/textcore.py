@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +103,21 @@ class PrefixHash:
         return mix((self.sums[width:] - self.sums[:n]) * self.inverses[:n])
 
 
+def freeing(run: Callable) -> Callable:
+    """``run``, a map over Arrow batches, which gives memory back when its rows are through: workers live on
+    and wait for other tasks, and what their allocators keep adds up in an executor."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def find(parent: dict, x):
     root = x
     while (p := parent.get(root, root)) != root:
