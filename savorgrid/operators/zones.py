@@ -182,39 +182,47 @@ def community_context(category_streets: Column, affinity: Column, note: Column)
 
 # --- zone tables too large to inline --------------------------------------------
 
+def _points(df: DataFrame) -> DataFrame:
+    """The different places of the rows. A zone depends on nothing else, so rows without an id or with a
+    common one find theirs, and a crowded place is looked up once."""
+    return df.select("lat", "lng").where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).distinct()
+
+
+def _with_found(df: DataFrame, found: DataFrame) -> DataFrame:
+    return df.join(found, ["lat", "lng"], "left").select(*df.columns, "zone")
+
+
 def containing_zone(df: DataFrame, zones: DataFrame, max_radius_km: float, inclusive: bool = False) -> DataFrame:
     """First zone (lowest ``ord``) that contains each venue, as struct ``zone``.
 
     ``zones``: ord, name, lat, lng, radius plus anything else. Zones are spread over the
-    cells they can reach, so each venue keeps its one home cell and is shuffled once.
+    cells they can reach, so each place keeps its one home cell. Rows without coordinates have no zone.
     """
     cells = RadiusCells(max_radius_km * 1000.0)
     zone = F.struct(F.col("ord"), *[F.col(c) for c in zones.columns if c != "ord"])
     spread = zones.select(
         F.explode(cells.around(F.col("lat"), F.col("lng"))).alias("_cell"), zone.alias("zone")
     )
-    homed = df.withColumn("_cell", cells.home(F.col("lat"), F.col("lng")))
+    homed = _points(df).withColumn("_cell", cells.home(F.col("lat"), F.col("lng")))
     dist = haversine_km(homed["lat"], homed["lng"], F.col("zone.lat"), F.col("zone.lng"))
     inside = dist <= F.col("zone.radius") if inclusive else dist < F.col("zone.radius")
     hits = (
-        homed.select("id", "lat", "lng", "_cell")
-        .join(spread, "_cell")
+        homed.join(spread, "_cell")
         .filter(inside)
-        .groupBy("id")
+        .groupBy("lat", "lng")
         .agg(F.min("zone").alias("zone"))
     )
-    return df.join(hits, "id", "left")
+    return _with_found(df, hits)
 
 
 def nearest_zone(df: DataFrame, zones: DataFrame, start_km: float = 1.0) -> DataFrame:
     """Nearest zone of a large table as struct ``zone<dist, ord, name>``.
 
     Looks within a radius, keeps what is certain (anything nearer would lie in the same
-    cells) and doubles the radius for the rest, until no venue with coordinates is left.
+    cells) and doubles the radius for the rest, until no place is left.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    placed = df.select("id", "lat", "lng").filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    found, open_rows, radius = None, placed, start_km
+    found, open_rows, radius = None, _points(df), start_km
     farthest = EARTH_KM * 3.2  # more than half the way round the globe
     while True:
         cells = RadiusCells(radius * 1000.0)
@@ -228,13 +236,13 @@ def nearest_zone(df: DataFrame, zones: DataFrame, start_km: float = 1.0) -> Data
             open_rows.withColumn("_cell", cells.home(F.col("lat"), F.col("lng")))
             .join(spread, "_cell")
             .filter(dist <= radius)
-            .groupBy("id")
+            .groupBy("lat", "lng")
             .agg(F.min(F.struct(dist.alias("dist"), F.col("_ord").alias("ord"), F.col("_name").alias("name"))).alias("zone"))
             .checkpoint()
         )
         found = step if found is None else found.unionByName(step)
-        open_rows = open_rows.join(step.select("id"), "id", "left_anti")
+        open_rows = open_rows.join(step.select("lat", "lng"), ["lat", "lng"], "left_anti")
         radius *= 2
         if radius > farthest or open_rows.isEmpty():
             break
-    return df.join(found, "id", "left")
+    return _with_found(df, found)

@@ -184,6 +184,12 @@ def test_large_zone_joins_equal_loops(spark):
         dist = [(metres((lat, lng), (z[2], z[3])) / 1000, z) for z in zs]
         assert near[vid] == min(dist, key=lambda d: d[0])[1][1]
         assert inside[vid] == next((z[1] for d, z in dist if d < z[4]), None)
+    odd = [(None, vs[0][1], vs[0][2], "a"), (None, vs[1][1], vs[1][2], "b"), (7, vs[2][1], vs[2][2], "c"), (7, vs[3][1], vs[3][2], "d"), (7, vs[3][1], vs[3][2], "d")]
+    odf = spark.createDataFrame(odd, "id bigint, lat double, lng double, own string")  # null and repeated ids, a repeated row
+    for found, want in ((zn.nearest_zone(odf, zdf, 0.5), near), (zn.containing_zone(odf, zdf, 3.5), inside)):
+        assert found.columns == [*odf.columns, "zone"]
+        assert sorted((r.own, r.zone and r.zone.name) for r in found.collect()) == [(x, want[i]) for x, i in zip("abcdd", (0, 1, 2, 3, 3), strict=True)]
+    assert zn.nearest_zone(odf.where("false"), zdf).collect() == [] == zn.containing_zone(odf.where("false"), zdf, 3.5).collect()
 
 
 def test_string_ids_match_like_numbers(spark):
