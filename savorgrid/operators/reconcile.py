@@ -1,9 +1,10 @@
 """Matching place records from two sources by distance and name.
 
 A radius join is an equi-join on grid cells. Copies (same comparable name at the same
-point) are collapsed before it. The join key also carries a piece of the name, chosen so
-that no pair the text rules accept is lost; what is left per record is folded to its first
-match while still map-side.
+point) are collapsed before it. In a cell with few records of the answering side everyone
+meets; in a crowded one, known from a table of counts, the join key also carries a piece of
+the name, chosen so that no pair the text rules accept is lost. What is left per record is
+folded to its first match while still map-side.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .filters import worthwhile_candidates
 #: Lengths of name pieces; the longest that fits into a name opens its key.
 GRAMS = [8, 4, 2, 1]
 
+#: A cell with more records of the answering side is crowded. Every other record meets at most nine times as many.
+CROWD = 64
+
 NameRule = Callable[[Column], Column]
 
 
@@ -78,32 +82,54 @@ def _collapse(df: DataFrame, rule: NameRule, order: str, prefix: str) -> DataFra
     return materialise(distinct)
 
 
-def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool) -> DataFrame:
+def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool, crowd: int) -> DataFrame:
     """Pairs in the same or touching cells that can satisfy the text rules.
 
-    The side whose name may be the inner one looks around with its opening, the other one answers
-    at home with all its pieces.
+    Where at most ``crowd`` records of ``v`` are at home, a cell is the whole key. In the others the side
+    whose name may be the inner one looks around with its opening, and the other one answers at home with
+    all its pieces; a pair's path depends on the cell of ``v`` alone, so each path is whole by itself.
     """
     cells = RadiusCells(radius_m)
 
-    def spread(df: DataFrame, side: str, keys: Column) -> DataFrame:
-        around = F.explode(cells.around(F.col(f"{side}lat"), F.col(f"{side}lng")))
-        # keys are made once a record, not once a cell
-        keyed = df.withColumn("_keys", keys).withColumn("cell", around)
-        return keyed.withColumn("key", F.explode("_keys")).drop("_keys")
+    def around(side: str) -> Column:
+        return F.explode(cells.around(F.col(f"{side}lat"), F.col(f"{side}lng")))
 
-    def settled(df: DataFrame, side: str, keys: Column) -> DataFrame:
-        home = cells.home(F.col(f"{side}lat"), F.col(f"{side}lng"))
-        return df.withColumn("cell", home).withColumn("key", F.explode(keys))
+    def home(side: str) -> Column:
+        return cells.home(F.col(f"{side}lat"), F.col(f"{side}lng"))
 
     def text_keys(name: Column, own: Callable[[Column], Column]) -> Column:
         keys = own(name)
         return F.array_union(keys, _word_pair_keys(name)) if with_words else keys
 
+    def keyed(df: DataFrame, keys: Column) -> DataFrame:
+        return df.withColumn("key", F.explode(keys))
+
+    at_home = v.withColumn("cell", home("v"))
+    crowded = materialise(at_home.groupBy("cell").count().filter(F.col("count") > crowd).select("cell"))
+    looking = e.withColumn("cell", around("e"))
+    met = looking.join(at_home.join(crowded, "cell", "left_anti"), "cell").drop("cell")
+    if crowded.isEmpty():
+        return met
     en, vn = F.col("en"), F.col("vn")
-    inner_e = spread(e, "e", text_keys(en, _prefix_key)).join(settled(v, "v", text_keys(vn, _piece_keys)), ["cell", "key"])
-    inner_v = settled(e, "e", _piece_keys(en)).join(spread(v, "v", _prefix_key(vn)), ["cell", "key"])
-    return inner_e.unionByName(inner_v).drop("cell", "key")
+    v_crowded = at_home.join(crowded, "cell", "left_semi")
+    inner_e = keyed(looking.join(crowded, "cell", "left_semi"), text_keys(en, _prefix_key)).join(
+        keyed(v_crowded, text_keys(vn, _piece_keys)), ["cell", "key"]
+    )
+    # the openings are made once a record, not once a cell
+    v_around = v_crowded.withColumn("_keys", _prefix_key(vn)).withColumn("cell", around("v"))
+    inner_v = keyed(e.withColumn("cell", home("e")), _piece_keys(en)).join(
+        keyed(v_around, F.col("_keys")).drop("_keys"), ["cell", "key"]
+    )
+    keyed_pairs = inner_e.unionByName(inner_v).drop("cell", "key")
+    return met.unionByName(keyed_pairs)
+
+
+def _same_name(e: DataFrame, v: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of equal names in the same or touching cells."""
+    cells = RadiusCells(radius_m)
+    mine = e.withColumn("cell", F.explode(cells.around(F.col("elat"), F.col("elng"))))
+    theirs = v.withColumn("cell", cells.home(F.col("vlat"), F.col("vlng")))
+    return mine.join(theirs, (mine["cell"] == theirs["cell"]) & (mine["en"] == theirs["vn"])).drop("cell")
 
 
 def _attach(external: DataFrame, rule: NameRule, best: DataFrame) -> DataFrame:
@@ -113,23 +139,22 @@ def _attach(external: DataFrame, rule: NameRule, best: DataFrame) -> DataFrame:
     return keyed.join(best, cond, "left").drop("_n", "en", "elat", "elng")
 
 
-def match_by_name_then_place(external: DataFrame, venues: DataFrame, order: str = "id") -> DataFrame:
+def match_by_name_then_place(external: DataFrame, venues: DataFrame, order: str = "id", crowd: int = CROWD) -> DataFrame:
     """Adds ``match_id``: same name within 100 m; else within 50 m and one name inside the
-    other or two shared words. The first venue in list order wins within each step."""
+    other or two shared words. The first venue in list order wins within each step. ``crowd``
+    chooses between two ways to the same pairs, cell by cell."""
     e = _collapse(external, normalise_quotes, "ext_id", "e").drop("eord")
     v = _collapse(venues, normalise_quotes, order, "v")
     dist = haversine_m(F.col("elat"), F.col("elng"), F.col("vlat"), F.col("vlng"))
     en, vn = F.col("en"), F.col("vn")
-    # equal names are also one inside the other, so one blocked join serves both steps
-    step = F.when((en == vn) & (F.col("dist") < 100), 1).when(
-        (F.col("dist") < 50) & (contains_either(vn, en) | (shared_words(en, vn) >= 2)), 2
+    same = _same_name(e, v, 100.0).filter(dist < 100).withColumn("step", F.lit(1))
+    akin = (
+        _near(e, v, 50.0, with_words=True, crowd=crowd)
+        .filter((dist < 50) & (contains_either(vn, en) | (shared_words(en, vn) >= 2)))
+        .withColumn("step", F.lit(2))
     )
     best = (
-        _near(e, v, 100.0, with_words=True)
-        .withColumn("dist", dist)
-        .filter(F.col("dist") < 100)
-        .withColumn("step", step)
-        .filter("step is not null")
+        same.unionByName(akin)
         .groupBy("en", "elat", "elng")
         .agg(F.min(F.struct("step", "vord")).alias("m"))
         .select("en", "elat", "elng", F.col("m.vord").alias("match_id"), F.col("m.step").alias("match_step"))
@@ -137,14 +162,16 @@ def match_by_name_then_place(external: DataFrame, venues: DataFrame, order: str
     return _attach(external, normalise_quotes, best)
 
 
-def match_by_place(external: DataFrame, venues: DataFrame, order: str = "id", threshold_m: float = 100.0) -> DataFrame:
+def match_by_place(
+    external: DataFrame, venues: DataFrame, order: str = "id", threshold_m: float = 100.0, crowd: int = CROWD
+) -> DataFrame:
     """Adds ``match_id``: first venue within the threshold that has the same name, a name inside
     the other or lies closer than 30 m."""
     e = _collapse(external, normalise_endings, "ext_id", "e").drop("eord")
     v = _collapse(venues, normalise_endings, order, "v")
     dist = haversine_m(F.col("elat"), F.col("elng"), F.col("vlat"), F.col("vlng"))
     by_name = (
-        _near(e, v, threshold_m, with_words=False)
+        _near(e, v, threshold_m, with_words=False, crowd=crowd)
         .filter((dist <= threshold_m) & contains_either(F.col("vn"), F.col("en")))
         .select("en", "elat", "elng", "vord")
     )

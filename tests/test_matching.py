@@ -69,8 +69,9 @@ def test_match_by_place_equals_loop(places):
                 hit = vid
                 break
         want[ext] = hit
-    got = {r.ext_id: r.match_id for r in rc.match_by_place(edf, vdf).collect()}
-    assert got == want
+    for crowd in (rc.CROWD, 0):  # all cells met whole, all by name pieces
+        got = {r.ext_id: r.match_id for r in rc.match_by_place(edf, vdf, crowd=crowd).collect()}
+        assert got == want
     assert norm("a bar") == "a"
 
 
@@ -85,8 +86,28 @@ def test_match_by_name_then_place_equals_loop(places):
             if dist < 50 and (n in vn or vn in n or len(set(n.split()) & set(vn.split())) >= 2)
         ]
         want[ext] = (first or second or [None])[0]
-    got = {r.ext_id: r.match_id for r in rc.match_by_name_then_place(edf, vdf).collect()}
-    assert got == want
+    for crowd in (rc.CROWD, 0):
+        got = {r.ext_id: r.match_id for r in rc.match_by_name_then_place(edf, vdf, crowd=crowd).collect()}
+        assert got == want
+
+
+def test_crowded_cells_and_empty_sides(spark):
+    ddl = "id long, name string, lat double, lng double"
+    words = ["Blue", "Fox", "Corner", "Bar", "Noodle"]
+    rng = random.Random(5)
+    # 200 venues of few names on one spot's cell, some without a name or a place
+    v = [(i, " ".join(rng.sample(words, rng.randint(1, 3))), 50.8 + rng.random() * 3e-4, 4.3 + rng.random() * 3e-4) for i in range(200)]
+    v += [(900, None, 50.8, 4.3), (901, "", 50.8001, 4.3001), (902, "Fox", None, 4.3)]
+    e = [(1000 + i, " ".join(rng.sample(words, rng.randint(1, 3))), 50.8 + rng.random() * 3e-4, 4.3 + rng.random() * 3e-4) for i in range(60)]
+    e += [(2000, None, 50.8, 4.3), (2001, "", 50.8, 4.3), (2002, "Fox", 50.8, None)]
+    vdf = spark.createDataFrame(v, ddl)
+    edf = spark.createDataFrame(e, ddl).withColumnRenamed("id", "ext_id")
+    for match in (rc.match_by_place, rc.match_by_name_then_place):
+        whole = sorted(match(edf, vdf, crowd=10_000).collect())
+        assert len(whole) == len(e) and sum(r.match_id is not None for r in whole) >= 60
+        assert sorted(match(edf, vdf).collect()) == whole
+    assert rc.match_by_place(edf.limit(0), vdf).count() == 0
+    assert all(r.match_id is None for r in rc.match_by_place(edf, vdf.limit(0)).collect())
 
 
 def test_accept_new_equals_one_by_one(spark):
