@@ -129,15 +129,15 @@ def shard_by_bytes(
     per_shard = math.ceil((keys.agg(F.sum("size")).first()[0] or 0) / shards / piece_bytes) or 1
 
     shard = _shard_column(cut_hi.tolist(), cut_lo.tolist())
-    piece = (F.col("shard") * per_shard + F.pmod(F.col("lo"), F.lit(per_shard))).cast("long").alias("piece")
+    piece = (F.col("shard") * per_shard + F.pmod(F.col("lo"), F.lit(per_shard))).cast("int").alias("piece")
     counts = keys.select("lo", shard.alias("shard")).select("shard", piece).groupBy("shard", "piece").count()
     offsets = materialise(
         counts.select("piece", (F.sum("count").over(Window.partitionBy("shard").orderBy("piece")) - F.col("count")).alias("__offset"))
     )
     rows = docs.select(*rest, size.alias("size"), hi.alias("__hi"), lo.alias("__lo"))
     rows = rows.withColumn("shard", _shard_column(cut_hi.tolist(), cut_lo.tolist(), "__hi", "__lo"))
-    rows = rows.withColumn("__piece", (F.col("shard") * per_shard + F.pmod(F.col("__lo"), F.lit(per_shard))).cast("long"))
-    rows = rows.repartition(max(2, shards * per_shard), "__piece")
+    rows = rows.withColumn("__piece", (F.col("shard") * per_shard + F.pmod(F.col("__lo"), F.lit(per_shard))).cast("int"))
+    rows = rows.repartitionById(max(2, shards * per_shard), F.col("__piece"))  # one piece a task
     place = F.row_number().over(Window.partitionBy("__piece").orderBy("__hi", "__lo"))
     rows = rows.withColumn("__place", place).join(offsets.withColumnRenamed("piece", "__piece"), "__piece")
     return rows.select(*rest, "size", "shard", (F.col("__offset") + F.col("__place") - 1).cast("long").alias("slot"))
