@@ -642,8 +642,7 @@ _DAILY = "daily as (select cast(ts as date) as day, count(*) as views from event
 @query("t01_daily_views_stream", S.with_(_DAILY) + "select day, views from daily order by day desc limit 90")
 def t01(t: Tables):
     """The counter as a stream over the event files; the newest ninety days are kept."""
-    schema = t.raw("events").schema
-    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    stream = t.stream("events")
     sink, ckpt = scratch(t.spark), scratch(t.spark)
     q = tr.start_daily_views(stream.filter("event_type = 'view'").withColumn("ts", F.col("ts").cast("timestamp")), sink, ckpt)
     q.awaitTermination()
@@ -670,8 +669,7 @@ def q10(t: Tables):
 @query("t03_review_stream", """select distinct n_chars % 97 as venue_id, coalesce(source, '') || '::' || sha256(coalesce(text, '')) as review_key from documents""")
 def t03(t: Tables):
     """Reviews as a stream with one event time; repeats are dropped on the way."""
-    schema = t.raw("documents").schema
-    docs = t.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    docs = t.stream("documents")
     stream = docs.select(F.expr("n_chars % 97").alias("venue_id"), F.col("source").alias("reviewer_name"), "text", "doc_id",
                          F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, doc_id % 3600)").alias("ts"))
     sink = scratch(t.spark)

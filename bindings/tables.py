@@ -21,6 +21,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of its files: one file of that name, or all in a folder of that name.
+
+        A pattern may match either; a plain path would have to be a folder.
+        """
+        path = f"{self.sf_dir}/{name}.parque[t]"
+        return self.spark.readStream.schema(self.raw(name).schema).parquet(path)
+
     def _venue_rows(self) -> DataFrame:
         part, line = self.raw("part"), self.raw("lineitem")
         volume = (

@@ -23,9 +23,9 @@ def start_review_ingest(reviews: DataFrame, sink: str, checkpoint: str, ts: str
 
     def write(batch: DataFrame, epoch: int) -> None:
         bucket = F.pmod(F.xxhash64("venue_id", "review_key"), F.lit(BUCKETS))
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{sink}/epoch={epoch:012d}"
-        )
+        # a bucket is written by one task; every state partition holds rows of all of them
+        dealt = batch.withColumn("bucket", bucket).repartition(BUCKETS, "bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/epoch={epoch:012d}")
 
     return (
         fresh.writeStream.outputMode("append")

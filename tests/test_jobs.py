@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from bindings.tables import PACK, Tables
 from savorgrid.context import CityPack, demo_pack
 from savorgrid.functions.geo import RadiusCells
@@ -211,6 +212,19 @@ def test_view_series_fills_gaps(spark):
     assert (stats.total, stats.today, stats.last_7_days, stats.last_30_days) == (7, 2, 2, 7)
 
 
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_stream_queries_read_a_file_or_a_folder(spark, tmp_path, as_folder):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).toPandas()
+    if as_folder:
+        (tmp_path / "documents.parquet").mkdir()
+        docs[:30].to_parquet(tmp_path / "documents.parquet/part-0.parquet")
+        docs[30:].to_parquet(tmp_path / "documents.parquet/part-1.parquet")
+    else:
+        docs.to_parquet(tmp_path / "documents.parquet")
+    got = entry.queries()["t03_review_stream"](spark, str(tmp_path)).collect()
+    assert len(got) == len(set(got)) == len({(n % 97, s, t) for n, s, t in zip(docs.n_chars, docs.source, docs.text)})
+
+
 def test_review_stream_drops_repeats(spark, tmp_path):
     src, sink, ckpt = (str(tmp_path / n) for n in ("src", "sink", "ckpt"))
     rows = [(1, "ann", "good " * 20 + str(i % 2), f"2024-01-01 00:0{i}:00") for i in range(4)] + [(2, "bob", "x", "2024-01-01 00:05:00")]
