@@ -5,6 +5,9 @@ point) are collapsed before it. In a cell with few records of the answering side
 meets; in a crowded one, known from a table of counts, the join key also carries a piece of
 the name, chosen so that no pair the text rules accept is lost. What is left per record is
 folded to its first match while still map-side.
+
+The sides are written once and met by sorting: what Spark knows of a file is its compressed size, and repeated
+names compress so well that it would send millions of rows through the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -107,18 +110,18 @@ def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool, crowd:
     at_home = v.withColumn("cell", home("v"))
     crowded = materialise(at_home.groupBy("cell").count().filter(F.col("count") > crowd).select("cell"))
     looking = e.withColumn("cell", around("e"))
-    met = looking.join(at_home.join(crowded, "cell", "left_anti"), "cell").drop("cell")
+    met = looking.join(at_home.join(crowded, "cell", "left_anti").hint("merge"), "cell").drop("cell")
     if crowded.isEmpty():
         return met
     en, vn = F.col("en"), F.col("vn")
     v_crowded = at_home.join(crowded, "cell", "left_semi")
     inner_e = keyed(looking.join(crowded, "cell", "left_semi"), text_keys(en, _prefix_key)).join(
-        keyed(v_crowded, text_keys(vn, _piece_keys)), ["cell", "key"]
+        keyed(v_crowded, text_keys(vn, _piece_keys)).hint("merge"), ["cell", "key"]
     )
     # the openings are made once a record, not once a cell
     v_around = v_crowded.withColumn("_keys", _prefix_key(vn)).withColumn("cell", around("v"))
     inner_v = keyed(e.withColumn("cell", home("e")), _piece_keys(en)).join(
-        keyed(v_around, F.col("_keys")).drop("_keys"), ["cell", "key"]
+        keyed(v_around, F.col("_keys")).drop("_keys").hint("merge"), ["cell", "key"]
     )
     keyed_pairs = inner_e.unionByName(inner_v).drop("cell", "key")
     return met.unionByName(keyed_pairs)
@@ -129,14 +132,14 @@ def _same_name(e: DataFrame, v: DataFrame, radius_m: float) -> DataFrame:
     cells = RadiusCells(radius_m)
     mine = e.withColumn("cell", F.explode(cells.around(F.col("elat"), F.col("elng"))))
     theirs = v.withColumn("cell", cells.home(F.col("vlat"), F.col("vlng")))
-    return mine.join(theirs, (mine["cell"] == theirs["cell"]) & (mine["en"] == theirs["vn"])).drop("cell")
+    return mine.join(theirs.hint("merge"), (mine["cell"] == theirs["cell"]) & (mine["en"] == theirs["vn"])).drop("cell")
 
 
 def _attach(external: DataFrame, rule: NameRule, best: DataFrame) -> DataFrame:
     """Give every external record the match of its collapsed form."""
     keyed = external.withColumn("_n", rule(F.col("name")))
     cond = (keyed["_n"] == best["en"]) & (keyed["lat"] == best["elat"]) & (keyed["lng"] == best["elng"])
-    return keyed.join(best, cond, "left").drop("_n", "en", "elat", "elng")
+    return keyed.join(best.hint("merge"), cond, "left").drop("_n", "en", "elat", "elng")
 
 
 def match_by_name_then_place(external: DataFrame, venues: DataFrame, order: str = "id", crowd: int = CROWD) -> DataFrame:
@@ -181,12 +184,12 @@ def match_by_place(
     near_spots = (
         e.select("elat", "elng").distinct()
         .withColumn("cell", F.explode(close.around(F.col("elat"), F.col("elng"))))
-        .join(spots.withColumn("cell", close.home(F.col("vlat"), F.col("vlng"))), "cell")
+        .join(spots.withColumn("cell", close.home(F.col("vlat"), F.col("vlng"))).hint("merge"), "cell")
         .filter(dist < min(30.0, threshold_m + 1e-9))
         .groupBy("elat", "elng")
         .agg(F.min("vord").alias("vord"))
     )
-    by_spot = e.join(near_spots, ["elat", "elng"]).select("en", "elat", "elng", "vord")
+    by_spot = e.join(near_spots.hint("merge"), ["elat", "elng"]).select("en", "elat", "elng", "vord")
     best = (
         by_name.unionByName(by_spot)
         .groupBy("en", "elat", "elng")
