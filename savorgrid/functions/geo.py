@@ -184,3 +184,41 @@ class RadiusCells:
             )
             parts.append(self._keys(r, F.array_distinct(cols)))
         return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*parts))
+
+    def reach(self, lat: Column, lng: Column, km: Column) -> Column:
+        """array<struct<row, col, cell>>: the cells that points within ``km`` of a place can lie in, and a few more."""
+        steps = (F.floor(km / F.lit(self.radius_m / 1000.0)) + 1).cast("bigint")
+        row = self._row(lat)
+        wide = F.greatest(self._width(row - steps), self._width(row + steps)) * steps
+        low, high = self._east(lng) - wide, self._east(lng) + wide
+        none = F.array().cast("array<bigint>")
+
+        def of_row(r: Column) -> Column:
+            w = self._width(r)
+            last = F.floor(F.lit(360.0) / w).cast("bigint")
+
+            def column(degrees: Column) -> Column:
+                return F.least(F.greatest(F.floor(degrees / w).cast("bigint"), F.lit(0).cast("bigint")), last)
+
+            cols = F.concat(
+                F.sequence(column(low), column(high)),
+                F.when(low < 0, F.sequence(column(low + 360.0), last)).otherwise(none),
+                F.when(high >= 360.0, F.sequence(F.lit(0).cast("bigint"), column(high - 360.0))).otherwise(none),
+            )
+            return F.transform(
+                F.array_distinct(cols), lambda c: F.struct(r.alias("row"), c.alias("col"), self._key(r, c).alias("cell"))
+            )
+
+        return F.when(lat.isNotNull() & lng.isNotNull() & (km >= 0), F.flatten(F.transform(F.sequence(row - steps, row + steps), of_row)))
+
+    def farthest_km(self, row: Column, col: Column, lat: Column, lng: Column) -> Column:
+        """Distance from a place to the farthest point of a cell, which is a corner; null for cells around a pole.
+
+        Along a parallel the distance grows with the difference in longitude, and along a meridian it is largest at
+        an end, unless the cell holds the place's antipode, whose corners are far away as well.
+        """
+        w, south = self._width(row), row * F.lit(self.step)
+        corners = [
+            haversine_km(lat, lng, south + F.lit(d * self.step), (col + F.lit(e)) * w - F.lit(180.0)) for d in (0, 1) for e in (0, 1)
+        ]
+        return F.when(w < 90.0, F.greatest(*corners))

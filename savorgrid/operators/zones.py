@@ -23,6 +23,7 @@ from ..functions.geo import (
 )
 from ..functions.rules import let
 from ..session import ensure_checkpoint_dir
+from .similar import dealt
 
 
 def _zone_array(rows: list[tuple[float, float, dict[str, tuple]]]) -> Column:
@@ -192,23 +193,54 @@ def _with_found(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.join(found, ["lat", "lng"], "left").select(*df.columns, "zone")
 
 
+#: Cells from the centre to the edge of a zone of the largest radius.
+FINE = 4
+
+#: Kilometres by which a zone must reach over a cell to count as covering it, far above rounding.
+_SURE_KM = 1e-6
+
+
+def _zone_cells(zones: DataFrame, cells: RadiusCells) -> DataFrame:
+    """_cell, ord, lat, lng, radius of the zones that can hold a place of each cell and come first there.
+
+    A zone that covers a cell whole holds all its places, so zones with a higher ``ord`` are never the first
+    there. What is left are the zones whose edges cross the cell before the first cover, however many zones overlap.
+    """
+    reached = dealt(zones).select("ord", "lat", "lng", "radius", F.explode(cells.reach(F.col("lat"), F.col("lng"), F.col("radius"))).alias("_c"))
+    far = cells.farthest_km(F.col("_c.row"), F.col("_c.col"), F.col("lat"), F.col("lng"))
+    reached = reached.select(F.col("_c.cell").alias("_cell"), "ord", "lat", "lng", "radius", (far < F.col("radius") - _SURE_KM).alias("_whole"))
+    first = reached.where("_whole").groupBy("_cell").agg(F.min("ord").alias("_first"))
+    # sorted joins: the zones of a cell are never sent through the driver, whatever their files' size
+    return reached.join(first.hint("merge"), "_cell", "left").where("_first is null or ord <= _first").select("_cell", "ord", "lat", "lng", "radius")
+
+
 def containing_zone(df: DataFrame, zones: DataFrame, max_radius_km: float, inclusive: bool = False) -> DataFrame:
     """First zone (lowest ``ord``) that contains each venue, as struct ``zone``.
 
-    ``zones``: ord, name, lat, lng, radius plus anything else. Zones are spread over the
-    cells they can reach, so each place keeps its one home cell. Rows without coordinates have no zone.
+    ``zones``: ord, name, lat, lng, radius plus anything else. Zones are spread over the small cells they
+    can reach, and only those that can be the first in a cell are met there; each place keeps its one home
+    cell. The least ord is a number, summed up in the tasks; whole zones are fetched for one ord a place. Of zones
+    with one ord the least by its other columns counts. Rows without coordinates have no zone.
     """
-    cells = RadiusCells(max_radius_km * 1000.0)
-    zone = F.struct(F.col("ord"), *[F.col(c) for c in zones.columns if c != "ord"])
-    spread = zones.select(
-        F.explode(cells.around(F.col("lat"), F.col("lng"))).alias("_cell"), zone.alias("zone")
-    )
+    cells = RadiusCells(max_radius_km * 1000.0 / FINE)
     homed = _points(df).withColumn("_cell", cells.home(F.col("lat"), F.col("lng")))
-    dist = haversine_km(homed["lat"], homed["lng"], F.col("zone.lat"), F.col("zone.lng"))
-    inside = dist <= F.col("zone.radius") if inclusive else dist < F.col("zone.radius")
+    near = _zone_cells(zones, cells).select("_cell", F.col("ord").alias("_ord"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.col("radius").alias("_radius"))
+
+    def inside(lat: Column, lng: Column, radius: Column) -> Column:
+        dist = haversine_km(F.col("lat"), F.col("lng"), lat, lng)
+        return dist <= radius if inclusive else dist < radius
+
+    least = (
+        homed.join(near.hint("merge"), "_cell")
+        .where(inside(F.col("_lat"), F.col("_lng"), F.col("_radius")))
+        .groupBy("lat", "lng")
+        .agg(F.min("_ord").alias("_ord"))
+    )
+    zone = F.struct(F.col("ord"), *[F.col(c) for c in zones.columns if c != "ord"])
+    whole = zones.select(F.col("ord").alias("_ord"), zone.alias("zone"))
     hits = (
-        homed.join(spread, "_cell")
-        .filter(inside)
+        least.join(whole.hint("merge"), "_ord")
+        .where(inside(F.col("zone.lat"), F.col("zone.lng"), F.col("zone.radius")))
         .groupBy("lat", "lng")
         .agg(F.min("zone").alias("zone"))
     )

@@ -213,6 +213,32 @@ def test_large_zone_joins_equal_loops(spark):
     assert zn.nearest_zone(odf.where("false"), zdf).collect() == [] == zn.containing_zone(odf.where("false"), zdf, 3.5).collect()
 
 
+def test_zones_that_cover_a_cell_hide_later_ones(spark):
+    rng = random.Random(5)
+    for mid in ((50.8, 4.3), (-72.0, 179.97), (89.6, 10.0)):  # the date line and a pole's neighbourhood too
+        wide = 0.3 / math.cos(math.radians(mid[0]))
+        turn = lambda x: (x + 180) % 360 - 180
+        zs = [(i, f"z{i}", mid[0] + rng.uniform(-0.2, 0.2), turn(mid[1] + rng.uniform(-wide, wide)), rng.choice([0.0, 2.0, 8.0, 11.0])) for i in range(300)]
+        vs = [(i, mid[0] + rng.uniform(-0.2, 0.2), turn(mid[1] + rng.uniform(-wide, wide))) for i in range(150)]
+        zdf = spark.createDataFrame(zs + [(3, "a twin", *zs[3][2:])], "ord int, name string, lat double, lng double, radius double")
+        got = {r.id: r.zone and (r.zone.ord, r.zone.name) for r in zn.containing_zone(spark.createDataFrame(vs, "id bigint, lat double, lng double"), zdf, 11.0).collect()}
+        rows = [tuple(z) for z in zdf.collect()]
+        for i, lat, lng in vs:
+            assert got[i] == min(((z[0], z[1]) for z in rows if metres((lat, lng), (z[2], z[3])) < 1000 * z[4]), default=None)
+        kept = zn._zone_cells(zdf, zn.RadiusCells(11000.0 / zn.FINE)).groupBy("_cell").count().agg(F.avg("count")).first()[0]
+        assert kept < 20 or mid[0] > 89  # of 300 zones that overlap a hundredfold; no zone covers a cell around a pole
+
+
+def test_files_are_not_broadcast_by_their_compressed_size(spark):
+    rows = spark.range(3000).selectExpr("id", "'Same Long Name Of A Place' as name", "50.0D + id / 1000 as lat", "4.0D as lng")
+    e = rc._collapse(rows, lambda c: c, "id", "e").drop("eord")
+    v = rc._collapse(rows, lambda c: c, "id", "v")
+    for pairs in (rc._near(e, v, 100.0, False, 64), rc._same_name(e, v, 100.0)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "Inner" in x]
+
+
 def test_string_ids_match_like_numbers(spark):
     venues = [(i, f"Le Petit Nom {i % 7}", f"Rue Haute {i % 5}, 1000") for i in range(40)]
     prices = [(i, f"Petit Nom {i % 7}", f"Rue Haute {i % 3}, 1000") for i in range(12)]
