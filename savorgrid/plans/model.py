@@ -29,9 +29,19 @@ NUMERIC = [
 ]
 
 
-#: Training rows of a partition. A fit is thousands of short jobs, whose tasks should not be more than the rows need.
+#: Training rows of a partition at least. A fit is thousands of short jobs, whose tasks should not be more than
+#: the rows need, nor more than the cores: each job pays for its tasks twice, for the sums and for their shuffle.
 PARTITION_ROWS = 20_000
 
+#: Training rows of a partition at most, some 300 MB of binned rows; beyond, each core gets several partitions.
+MOST_PARTITION_ROWS = 1_000_000
+
+
+def training_partitions(rows: int, cores: int) -> int:
+    if rows <= cores * MOST_PARTITION_ROWS:
+        return max(1, min(math.ceil(rows / PARTITION_ROWS), cores))
+    return cores * math.ceil(rows / (cores * MOST_PARTITION_ROWS))
+
 
 @dataclass(frozen=True)
 class TreeSettings:
@@ -78,11 +88,14 @@ def train(df: DataFrame, settings: TreeSettings = TreeSettings(), logit: bool =
     return _fit(df, _trees(settings, "label"), logit)
 
 
-def _fit(df: DataFrame, trees: GBTRegressor, logit: bool) -> PipelineModel:
+def _fit(df: DataFrame, trees: GBTRegressor, logit: bool, at_once: int = 1) -> PipelineModel:
+    """``at_once``: fits that share the cores. Two partitions for each of a fit's cores then fill the gaps of the others."""
     y = rating_to_logit(F.col("rating")) if logit else F.col("rating")
     # indexing, encoding and trees all read these columns, so they are derived once
     rows = materialise(_numeric(df).select("category", "venue_type", *[f"x_{c}" for c in NUMERIC], y.alias("label")))
-    rows = rows.repartition(max(1, math.ceil(rows.count() / PARTITION_ROWS))).persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = cores if at_once == 1 else math.ceil(2 * cores / at_once)
+    rows = rows.repartition(training_partitions(rows.count(), cores)).persist()
     try:
         return Pipeline(stages=[*design_stages(), trees]).fit(rows)
     finally:
@@ -131,7 +144,7 @@ def cross_validate(
 
     def fit(k: int) -> tuple[int, float]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
-        model = _fit(rows.filter(F.col("fold") != k), trees.copy(), logit)
+        model = _fit(rows.filter(F.col("fold") != k), trees.copy(), logit, folds)
         return k, float(scorer.evaluate(predict(model, rows.filter(F.col("fold") == k), logit)))
 
     with ThreadPool(folds) as pool:

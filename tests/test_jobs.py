@@ -212,6 +212,10 @@ def test_view_series_fills_gaps(spark):
     assert (stats.total, stats.today, stats.last_7_days, stats.last_30_days) == (7, 2, 2, 7)
 
 
+def test_training_partitions_grow_with_rows_then_with_cores():
+    assert [md.training_partitions(n, 12) for n in (0, 1, 20_001, 100_000, 1_200_000, 7_200_000, 30_000_000)] == [1, 1, 2, 5, 12, 12, 36]
+
+
 @pytest.mark.parametrize("as_folder", [False, True])
 def test_stream_queries_read_a_file_or_a_folder(spark, tmp_path, as_folder):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).toPandas()
