@@ -283,6 +283,17 @@ def test_similar_texts_equal_brute_force(spark, centres, monkeypatch):
     assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {i for i, _ in data if root(i) == i}
 
 
+def test_fingerprints_join_near_copies_before_the_shingles(spark):
+    base = " ".join(f"w{i * 37 % 101}" for i in range(300))
+    data = [(i, base + f" tail{i % 40}") for i in range(120)] + [(200, "another text altogether with words of its own")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    own = docs.select(F.col("doc_id").alias("__i"), near_dedup.text_mark(F.col("text")).alias("h"), F.col("text").alias("__x"))
+    named = own.mapInArrow(near_dedup._named(5, 2, 2), "__i long, h long, fp long, n int, sketch binary, print long")
+    pairs = near_dedup.fingerprint_pairs(named).collect()
+    assert len({r.v for r in pairs} | {r.u for r in pairs}) >= 20 and len(pairs) <= 31 * 40  # by masks and texts, not by pairs of texts
+    assert [r.doc_id for r in near_dedup.keep_one_similar(docs).orderBy("doc_id").collect()] == [0, 200]
+
+
 def test_digest_index(spark, docs, rows):
     index = DigestIndex(spark, buckets=3)
     first = index.add(docs).collect()
