@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from savorgrid.session import materialise
 
-from .textcore import LOWER, PrefixHash, chunks, mix
+from .textcore import LOWER, PrefixHash, chunks, freeing, mix
 
 TRIGGER = 32  # one window of words in so many ends a chunk
 LONGEST = 512  # words of a chunk at most, besides the overlap
 BITS = 24  # of the maps that say which shorter phrases are frequent: 2 MB each, however large the corpus
-BATCH = 8 << 20  # bytes of chunks counted at once
+BATCH = 4 << 20  # bytes of chunks counted at once
+PARSED = 1 << 20  # bytes of texts parsed at once; the working arrays take up to a hundred times as many
 SALTS = 16  # parts over which the phrases that share a first or last part are spread
 
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -49,9 +50,10 @@ def _parse(overlap: int):
     """Chunks of every text: (lang, chunk, owned). A chunk ends ``overlap`` words after the place where the
     next one begins; phrases that begin among its first ``owned`` tokens are its own."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, buf, off in chunks(batch.column(1), 4 << 20):
+            for first, last, buf, off in chunks(batch.column(1), PARSED):
                 buf = LOWER[buf]
                 at, to, row = tokens_of(buf, off)
                 n = len(at)
@@ -171,6 +173,7 @@ def _joined(held: list[pa.RecordBatch]) -> _Chunks:
 
 
 def _count_hashes(width: int, maps):
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             at, hashes = block.phrases(width, maps.value)
@@ -183,6 +186,7 @@ def _count_hashes(width: int, maps):
 def _count_texts(widths: range, maps):
     """Phrases by text; with maps only those that are in the map of their width."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
             for width in widths:
@@ -200,6 +204,7 @@ def _count_texts(widths: range, maps):
     return run
 
 
+@freeing
 def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:

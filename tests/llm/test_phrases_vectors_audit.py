@@ -70,6 +70,13 @@ def test_phrase_maps_only_filter(spark, rows, monkeypatch):
     assert sorted(map(tuple, got)) == phrases_by_hand(rows, 4)
 
 
+def test_phrase_maps_give_memory_back():
+    from savorgrid.llm import phrases as ph
+
+    maps = [ph._parse(4), ph._count_hashes(2, None), ph._count_texts(range(1, 2), None), ph._word_hashes]
+    assert all(hasattr(f, "__wrapped__") for f in maps)
+
+
 def test_parse_covers_every_token_once(spark, rows):
     got = parse(docs_of(spark, rows), overlap=4).collect()
     tokens = Counter()
