@@ -1,24 +1,30 @@
-"""A similarity join of texts that loses no pair: prefix filters on numbered characters and character pairs.
-
-The similarity is 2 M / (|a| + |b|), M the characters in common blocks. If it is at least t, then of the
-characters of ``a``, numbered by occurrence, at least t |a| / (2 - t) are among those of ``b``. So any
-|a| - t |a| / (2 - t) + 1 of them, here the rarest, hold one that ``b`` has too. Likewise for pairs of
-neighbouring characters: blocks are fewer than the characters left over plus two, so at most
-max(2 / (2 - t), 1 / t) 2 |a| (1 - t) pairs of ``a`` are broken up. Pairs are rarer, and are used wherever
-t is so high that a prefix of them exists.
+"""A similarity join of texts that loses no pair, by blocks of texts of like sizes.
+
+The similarity is 2 M / (|a| + |b|), M the characters in common blocks, so at most those that both texts
+have. Low thresholds leave no selective token to join on: most names share some of their rarest characters
+or pairs of characters. So both sides are dealt into bounded blocks by size, each pair of blocks whose
+sizes fit meets in one group, and a product of 0/1 matrices counts the common characters of all its pairs
+at once. Blocks keep their order, so the longest common subsequence bounds M too, and closer. Only pairs
+that have enough of both go on to the comparison.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import name_tokens, ratio_column
+from ..functions.similarity import common_letters, common_sequence, ratio_column
 from ..session import materialise
 
-HOT_ROWS = 20_000  # texts with one token that are met in one place; more are spread over several
+HOT_ROWS = 20_000  # texts with one token, or rows of one name, that are met in one place at most; more are spread over several
+BLOCK = 1_000  # texts of a side that meet those of the other in one group, about
 
 _SLACK = 1e-9
+_STEP = 1.15  # sizes of a block differ by this factor at most
 
 
 def dealt(rows: DataFrame, *by: str) -> DataFrame:
@@ -27,17 +33,17 @@ def dealt(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
 
 
-def with_tokens(texts: DataFrame, name: str) -> DataFrame:
-    """Adds ``size``, ``letters`` and ``grams`` of the column ``name``."""
-    return texts.withColumn("_t", name_tokens(name)).select(
-        *texts.columns, F.char_length(name).alias("size"), F.col("_t.letters").alias("letters"), F.col("_t.grams").alias("grams")
-    )
+def in_blocks(left: DataFrame, right: DataFrame, by: str, left_id: Iterable[str], right_id: Iterable[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``lp`` and ``rp``: every two rows equal in ``by`` are together in one (by, lp, rp), and
+    no such group has many more than ``block`` rows of a side, however many a value of ``by`` has."""
+    places = lambda rows, p: rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(p))
+    sizes = materialise(places(left, "lps").join(places(right, "rps"), by))
 
+    def side(rows: DataFrame, own: str, other: str, ids: Iterable[str]) -> DataFrame:
+        placed = rows.join(sizes, by).withColumn(own, F.pmod(F.xxhash64(*ids), F.col(f"{own}s")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("lps", "rps")
 
-def _prefix(size: Column, t: Column) -> tuple[Column, Column]:
-    """How many of the rarest pairs, and how many of the rarest characters, hold one in common."""
-    broken = F.greatest(2 / (2 - t), 1 / t) * 2 * size * (1 - t)
-    return F.floor(broken + _SLACK) + 1, size - F.ceil(t * size / (2 - t) - _SLACK) + 1
+    return side(left, "lp", "rp", left_id), side(right, "rp", "lp", right_id)
 
 
 def _spread(tokens: DataFrame, counts: DataFrame, by: str) -> DataFrame:
@@ -46,6 +52,22 @@ def _spread(tokens: DataFrame, counts: DataFrame, by: str) -> DataFrame:
     return placed.drop("places", "count")
 
 
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / float(np.log(_STEP)) + _SLACK).cast("int")
+
+
+def _close_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a group that have enough characters in common."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"n": [], "m": [], "t": []}).astype({"n": str, "m": str, "t": float})
+    n, m, t = left["n"].to_numpy(), right["m"].to_numpy(), left["t"].to_numpy()
+    total = np.add.outer([len(x) for x in n], [len(x) for x in m])
+    i, j = np.nonzero(2 * common_letters(n, m) >= (t[:, None] - _SLACK) * total)
+    enough = 2 * common_sequence(n, m, i, j) >= (t[i] - _SLACK) * total[i, j]
+    i, j = i[enough], j[enough]
+    return pd.DataFrame({"n": n[i], "m": m[j], "t": t[i]})
+
+
 def similar_texts(left: DataFrame, right: DataFrame, both: bool = False) -> DataFrame:
     """(n, m, ratio): every n of ``left`` and m of ``right`` whose similarity is at least n's ``t``. It depends
     a little on the order; ``both`` adds ``back``, that of m to n, and each is null below t.
@@ -53,26 +75,18 @@ def similar_texts(left: DataFrame, right: DataFrame, both: bool = False) -> Data
     ``left``: different texts n with t in (0, 1]; ``right``: different texts m. Empty texts are similar to
     the empty text alone.
     """
-    a, b = materialise(with_tokens(left, "n")), materialise(with_tokens(right, "m"))
-    tokens = b.select("m", F.col("size").alias("size_m"), F.explode(F.concat("letters", "grams")).alias("token"))
-    counts = tokens.groupBy("token").count()
-    counts = materialise(counts.withColumn("places", F.ceil(F.col("count") / HOT_ROWS).cast("int")))
-
-    by_pair, by_letter = _prefix(F.col("size"), F.col("t"))
-    pairs_do = by_pair <= F.size("grams")
-    rows = a.select("n", "t", "size", F.when(pairs_do, by_pair).otherwise(by_letter).alias("need"), F.explode(F.when(pairs_do, F.col("grams")).otherwise(F.col("letters"))).alias("token"))
-    rows = rows.join(counts, "token", "left").withColumn("_i", F.row_number().over(Window.partitionBy("n").orderBy(F.coalesce("count", F.lit(0)), "token")))
-    rows = rows.where(F.col("count").isNotNull() & (F.col("_i") <= F.col("need")))
-    rows = rows.select("token", "n", "t", "size", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-
-    fits = (F.col("size_m") >= F.col("size") * F.col("t") / (2 - F.col("t")) - _SLACK) & (F.col("size_m") <= F.col("size") * (2 - F.col("t")) / F.col("t") + _SLACK)
-    rows, tokens = dealt(rows, "token", "place"), dealt(_spread(tokens, counts, "m"), "token", "place")
-    met = dealt(rows.join(tokens, ["token", "place"]).where(fits).select("n", "m").distinct(), "n", "m")
-    known = met.join(a.select("n", "t", F.col("letters").alias("of_n")), "n").join(b.select("m", F.col("letters").alias("of_m")), "m")
-    common = 2 * F.size(F.array_intersect("of_n", "of_m"))
-    close = known.where(common >= (F.col("t") - _SLACK) * (F.size("of_n") + F.size("of_m"))).select("n", "m", "t")
+    size = F.char_length("n")
+    least, most = size * F.col("t") / (2 - F.col("t")) - _SLACK, size * (2 - F.col("t")) / F.col("t") + _SLACK
+    # one class more on both sides, so that no rounding of a logarithm loses one
+    classes = F.sequence(_size_class(least) - 1, _size_class(most) + 1)
+    a = materialise(left.where("n <> ''").select("n", F.col("t").cast("double").alias("t"), F.explode(classes).alias("class")))
+    b = materialise(right.where("m <> ''").select("m", _size_class(F.char_length("m")).alias("class")))
+    a, b = in_blocks(a, b, "class", ["n"], ["m"], min(BLOCK, HOT_ROWS))
+    key = ["class", "lp", "rp"]
+    met = dealt(a, *key).groupBy(*key).cogroup(dealt(b, *key).groupBy(*key))
+    close = met.applyInPandas(_close_in_block, "n string, m string, t double")
     empty = left.where("n = ''").select("n", "t").join(right.where("m = ''").select("m"), F.col("n") == F.col("m"))
-    close = dealt(close.unionByName(empty.select("n", "m", "t")), "n", "m")
+    close = dealt(close.unionByName(empty.select("n", "m", F.col("t").cast("double").alias("t"))), "n", "m")
     ways = [ratio_column(F.col("n"), F.col("m"), F.col("t")).alias("ratio")]
     if both:
         ways.append(ratio_column(F.col("m"), F.col("n"), F.col("t")).alias("back"))

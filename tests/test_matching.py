@@ -2,8 +2,11 @@
 
 import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -333,3 +336,41 @@ def test_register_equals_loop(spark, small_tiles):
     want = register_by_hand([tuple("" if x is None and i != 2 else x for i, x in enumerate(r)) for r in plain], [tuple(r) for r in entries])
     got = {r.id: (round(r.confidence, 9), r.register_ord) for r in fz.match_register(vdf, rdf).collect()}
     assert got == want and len(want) > 20
+
+
+def test_blocks_let_few_dissimilar_texts_through():
+    from savorgrid.functions.similarity import common_letters, common_sequence
+
+    rng = random.Random(6)
+    xs, ys = random_texts(rng, 80) + ["é" * 70 + "ab"], random_texts(rng, 80) + ["ab" + "é" * 90]
+    both = common_letters(xs, ys)
+    assert all(both[i, j] == sum((Counter(x) & Counter(y)).values()) for i, x in enumerate(xs) for j, y in enumerate(ys))
+    i, j = (k.ravel() for k in np.indices((len(xs), len(ys))))
+    for a, b, most in zip(i, j, common_sequence(xs, ys, i, j), strict=True):
+        assert most >= sum(k.size for k in SequenceMatcher(None, xs[a], ys[b]).get_matching_blocks())
+    # the same letters in another order: only the sequence tells them apart
+    left = ["".join(rng.sample("abcdefghijklmnopqrst", 20)) for _ in range(200)]
+    met = sm._close_in_block(pd.DataFrame({"n": left, "t": 0.7}), pd.DataFrame({"m": left}))
+    assert set(zip(left, left, strict=True)) <= set(zip(met["n"], met["m"], strict=True)) and len(met) < 500
+
+
+def test_price_list_meets_only_names_that_could_win(spark, monkeypatch):
+    """Copies of an entry are matched once, and an address under a similar name bounds which other names are met."""
+    rng = random.Random(9)
+    words = ["gear", "ring", "bolt", "mill", "quai", "zest", "wok", "fjord"]
+    ns = sorted({" ".join(rng.sample(words, 4)) for _ in range(60)})
+    vs = [(i, ns[i % len(ns)], f"Rue Haute {i % 25}" if i % 6 else None) for i in range(600)]
+    ps = [(i, ns[i % 20].replace("e", ""), f"Rue Haute {i % 25}" if i % 5 else "") for i in range(300)] + [(900, ns[3], "Rue Haute 4"), (901, None, "x")]
+    rows = []
+    met = fz._best_venues
+    monkeypatch.setattr(fz, "_best_venues", lambda r, *rest: (rows.append(r.count()), met(r, *rest))[1])
+    got = fz.match_price_list(spark.createDataFrame(vs, "id bigint, name string, address string"), spark.createDataFrame(ps, "entry bigint, name string, address string")).collect()
+    assert len(got) == 301 and max(rows) < 301 * 3  # of 60 names
+    forms = {a: a.lower().replace("rue", "r") if a else "" for a in {x[2] for x in vs + ps}}
+    for r in got:
+        _, n, a = next(p for p in ps if p[0] == r.entry)
+        best = (0.0, 0)
+        for vid, m, b in vs:
+            s = 0.7 * ratio(n, m) + 0.3 * ratio(forms[a], forms[b])
+            best = max(best, (min(1.0, s + 0.2) if n == m else s, -vid))
+        assert (r.match_id, r.match_score) == (-best[1], pytest.approx(best[0]))
