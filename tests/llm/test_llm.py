@@ -8,6 +8,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -294,6 +296,21 @@ def test_fingerprints_join_near_copies_before_the_shingles(spark):
     assert [r.doc_id for r in near_dedup.keep_one_similar(docs).orderBy("doc_id").collect()] == [0, 200]
 
 
+@pytest.mark.parametrize("at,some", [(5, True), (9, False)])
+def test_a_shared_shingle_too_late_for_both_proposes_no_pair(at, some):
+    """400 texts of 60 shingles share one. From the tenth place on, the 51 that are left are fewer than the 54 that
+    two such texts need in common; a pair that has more shares an earlier one, in whose bucket it is found."""
+    k, found = 400, 0
+    rows = [np.zeros(k, np.int64), np.arange(k), np.full(k, 60), np.full(k, at), np.arange(k)]
+    while len(rows[0]):
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["h", "fp", "n", "at", "root"])
+        out = pa.Table.from_batches(near_dedup._candidates(0.8, 16)([batch]))
+        found += out.num_rows - out["u"].null_count
+        left = out.filter(pc.is_valid(out["h"]))
+        rows = [left[c].to_numpy() for c in ("h", "fp", "n", "at", "fp")]
+    assert found == (k * (k - 1) // 2 if some else 0)
+
+
 def test_digest_index(spark, docs, rows):
     index = DigestIndex(spark, buckets=3)
     first = index.add(docs).collect()
