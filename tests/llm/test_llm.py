@@ -311,6 +311,12 @@ def test_a_shared_shingle_too_late_for_both_proposes_no_pair(at, some):
     assert found == (k * (k - 1) // 2 if some else 0)
 
 
+def test_common_shingles_are_known_however_many_texts_there_are(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SAMPLE", 10)
+    rows = [(" ".join([f"a{i} b{i} c{i} d{i} e{i}"] + (["one line that many texts have"] if i % 8 == 0 else [])),) for i in range(400)]
+    assert len(near_dedup.common_shingles(spark.createDataFrame(rows, "text string"), 5, 400)) == 2  # both shingles of the line
+
+
 def test_digest_index(spark, docs, rows):
     index = DigestIndex(spark, buckets=3)
     first = index.add(docs).collect()
