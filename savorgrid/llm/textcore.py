@@ -105,11 +105,13 @@ class PrefixHash:
 
 def freeing(run: Callable) -> Callable:
     """``run``, a map over Arrow batches, which gives memory back when its rows are through: workers live on
-    and wait for other tasks, and what their allocators keep adds up in an executor."""
+    and wait for other tasks, and what their allocators and the tables of powers keep adds up in an executor."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _POWERS, _INVERSES
         yield from run(batches)
+        _POWERS = _INVERSES = _POWERS[:1].copy()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
         if trim:

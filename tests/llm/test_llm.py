@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from savorgrid.llm import near_dedup, queries, sentencepiece_codec, simhash, suffix_dedup
+from savorgrid.llm import near_dedup, queries, sentencepiece_codec, simhash, suffix_dedup, textcore
 from savorgrid.llm.exact_dedup import DigestIndex
 from savorgrid.llm.graph import components
 from savorgrid.llm.language_id import LanguageModel
@@ -317,6 +318,33 @@ def test_common_shingles_are_known_however_many_texts_there_are(spark, monkeypat
     assert len(near_dedup.common_shingles(spark.createDataFrame(rows, "text string"), 5, 400)) == 2  # both shingles of the line
 
 
+def test_shingles_are_added_up_in_stretches_of_bounded_memory():
+    """4 MB of texts that share a line: a row of each shingle and stretch, and small working arrays."""
+    texts = pa.array([" ".join([*(f"w{i}x{j}" for j in range(400)), "one line that all texts have"]) for i in range(1500)])
+    textcore._powers(1)  # not the tables of powers
+    tracemalloc.start()
+    out = pa.Table.from_batches(near_dedup._all_shingles(5)([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = Counter()
+    for h, k in zip(out["h"].to_pylist(), out["n"].to_pylist(), strict=True):
+        n[h] += k
+    assert out.num_rows < len(n) + 10 and sum(n.values()) == 1500 * 402 and Counter(n.values()) == {1500: 2, 1: 1500 * 400}
+    assert peak < 60e6
+    assert len(textcore._POWERS) == len(textcore._INVERSES) == 1  # nor do those stay when a worker's rows are through
+    assert len(textcore.PrefixHash(np.frombuffer(b"ab ab", np.uint8)).spans(np.array([0, 3]), np.array([2, 5]))) == 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_frequent_shingles_are_found_across_batches(size):
+    h = np.array([-9, -9, -9, -1, 4, 4, 7, 8, 8, 8, 8])
+    n = np.array([3, 3, 2, 7, 8, 1, 8, 1, 1, 1, 4], dtype=np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[i : i + size]), pa.array(n[i : i + size])], names=["h", "n"]) for i in range(0, len(h), size)]
+    out = pa.Table.from_batches(near_dedup._frequent(8)(batches))
+    assert list(zip(out["h"].to_pylist(), out["n"].to_pylist(), strict=True)) == [(-9, 8), (4, 9), (7, 8)]
+    assert pa.Table.from_batches(near_dedup._frequent(8)([batches[0].slice(0, 0)])).num_rows == 0
+
+
 def test_digest_index(spark, docs, rows):
     index = DigestIndex(spark, buckets=3)
     first = index.add(docs).collect()
