@@ -36,6 +36,11 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _forget_tokenizers() -> None:
+    """Two of them and their caches are tens of MB in every worker that lives on and waits for other maps."""
+    _TOKENIZERS.clear()
+
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCT = np.zeros(256, dtype=bool)
@@ -198,6 +203,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text_c
                     ],
                     names=[*rest, *[f.name for f in added]],
                 )
+        _forget_tokenizers()
 
     return docs.mapInArrow(run, StructType([*docs.drop("__text").schema.fields, *added]))
 

@@ -23,7 +23,7 @@ from savorgrid.llm.graph import components
 from savorgrid.llm.language_id import LanguageModel
 from savorgrid.llm.licenses import TEMPLATES, TemplateIndex, scan_licenses, shingles, windows_of
 from savorgrid.llm.lm_score import Discounts, KatzScorer
-from savorgrid.llm.packing import _plan, pack, packing_plan
+from savorgrid.llm.packing import _plan, pack, packing_plan, tokenised_pieces
 from savorgrid.llm.quality import quality_rules
 from savorgrid.llm.shards import shard_by_bytes
 
@@ -335,6 +335,17 @@ def test_shingles_are_added_up_in_stretches_of_bounded_memory():
     assert len(textcore.PrefixHash(np.frombuffer(b"ab ab", np.uint8)).spans(np.array([0, 3]), np.array([2, 5]))) == 2
 
 
+def test_workers_keep_no_tokenizers(spark, docs):
+    def held(batches):
+        from savorgrid.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._TOKENIZERS)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert tokenised_pieces(docs.select("doc_id", "text"), queries.tokenizer_file("word_bpe_49k.json"), 2048).count()
+    assert spark.range(8).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 100])
 def test_frequent_shingles_are_found_across_batches(size):
     h = np.array([-9, -9, -9, -1, 4, 4, 7, 8, 8, 8, 8])
