@@ -5,9 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -22,6 +20,7 @@ from ..functions.numeric import half_even, logit_to_rating, rating_to_logit
 from ..operators.cells import hex_table, label_clusters
 from ..operators.ranking import positions
 from ..session import materialise
+from . import boosting
 
 NUMERIC = [
     "log_review_count", "price_numeric", "is_chain", "hex_restaurant_count",
@@ -135,20 +134,23 @@ def cross_validate(
 ) -> DataFrame:
     """fold, r2 and their mean and spread (twice the standard deviation).
 
-    The folds are fitted at the same time, each from a thread and in a scheduler pool of its own: one fit
-    alone waits for its short jobs and leaves most cores idle.
+    The trees of all folds are grown together, so that a pass over the rows serves every fold.
     """
-    rows = materialise(contiguous_folds(df.select("id", "category", "venue_type", *NUMERIC, "rating"), folds))
+    trees = _trees(settings, "label")
+    placed = contiguous_folds(df.select("id", "category", "venue_type", *NUMERIC, "rating"), folds)
+    y = rating_to_logit(F.col("rating")) if logit else F.col("rating")
+    inputs = [f"x_{c}" for c in NUMERIC]
+    rows = _numeric(placed).select("fold", "category", "venue_type", *inputs, y.cast("double").alias("label"), F.col("rating").cast("double").alias("rating"))
+    rows = materialise(rows)
+    plan, totals = boosting.design(rows, inputs, ["category", "venue_type"], folds, trees.getMaxBins())
+    spark = df.sparkSession
+    partitions = training_partitions(sum(totals) // max(folds - 1, 1), spark.sparkContext.defaultParallelism)
+    grown = boosting.grow(rows, plan, totals, partitions, trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getMinInstancesPerNode())
+    raw = boosting.predict_held_out(rows, plan, grown, trees.getStepSize())
+    expected = logit_to_rating(F.col("raw_prediction")) if logit else F.col("raw_prediction")
+    predicted = materialise(raw.select("fold", "rating", expected.alias("predicted_rating")))
     scorer = RegressionEvaluator(labelCol="rating", predictionCol="predicted_rating", metricName="r2")
-    spark, trees = df.sparkSession, _trees(settings, "label")
-
-    def fit(k: int) -> tuple[int, float]:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{k}")
-        model = _fit(rows.filter(F.col("fold") != k), trees.copy(), logit, folds)
-        return k, float(scorer.evaluate(predict(model, rows.filter(F.col("fold") == k), logit)))
-
-    with ThreadPool(folds) as pool:
-        scores = pool.map(inheritable_thread_target(spark)(fit), range(folds), chunksize=1)
+    scores = [(k, float(scorer.evaluate(predicted.filter(F.col("fold") == k)))) for k in range(folds)]
     mean = sum(s for _, s in scores) / folds
     spread = 2 * math.sqrt(sum((s - mean) ** 2 for _, s in scores) / folds)
     return spark.createDataFrame(

@@ -5,6 +5,7 @@ import os
 import re
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +273,53 @@ def test_cross_validation_in_threads(spark):
     )
     rows = md.cross_validate(df, md.TreeSettings(iterations=3, depth=2, min_leaf=1), folds=3).collect()
     assert [r.fold for r in rows] == [0, 1, 2] and all(r.r2 > 0.4 for r in rows)
+
+
+def _random_features(spark, n):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 7))
+    y = 4 + 0.3 * x[:, 0] + 0.2 * np.sin(3 * x[:, 1]) + 0.1 * rng.normal(size=n)
+    rows = [
+        (f"p{i:04}", "rare" if i in (3, 5) else None if i % 50 == 0 else f"c{rng.integers(4)}", f"v{rng.integers(3)}", *x[i].tolist(), float(y[i]))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "id string, category string, venue_type string, " + ", ".join(f"{c} double" for c in md.NUMERIC) + ", rating double")
+
+
+@pytest.mark.parametrize("logit", [False, True])
+def test_trees_of_all_folds_are_those_of_single_fits(spark, logit):
+    df = _random_features(spark, 600)  # fold 0 has a level that its fit has not seen
+    settings = md.TreeSettings(iterations=5, depth=4, min_leaf=5)
+    got = {r.fold: r.r2 for r in md.cross_validate(df, settings, 3, logit).collect()}
+    placed = md.contiguous_folds(df, 3).persist()
+    for k in range(3):
+        model = md.train(placed.filter(F.col("fold") != k), settings, logit)
+        held = md.predict(model, placed.filter(F.col("fold") == k), logit).select("rating", "predicted_rating").toPandas()
+        want = 1 - ((held.rating - held.predicted_rating) ** 2).sum() / ((held.rating - held.rating.mean()) ** 2).sum()
+        assert got[k] == pytest.approx(want, abs=1e-6)
+    placed.unpersist()
+
+
+def test_more_folds_take_no_more_passes(spark):
+    df = _random_features(spark, 120).persist()
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for folds in (2, 5):
+        group = f"passes-of-{folds}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            md.cross_validate(df, md.TreeSettings(iterations=4, depth=3, min_leaf=5), folds).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    assert jobs[1] <= jobs[0] + 2 * 3  # the figures of three more folds
+
+
+def test_trees_do_not_depend_on_partitions(spark, monkeypatch):
+    df = _random_features(spark, 300).persist()
+    settings, got = md.TreeSettings(iterations=22, depth=3, min_leaf=5), []  # so many that the state is written once
+    for parts, block, direct in ((1, 1 << 17, 16), (5, 16, 16), (5, 16, 2)):
+        monkeypatch.setattr(md, "training_partitions", lambda rows, cores, parts=parts: parts)
+        monkeypatch.setattr(md.boosting, "BLOCK", block)
+        monkeypatch.setattr(md.boosting, "DIRECT", direct)
+        got.append([r.r2 for r in md.cross_validate(df, settings, 3).collect()])
+    assert got[1] == pytest.approx(got[0], abs=1e-12) and got[2] == pytest.approx(got[0], abs=1e-12)
