@@ -166,24 +166,35 @@ class RadiusCells:
         row = self._row(lat)
         reach = F.greatest(self._width(row - 1), self._width(row + 1))
         low, high = self._east(lng) - reach, self._east(lng) + reach
+        parts = [self._keys(row + F.lit(d), self._columns(row + F.lit(d), low, high)) for d in (-1, 0, 1)]
+        return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*parts))
+
+    def touched(self, lat: Column, lng: Column, radius_m: float) -> Column:
+        """The cells that points within ``radius_m`` of a place can lie in: few if cells are much wider."""
+        near = F.lit(radius_m / 1000.0 / KM_PER_DEGREE)
+        far = F.abs(lat) + near
+        wide = F.when(far > 89.0, F.lit(360.0)).otherwise(near / F.cos(F.radians(far)))
+        low, high = self._east(lng) - wide, self._east(lng) + wide
+        rows = F.sequence(self._row(lat - near), self._row(lat + near))
+        keys = F.flatten(F.transform(rows, lambda r: self._keys(r, self._columns(r, low, high))))
+        return F.when(lat.isNotNull() & lng.isNotNull(), keys)
+
+    def _columns(self, row: Column, low: Column, high: Column) -> Column:
+        """Columns of a row between two degrees east of the date line, which may lie beyond it."""
+        w = self._width(row)
+        last = F.floor(F.lit(360.0) / w).cast("bigint")
         none = F.array().cast("array<bigint>")
-        parts = []
-        for d in (-1, 0, 1):
-            r = row + F.lit(d)
-            w = self._width(r)
-            last = F.floor(F.lit(360.0) / w).cast("bigint")
 
-            def column(degrees: Column) -> Column:
-                return F.least(F.greatest(F.floor(degrees / w).cast("bigint"), F.lit(0).cast("bigint")), last)
+        def column(degrees: Column) -> Column:
+            return F.least(F.greatest(F.floor(degrees / w).cast("bigint"), F.lit(0).cast("bigint")), last)
 
-            # the row is a ring: what reaches over the date line goes on at its other end
-            cols = F.concat(
-                F.sequence(column(low), column(high)),
-                F.when(low < 0, F.sequence(column(low + 360.0), last)).otherwise(none),
-                F.when(high >= 360.0, F.sequence(F.lit(0).cast("bigint"), column(high - 360.0))).otherwise(none),
-            )
-            parts.append(self._keys(r, F.array_distinct(cols)))
-        return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*parts))
+        # the row is a ring: what reaches over the date line goes on at its other end
+        cols = F.concat(
+            F.sequence(column(low), column(high)),
+            F.when(low < 0, F.sequence(column(low + 360.0), last)).otherwise(none),
+            F.when(high >= 360.0, F.sequence(F.lit(0).cast("bigint"), column(high - 360.0))).otherwise(none),
+        )
+        return F.array_distinct(cols)
 
     def reach(self, lat: Column, lng: Column, km: Column) -> Column:
         """array<struct<row, col, cell>>: the cells that points within ``km`` of a place can lie in, and a few more."""

@@ -1,10 +1,12 @@
 """Matching place records from two sources by distance and name.
 
-A radius join is an equi-join on grid cells. Copies (same comparable name at the same
-point) are collapsed before it. In a cell with few records of the answering side everyone
-meets; in a crowded one, known from a table of counts, the join key also carries a piece of
-the name, chosen so that no pair the text rules accept is lost. What is left per record is
-folded to its first match while still map-side.
+A radius join is an equi-join on tiles several times as wide as the radius: the larger side is
+shuffled as it is, the smaller one with a copy for each tile that its surroundings touch, some
+two a record. Copies (same comparable name at the same point) are collapsed before it. Who shares
+a tile meets; what is too far off by its degrees goes first, and words are only compared
+where bit masks let two be shared. In a crowded cell, known from a table of counts, the join key also
+carries a piece of the name, chosen so that no pair the text rules accept is lost. What is left per
+record is folded to its first match while still map-side.
 
 The sides are written once and met by sorting: what Spark knows of a file is its compressed size, and repeated
 names compress so well that it would send millions of rows through the driver as a broadcast.
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..context import CityPack
-from ..functions.geo import RadiusCells, haversine_m
+from ..functions.geo import KM_PER_DEGREE, RadiusCells, haversine_m
 from ..functions.text import key_name, normalise_endings, normalise_quotes, words
 from ..session import ensure_checkpoint_dir, materialise
 from .filters import worthwhile_candidates
@@ -26,8 +28,12 @@ from .filters import worthwhile_candidates
 #: Lengths of name pieces; the longest that fits into a name opens its key.
 GRAMS = [8, 4, 2, 1]
 
-#: A cell with more records of the answering side is crowded. Every other record meets at most nine times as many.
-CROWD = 64
+#: A cell with more records of the answering side is crowded. There a record is written some hundred times, once for
+#: each piece of its name, where else it is written once or twice and held against those around it.
+CROWD = 1024
+
+#: Width of a tile in radii. Wider ones take fewer copies, and more records meet that are too far off.
+TILE = 4
 
 NameRule = Callable[[Column], Column]
 
@@ -42,6 +48,19 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(words(a), words(b)))
 
 
+def word_mask(name: Column) -> Column:
+    """A bit of 63 for each word; the sign bit says that two words have the same one."""
+    ws = words(name)
+    bits = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))
+    mask = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+    return F.when(F.size(F.array_distinct(bits)) < F.size(ws), mask.bitwiseOR(F.lit(-(1 << 63)))).otherwise(mask)
+
+
+def may_share_two(a: Column, b: Column) -> Column:
+    """Whether names of these masks can have two words in common; true wherever they do."""
+    return (a < 0) | (F.bit_count(a.bitwiseAND(b)) >= 2)
+
+
 def _prefix_key(name: Column) -> Column:
     opening = F.lit("")
     for n in reversed(GRAMS):
@@ -86,9 +105,9 @@ def _collapse(df: DataFrame, rule: NameRule, order: str, prefix: str) -> DataFra
 
 
 def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool, crowd: int) -> DataFrame:
-    """Pairs in the same or touching cells that can satisfy the text rules.
+    """Pairs that can be near enough and can satisfy the text rules.
 
-    Where at most ``crowd`` records of ``v`` are at home, a cell is the whole key. In the others the side
+    Where at most ``crowd`` records of ``v`` are at home in a cell, its tile is the whole key. In the others the side
     whose name may be the inner one looks around with its opening, and the other one answers at home with
     all its pieces; a pair's path depends on the cell of ``v`` alone, so each path is whole by itself.
     """
@@ -109,10 +128,10 @@ def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool, crowd:
 
     at_home = v.withColumn("cell", home("v"))
     crowded = materialise(at_home.groupBy("cell").count().filter(F.col("count") > crowd).select("cell"))
-    looking = e.withColumn("cell", around("e"))
-    met = looking.join(at_home.join(crowded, "cell", "left_anti").hint("merge"), "cell").drop("cell")
     if crowded.isEmpty():
-        return met
+        return _met(e, v, radius_m)
+    met = _met(e, at_home.join(crowded, "cell", "left_anti").drop("cell"), radius_m)
+    looking = e.withColumn("cell", around("e"))
     en, vn = F.col("en"), F.col("vn")
     v_crowded = at_home.join(crowded, "cell", "left_semi")
     inner_e = keyed(looking.join(crowded, "cell", "left_semi"), text_keys(en, _prefix_key)).join(
@@ -127,12 +146,37 @@ def _near(e: DataFrame, v: DataFrame, radius_m: float, with_words: bool, crowd:
     return met.unionByName(keyed_pairs)
 
 
+def _tiled(e: DataFrame, v: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tile where they meet: the larger one once, the other in every tile that it can reach."""
+    tiles = RadiusCells(TILE * radius_m)
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumn("tile", tiles.home(F.col(f"{side}lat"), F.col(f"{side}lng")))
+
+    def copied(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumn("tile", F.explode(tiles.touched(F.col(f"{side}lat"), F.col(f"{side}lng"), radius_m)))
+
+    return (copied(e, "e"), once(v, "v")) if e.count() < v.count() else (once(e, "e"), copied(v, "v"))
+
+
+def _in_reach(radius_m: float) -> Column:
+    """True of all pairs within the radius, and cheap: told by degrees alone."""
+    near, turn = radius_m / 1000.0 / KM_PER_DEGREE, F.abs(F.col("elng") - F.col("vlng"))
+    narrow = F.cos(F.radians(F.least(F.abs(F.col("elat")) + F.lit(near), F.lit(90.0))))
+    return (F.abs(F.col("elat") - F.col("vlat")) <= near) & (F.least(turn, F.abs(F.lit(360.0) - turn)) * narrow <= near)
+
+
+def _met(e: DataFrame, v: DataFrame, radius_m: float) -> DataFrame:
+    """All pairs that can be within the radius."""
+    mine, theirs = _tiled(e, v, radius_m)
+    return mine.join(theirs.hint("merge"), "tile").filter(_in_reach(radius_m)).drop("tile")
+
+
 def _same_name(e: DataFrame, v: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of equal names in the same or touching cells."""
-    cells = RadiusCells(radius_m)
-    mine = e.withColumn("cell", F.explode(cells.around(F.col("elat"), F.col("elng"))))
-    theirs = v.withColumn("cell", cells.home(F.col("vlat"), F.col("vlng")))
-    return mine.join(theirs.hint("merge"), (mine["cell"] == theirs["cell"]) & (mine["en"] == theirs["vn"])).drop("cell")
+    """Pairs of equal names that can be within the radius."""
+    mine, theirs = _tiled(e, v, radius_m)
+    same = (mine["tile"] == theirs["tile"]) & (mine["en"] == theirs["vn"])
+    return mine.join(theirs.hint("merge"), same).filter(_in_reach(radius_m)).drop("tile")
 
 
 def _attach(external: DataFrame, rule: NameRule, best: DataFrame) -> DataFrame:
@@ -150,17 +194,22 @@ def match_by_name_then_place(external: DataFrame, venues: DataFrame, order: str
     v = _collapse(venues, normalise_quotes, order, "v")
     dist = haversine_m(F.col("elat"), F.col("elng"), F.col("vlat"), F.col("vlng"))
     en, vn = F.col("en"), F.col("vn")
-    same = _same_name(e, v, 100.0).filter(dist < 100).withColumn("step", F.lit(1))
+    same = _same_name(e, v, 100.0).filter(dist < 100).select("en", "elat", "elng", F.col("vord").alias("first"))
+    masked = e.withColumn("em", word_mask(en)), v.withColumn("vm", word_mask(vn))
+    two_words = may_share_two(F.col("em"), F.col("vm")) & (shared_words(en, vn) >= 2)
     akin = (
-        _near(e, v, 50.0, with_words=True, crowd=crowd)
-        .filter((dist < 50) & (contains_either(vn, en) | (shared_words(en, vn) >= 2)))
-        .withColumn("step", F.lit(2))
+        _near(*masked, 50.0, with_words=True, crowd=crowd)
+        .filter((dist < 50) & (contains_either(vn, en) | two_words))
+        .select("en", "elat", "elng", F.col("vord").alias("second"))
     )
     best = (
-        same.unionByName(akin)
+        same.unionByName(akin, allowMissingColumns=True)
         .groupBy("en", "elat", "elng")
-        .agg(F.min(F.struct("step", "vord")).alias("m"))
-        .select("en", "elat", "elng", F.col("m.vord").alias("match_id"), F.col("m.step").alias("match_step"))
+        .agg(F.min("first").alias("first"), F.min("second").alias("second"))
+        .select(
+            "en", "elat", "elng", F.coalesce("first", "second").alias("match_id"),
+            F.when(F.col("first").isNotNull(), 1).when(F.col("second").isNotNull(), 2).alias("match_step"),
+        )
     )
     return _attach(external, normalise_quotes, best)
 

@@ -374,3 +374,45 @@ def test_price_list_meets_only_names_that_could_win(spark, monkeypatch):
             s = 0.7 * ratio(n, m) + 0.3 * ratio(forms[a], forms[b])
             best = max(best, (min(1.0, s + 0.2) if n == m else s, -vid))
         assert (r.match_id, r.match_score) == (-best[1], pytest.approx(best[0]))
+
+
+@pytest.mark.parametrize("lat0, lng0", [(0.0, 4.3), (50.8, 179.999), (-89.2, -179.999), (88.9985, 20.0), (89.9995, 0.0)])
+def test_records_around_a_place_are_written_a_few_times(spark, lat0, lng0):
+    rng = random.Random(3)
+    spread = 0.004 / max(math.cos(math.radians(lat0)), 0.01)
+
+    def rows(n):
+        points = [(min(lat0 + rng.uniform(-0.002, 0.002), 90.0), lng0 + rng.uniform(-spread, spread)) for _ in range(n)]
+        return [(i, names(rng, 1)[0], lat, (lng + 180) % 360 - 180) for i, (lat, lng) in enumerate(points)]
+
+    small, large = rows(60), rows(150)
+    s, t = (spark.createDataFrame(x, "ext_id bigint, name string, lat double, lng double") for x in (small, large))
+    for mine, theirs, a, b in ((s, t, small, large), (t, s, large, small)):
+        e = mine.selectExpr("name as en", "lat as elat", "lng as elng")
+        v = theirs.selectExpr("name as vn", "lat as vlat", "lng as vlng", "ext_id as vord")
+        sides = rc._tiled(e, v, 50.0)
+        written = {len(x): side.count() for x, side in zip((a, b), sides, strict=True)}
+        assert written[150] == 150
+        if abs(lat0) < 60:  # nine times before
+            assert 60 <= written[60] <= 3 * 60
+        got = {(r.elat, r.elng, r.vlat, r.vlng) for r in rc._met(e, v, 50.0).collect()}
+        assert {(p[2], p[3], q[2], q[3]) for p in a for q in b if metres(p[2:], q[2:]) < 50} <= got
+    matched = rc.match_by_name_then_place(s, t.withColumnRenamed("ext_id", "id"), crowd=4).collect()
+    for r in matched:
+        near = [(q, metres((r.lat, r.lng), q[2:])) for q in large]
+        first = [q[0] for q, d in near if q[1] == r.name and d < 100]
+        second = [q[0] for q, d in near if d < 50 and (q[1] in r.name or r.name in q[1] or len(set(q[1].split()) & set(r.name.split())) >= 2)]
+        assert (r.match_id, r.match_step) == (((first or second)[0], 1 if first else 2) if first or second else (None, None))
+
+
+def test_word_masks_lose_no_pair(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(90)]  # more words than bits
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, n string").withColumn("m", rc.word_mask(F.col("n"))).persist()
+    both = df.crossJoin(df.selectExpr("i as j", "n as n2", "m as m2")).select(
+        rc.may_share_two(F.col("m"), F.col("m2")).alias("may"), (rc.shared_words(F.col("n"), F.col("n2")) >= 2).alias("do")
+    )
+    counts = {(r.may, r.do): r["count"] for r in both.groupBy("may", "do").count().collect()}
+    assert counts[True, True] and counts[False, False] and (False, True) not in counts
+    assert 0 < df.filter("m < 0").count() < 150
