@@ -318,6 +318,21 @@ def test_common_shingles_are_known_however_many_texts_there_are(spark, monkeypat
     assert len(near_dedup.common_shingles(spark.createDataFrame(rows, "text string"), 5, 400)) == 2  # both shingles of the line
 
 
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SAMPLE", 10)  # of 400 texts half were looked at
+    rows = [" ".join([f"a{i} b{i} c{i} d{i} e{i}"] + (["one line that many texts have"] if i % 50 == 0 else ["the line that seven have here"] if 0 < i < 8 else [])) for i in range(400)]
+    got = near_dedup.common_shingles(spark.createDataFrame([(x,) for x in rows], "text string"), 5, 400)
+    counts = Counter(h for _, _, hashes, _ in near_dedup.shingle_sets(pa.array(rows), 5) for h in hashes.tolist())
+    bits = near_dedup.name_bits(400)
+    assert bits == 6 and sorted(got.tolist()) == sorted(h >> (32 - bits) for h, n in counts.items() if n >= 8) and len(got) == 2
+    monkeypatch.setattr(near_dedup, "STRETCH", 100)  # sums of several stretches, with shingles that one has more than once
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + 100])], names=["text"]) for i in range(0, 400, 100)]
+    packed = pa.Table.from_batches(near_dedup._packed(5, bits)(batches))
+    assert packed.num_rows == 4 * 64
+    again = pa.Table.from_batches(near_dedup._counted()(packed.sort_by("part").to_batches()))
+    assert dict(zip(again["h"].to_pylist(), again["n"].to_pylist(), strict=True)) == {h >> (32 - bits): n for h, n in counts.items()}
+
+
 def test_shingles_are_added_up_in_stretches_of_bounded_memory():
     """4 MB of texts that share a line: a row of each shingle and stretch, and small working arrays."""
     texts = pa.array([" ".join([*(f"w{i}x{j}" for j in range(400)), "one line that all texts have"]) for i in range(1500)])
